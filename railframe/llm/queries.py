@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, idfiles, neardup, neighbours, packing, quality, secrets, warc
+from . import fingerprints, idfiles, neardup, neighbours, packing, pii, quality, secrets, warc
 
 #: The tokenizers file that packing and id files use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(docs))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_compression_quality": op4_compression_quality,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
+    "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_id_files": op10_token_id_files,
 }
