@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, idfiles, neardup, neighbours, packing, pii, quality, secrets, warc
+from . import fingerprints, idfiles, neardup, neighbours, packing, pieces, pii, quality, secrets, warc
 
 #: The tokenizers file that packing and id files use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The SentencePiece model that segmentation uses, and how many segmentations of each text.
+PIECE_MODEL, SEGMENTATIONS = public_tokenizers.path("piece_bpe_32k.model"), 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmented(table(spark, sf_dir, "documents"), PIECE_MODEL, SEGMENTATIONS)
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = idfiles.write_ids(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
     return idfiles.read_ids(files)
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_token_id_files": op10_token_id_files,
 }
 
