@@ -122,5 +122,8 @@ def digest(found_spans: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     """docs with every secret of the text replaced by its kind in angle brackets; null texts stay null."""
     tokens = saved(scanned(docs.select(text), text).select("tokens").where(F.size("tokens") > 0), "tokens")
-    marked = with_random(scanned(docs, text), thresholds(tokens, fdr))
-    return marked.withColumn(text, masked(F.col(text).cast("string"), F.col("spans"), KINDS)).drop("base", "spans")
+    # The row is carried whole, so its columns may have the scan's names.
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).cast("string").alias("body"))
+    marked = with_random(scanned(held, "body"), thresholds(tokens, fdr))
+    clean = masked(F.col("body"), F.col("spans"), KINDS)
+    return marked.select(*((clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
