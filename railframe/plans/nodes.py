@@ -95,14 +95,15 @@ class Type:
         return relation.subtype(self, wrap(other))
 
     def __lt__(self, other: Obj) -> bool:
-        other = wrap(other)
-        return self <= other and not other <= self
+        return self <= other and not self >= other
 
     def __ge__(self, other: Obj) -> bool:
-        return wrap(other) <= self
+        from . import relation
+
+        return relation.subtype(wrap(other), self)
 
     def __gt__(self, other: Obj) -> bool:
-        return wrap(other) < self
+        return self >= other and not self <= other
 
     # --- refinements and conversions --------------------------------------------------------
     def value(self, v: Obj) -> Type:
@@ -322,7 +323,7 @@ class Gate(Type):
             return gated(c, c.value.isNull() if here is None else here & c.value.isNull(), path, said)
         if self.kind in ("true", "false") and kind == "boolean":
             return gated(c, F.coalesce(c.value == (self.kind == "true"), F.lit(False)), path, said)
-        if not (M.is_a(kind, self.kind) or (kind, self.kind) == ("string", "symbol")):
+        if not (M.is_a(kind, self.kind) or (kind, self.kind) in (("string", "symbol"), ("range", "hash"))):
             return gated(c, False, path, said)
         return gated(c, True if c.row else c.value.isNotNull(), path, said)
 
@@ -543,7 +544,10 @@ class Seq(Type):
     def output_type(self):
         from . import relation
 
-        return relation.met(self.left.output_type, self.right) if self.right.preserving else self.right.output_type
+        if not self.right.preserving:
+            return self.right.output_type
+        found = relation.met(self.left.output_type, self.right)
+        return self.right if type(found) is Seq else found
 
     def children(self):
         return self.left, self.right
@@ -608,8 +612,9 @@ class Choice(Type):
             return Out(b.value, b.ok, no_errors() if b.known else F.when(b.ok, no_errors()).otherwise(errors), b.dtype, b.known, b.present, b.fields)
         if b.known is False:
             return Out(a.value, a.ok, F.when(a.ok, no_errors()).otherwise(errors), a.dtype, None, a.present, a.fields)
-        dtype = common(a.dtype, b.dtype)
-        value = F.when(a.ok, fitted(a.value, a.dtype, dtype)).when(b.ok, fitted(b.value, b.dtype, dtype))
+        null = isinstance(self.left, Gate) and self.left.kind == "nil"  # its value has no type of its own
+        dtype = b.dtype if null else common(a.dtype, b.dtype)
+        value = F.when(~a.ok & b.ok, b.value) if null else F.when(a.ok, fitted(a.value, a.dtype, dtype)).when(b.ok, fitted(b.value, b.dtype, dtype))
         present = True if a.present is True and b.present is True else F.when(a.ok, a.cell().here()).otherwise(b.cell().here())
         return Out(value, F.lit(True) if b.known else a.ok | b.ok, no_errors() if b.known else F.when(a.ok | b.ok, no_errors()).otherwise(errors), dtype, True if b.known else None, present)
 
@@ -743,6 +748,8 @@ class Record(Type):
 
     @property
     def output_type(self):
+        if all(t.output_type is t for t in self.children()):
+            return self
         return Record(tuple((k, t.output_type) for k, t in self.fields), tuple((k, t.output_type) for k, t in self.typed), self.rest and self.rest.output_type)
 
     @property
@@ -961,7 +968,7 @@ class Array(Type):
 
     @property
     def output_type(self):
-        return Array(self.of.output_type)
+        return self if self.of.output_type is self.of else Array(self.of.output_type)
 
     @property
     def preserving(self):

@@ -47,7 +47,7 @@ def environment(df: DataFrame, prefix: str, column: str = "env") -> DataFrame:
 
 def downloaded(df: DataFrame, fetch: Callable[[str], bytes], column: str = "url", into: str = "body") -> DataFrame:
     """User code that fetches, on the executors and a batch at a time; a failure is null. Rows keep their columns."""
-    schema = df.withColumn(into, F.lit(b"")).schema
+    schema = df.withColumn(into, F.lit(None).cast("binary")).schema
 
     def one(url: str) -> bytes | None:
         try:
