@@ -1,8 +1,8 @@
 """Near duplicates: MinHash bands propose pairs, odd sketches sift them, whole shingle sets confirm them.
 
 Every document is reduced where it lies to a key of its shingle set, MinHash bands and an odd sketch: the parity bitmap
-into which its MinHash samples are folded. The population count of two bitmaps' XOR estimates how many samples differ,
-sharply at high similarity. Documents with equal sets form one class, and only a class's representative is compared.
+into which its samples by one-permutation MinHash (the least hash in each of BINS ranges) are folded. The population count
+of two bitmaps' XOR estimates how many samples differ, sharply at high similarity. Documents with equal sets form one class, and only a class's representative is compared.
 
 Within a band's bucket every member is first compared with the bucket's hub, the member with the most company over all
 bands; so a group of near copies costs a comparison for each copy. Buckets whose members then lie in one component are
@@ -26,15 +26,14 @@ from .common import arrow_schema, mix, out_batch, prepare, saved, shingles
 #: 24 bands of 5 rows miss a pair of similarity 0.85 with probability 8e-7, one of 0.8 with 6e-5.
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch.
-BITS = 512
+#: Ranges of hashes whose minima are folded, and bits of an odd sketch.
+BINS, BITS = 1024, 2048
 #: A bucket with at most so many members lists its pairs; members of a block in larger ones.
 SMALL, BLOCK = 32, 512
 #: Ids that a broadcast may hold; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
-_SALT = mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
 
 
 def minhash(h: np.ndarray) -> np.ndarray:
@@ -49,22 +48,30 @@ def bands(low: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Bits that an odd number of samples fall on, as 64-bit words."""
-    at = (mix(low ^ _SALT) % np.uint64(BITS)).astype(np.int64)
+def odd_sketch(h: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of samples fall on, as 64-bit words. h: sorted, so a range's least hash is its first."""
+    ranges = h >> np.uint64(64 - (BINS.bit_length() - 1))
+    samples = h[np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))]
+    at = (mix(samples) % np.uint64(BITS)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_differing(similarity: float) -> int:
-    """The largest XOR count that a pair of this similarity can show but with a chance below 1e-7: twice the number of
-    differing samples at the far tail of their binomial distribution, as each differing sample flips two bits at most."""
-    p = 1.0 - similarity
-    chance, total, n = (1 - p) ** SAMPLES, 0.0, 0
-    while n < SAMPLES and total + chance < 1 - 1e-7:
-        total += chance
-        chance *= (SAMPLES - n) / (n + 1) * p / (1 - p)
-        n += 1
-    return 2 * n
+def most_differing(sizes, percent: int, m=np):
+    """The largest XOR count of a pair of this similarity, but for a chance of about 1e-7. sizes: of both sets together;
+    m: numpy or pyspark.sql.functions, whose columns it takes as well.
+
+    The union has sizes / (1 + similarity) shingles, which fill some ranges. In a range the samples differ if the union's
+    least is not in both: a binomial number of ranges, and no more than the shingles that differ. Each flips a bit, and a
+    second one where the other set has a shingle in the range too. Bits that meet lower the count."""
+    j = percent / 100
+    union = sizes / (1 + j)
+    load = union / BINS
+    empty = m.exp(-load)
+    filled = BINS * (1 - empty)
+    by_chance = (1 - j) * filled + 5.5 * m.sqrt(j * (1 - j) * filled) + 2
+    ranges = m.least(by_chance, (1 - j) * union) if hasattr(m, "least") else m.minimum(by_chance, (1 - j) * union)
+    second = 1 - load * empty / (1 - empty)
+    return ranges * (1 + second) + 5.5 * m.sqrt(ranges * second * (1 - second)) + 2
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 h = shingles(text)
                 if len(h):
                     low = minhash(h)
-                    rows.append((doc, len(h), xxhash.xxh128_digest(h.tobytes()), bands(low), odd_sketch(low)))
+                    rows.append((doc, len(h), xxhash.xxh128_digest(h.tobytes()), bands(low), odd_sketch(h)))
                 else:
                     rows.append((doc, 0, None, None, None))
             yield out_batch(out, list(zip(*rows)) or [[]] * len(out))
@@ -97,7 +104,7 @@ def sifted(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    return both.where(sizes & (differing("ox", "oy") <= most_differing(percent / 100))).select("x", "y")
+    return both.where(sizes & (differing("ox", "oy") <= most_differing(F.col("nx") + F.col("ny"), percent, F))).select("x", "y")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -148,32 +155,40 @@ def blockwise(members: DataFrame, reps: DataFrame, percent: int, most: int | Non
     """Pairs (x, y) of different components in large buckets, at most `most` partners of x in each component of each block.
 
     members: band, rep, component. Those outside the bucket's largest component meet all members, in blocks of rows; what
-    is held is two blocks of sketches, and only pairs that the sketches allow are returned."""
+    is held is two blocks of sketches. Only pairs that the sketches allow are returned, each from the first band that its
+    two have in common."""
     ddl = "x long, y long"
     out = arrow_schema(ddl)
-    limit = most_differing(percent / 100)
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("odd_ones"))
-    rows = members.join(main, "band").join(reps.select("rep", "n", "odd"), "rep")
+    rows = members.join(main, "band").join(reps.select("rep", "n", "odd", "bands"), "rep")
     x_blocks, y_blocks = (F.ceil(F.col(c) / n).cast("int") for c, n in (("odd_ones", BLOCK), ("all", 8 * BLOCK)))
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    cols = ["band", "xb", "yb", "rep", "component", "n", "odd"]
+    cols = ["band", "xb", "yb", "rep", "component", "n", "odd", "bands"]
     xs = rows.where("component <> main").withColumn("xb", spread(x_blocks)).withColumn("yb", F.explode(F.sequence(F.lit(0), y_blocks - 1))).select(*cols)
-    ys = rows.withColumn("yb", spread(y_blocks)).withColumn("xb", F.explode(F.sequence(F.lit(0), x_blocks - 1))).select(*cols)
+    ys = rows.withColumn("yb", spread(y_blocks)).withColumn("xb", F.explode(F.sequence(F.lit(0), x_blocks - 1))).select(*(F.col(c).alias(c) for c in cols))  # columns of its own, beside xs
     count = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+    def arrays(t: pa.Table) -> tuple[np.ndarray, ...]:
+        wide = lambda c: t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        return t["rep"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy().astype(np.float64), wide("odd"), wide("bands")
+
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return out.empty_table()
-        (xi, xc, xn, xo), (yi, yc, yn, yo) = ((t["rep"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), t["odd"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (a, b))
+        (xi, xc, xn, xo, xb), (yi, yc, yn, yo, yb) = arrays(a), arrays(b)
+        band = key[0].as_py()
         found_x, found_y = [], []
         for i in range(len(xi)):
-            z = count[(yo ^ xo[i]).view(np.uint16)].sum(axis=1, dtype=np.int32)
-            # A pair of two that are both outside the largest component is met twice; distinct() later drops one.
-            ok = np.flatnonzero((yc != xc[i]) & (z <= limit) & (100 * np.minimum(yn, xn[i]) >= percent * np.maximum(yn, xn[i])))
+            ok = np.flatnonzero((yc != xc[i]) & (100 * np.minimum(yn, xn[i]) >= percent * np.maximum(yn, xn[i])))
+            # The first band in common does it.
+            ok = ok[yb[ok, np.argmax(yb[ok] == xb[i], axis=1)] == band] if len(ok) else ok
+            z = count[(yo[ok] ^ xo[i]).view(np.uint16)].sum(axis=1, dtype=np.int32)
+            near = z <= most_differing(yn[ok] + xn[i], percent)
+            ok, z = ok[near], z[near]
             if most is not None and len(ok) > most:
-                ok = ok[np.lexsort((yi[ok], z[ok], yc[ok]))]
-                group = yc[ok]
+                by = np.lexsort((yi[ok], z, yc[ok]))
+                ok, group = ok[by], yc[ok][by]
                 ok = ok[np.arange(len(ok)) - np.searchsorted(group, group) < most]
             found_x.append(np.full(len(ok), xi[i]))
             found_y.append(yi[ok])
@@ -206,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ids = saved(members.select("rep").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = saved(docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi"), "texts")
-    sketches = reps.select("rep", "n", "odd")
+    sketches = reps.select("rep", "n", "odd", "bands")
 
     links = [saved(confirmed(sifted(pairs, sketches, percent), texts, percent), "links")]
     tried = [pairs]
@@ -214,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     several = full.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id")
     own = saved(full.join(several, "doc_id", "left_semi").join(reps.select("key", "rep"), "key").select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).where("x <> y").distinct(), "same")
     found = components(reduce(DataFrame.union, [*links, own]))
-    for most in (4, 64, None):
+    for most in (1, 8, None):
         labelled = members.join(found, members["rep"] == found["id"], "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("component"))
         mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
         open_ones = saved(labelled.join(mixed, "band", "left_semi"), "open")
@@ -222,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             break
         large = open_ones.where(f"size > {SMALL}")
         more = []
-        if most == 4:  # the first time only: all pairs of a small bucket are tried at once
+        if most == 1:  # the first time only: all pairs of a small bucket are tried at once
             side = lambda c: open_ones.where(f"size <= {SMALL}").select("band", F.col("rep").alias(c), F.col("component").alias(f"c{c}"))
             more.append(side("x").join(side("y"), "band").where("x > y AND cx <> cy").select("x", "y").distinct())
         if not large.isEmpty():
