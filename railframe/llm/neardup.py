@@ -261,5 +261,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs whose document is kept, each with all its columns; the others are copies of one that stays."""
-    gone = near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    gone = saved(near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
