@@ -64,3 +64,46 @@ class Pipeline(N.Type):
 
     def around(self, fn: Callable[[N.Type], N.Type]) -> Pipeline:
         return type(self)(self.inner, (*self.arounds, fn))
+
+
+class Step(N.Type):
+    """A typed step as a class: set takes and gives, and write apply, a function of Columns. Its input is checked before and
+    what it gives after; steps with equal state are equal.
+
+    class Doubled(Step):
+        takes, gives = Integer, Integer
+        def apply(self, c): return c * 2
+    """
+
+    takes: Any = N.Any()
+    gives: Any = N.Any()
+    guaranteed = False
+
+    def apply(self, c):
+        raise NotImplementedError
+
+    def as_convert(self) -> N.Convert:
+        return N.Convert(N.wrap(self.takes), N.wrap(self.gives), self.apply, type(self).__name__, self.guaranteed)
+
+    def __eq__(self, other):
+        return type(self) is type(other) and vars(self) == vars(other)
+
+    def __hash__(self):
+        return hash((type(self), tuple(sorted(map(str, vars(self).items())))))
+
+    def __repr__(self):
+        return type(self).__name__
+
+    @property
+    def input_type(self):
+        return N.wrap(self.takes).input_type
+
+    @property
+    def output_type(self):
+        return N.wrap(self.gives).output_type
+
+    def children(self):
+        return ()
+
+    def lower(self, c, path):
+        return self.as_convert().lower(c, path)

@@ -215,6 +215,36 @@ def test_pipelines_and_policies(spark):
     assert t.String.metadata(label="Name").collected_metadata() == {"label": "Name"}
 
 
+class Doubled(t.Step):
+    takes, gives = t.Integer, t.Integer[t.between(0, 100)]
+
+    def __init__(self, by=2):
+        self.by = by
+
+    def apply(self, c):
+        return c * self.by
+
+
+def test_steps_as_classes(spark):
+    got = judged(spark, t.Integer[t.between(0)] >> Doubled(), [4, -1, 60], "int")
+    assert [(ok, errors) for ok, _, errors in got] == [(True, []), (False, ["Must be within 0.."]), (False, ["Must be within 0..100"])] and got[0][1] == 8
+    assert Doubled() == Doubled(2) != Doubled(3) and Doubled() <= t.Integer
+    with pytest.raises(TypeError):
+        t.String >> Doubled()
+
+
+DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
+
+def test_weekdays_by_name_or_number(spark):
+    """Names in any case or numbers, each once, sorted."""
+    numbered = t.String.invoke("downcase")[tuple(DAYS)].transform(t.Integer, lambda c: F.array_position(F.array(*map(F.lit, DAYS)), c).cast("bigint"))
+    day = t.Lax.Integer[t.between(1, 7)] | numbered
+    week = t.Array[day].where(size=t.between(1, 7)).check(lambda c: F.size(F.array_distinct(c)) == F.size(c), "must be unique") >> t.Array[t.Integer].invoke("sort")
+    got = judged(spark, week, [["Monday", "tuesday", "7"], ["1", "MONDAY"], ["noday"], []], "array<string>")
+    assert [ok for ok, _, _ in got] == [True, False, False, False] and got[0][1] == [1, 2, 7] and "must be unique" in got[1][2]
+
+
 def test_what_cannot_be_is_refused_when_built():
     for bad in (lambda: t.String >> t.Integer, lambda: t.Integer[re.compile("a")], lambda: t.String[5], lambda: t.Integer.static("x"), lambda: t.String.transform("to_r"), lambda: t.Hash.tagged_by("k", t.Hash(k=t.String)), lambda: t.Hash(a=t.String) >> t.Hash(a=t.Integer)):
         with pytest.raises(TypeError):
