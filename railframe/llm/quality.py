@@ -68,15 +68,25 @@ def trained(samples: list[bytes]) -> bytes | None:
         return None  # too little text for a dictionary
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps, with a constant first."""
+def calibrated(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression with a constant first: Newton steps, halved until the penalised loss falls. The ridge (not on the
+    constant) keeps the weights finite where the labels can be told apart without error."""
     x = np.column_stack([np.ones(len(x)), x])
+    penalty = ridge * (np.arange(x.shape[1]) > 0)
     w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (penalty * w * w).sum() / 2)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
