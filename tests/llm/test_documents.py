@@ -121,6 +121,27 @@ def test_quality_tells_held_out_labels_apart(spark):
     assert sum((s >= 0.5) == y for s, y in held) / len(held) > 0.85
 
 
+def test_calibration_stays_finite_where_labels_are_separable():
+    import numpy as np
+
+    x = np.linspace(-3, 3, 400)[:, None]
+    w = quality.calibrated(x, (x[:, 0] > 0.5).astype(float))
+    p = 1 / (1 + np.exp(-(w[0] + w[1] * x[:, 0])))
+    assert np.abs(w).max() < 50 and ((p > 0.5) == (x[:, 0] > 0.5)).mean() > 0.97
+
+
+def test_sketches_lose_no_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (20, 150, 1000, 6000):
+        for _ in range(60):
+            both = rng.integers(0, 1 << 63, int(n * 0.86), dtype=np.uint64)
+            own = [np.sort(np.concatenate([both, rng.integers(0, 1 << 63, k, dtype=np.uint64)]) * np.uint64(2)) for k in (int(n * 0.07), int(n * 0.07))]
+            z = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in neardup.odd_sketch(own[0]) ^ neardup.odd_sketch(own[1]))
+            assert z <= neardup.most_differing(sum(map(len, own)), 85)
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
     model = quality.fit(odd(spark), labels)  # one label only: a constant
