@@ -144,11 +144,8 @@ def tagged_events(spark, sf):
         t.Hash(event_id=t.Integer, event_type="view", user_id=t.Integer),
         t.Hash(event_id=t.Integer, event_type="signup", value=t.Float),
     )
-    df = t.validate(table(spark, sf, "events").withColumn("__id", F.col("event_id")).withColumn("__type", F.col("event_type")), event).drop("errors")
-    whole = table(spark, sf, "events").select(F.col("event_id"), F.col("event_type"))
-    # Rows without a known tag have no fields; their key and type come from the table.
-    known = df.where("event_id IS NOT NULL")
-    return known.unionByName(whole.join(known.select("event_id"), "event_id", "left_anti").select("event_id", "event_type", F.lit(None).cast("double").alias("value"), F.lit(None).cast("bigint").alias("user_id"), F.lit(False).alias("ok")))
+    df = table(spark, sf, "events").select("event_id", "event_type", F.struct("event_id", "event_type", "value", "user_id").alias("event"))
+    return t.validate(df, event, "event").select("event_id", "event_type", "event.value", "event.user_id", "ok")
 
 
 @query("SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text END AS text FROM conversations WHERE role = 'system' OR (role = 'user' AND length(text) >= 50)")
@@ -262,7 +259,7 @@ ORDER_FORM = t.Hash(o_orderkey=t.Integer, o_orderdate=t.Date, o_totalprice=t.Flo
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS o_orderdate, o_totalprice, o_orderpriority LIKE '1%' AS urgent,
+    SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS o_orderdate, o_totalprice, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority LIKE '1%' END AS urgent,
            o_orderkey % 6 <> 0 AND o_orderkey % 11 <> 0 AS ok
     FROM orders
 """)
@@ -274,12 +271,8 @@ def forms_decode(spark, sf):
         F.when(key % 6 == 0, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("o_orderdate"),
         F.col("o_totalprice").cast("string").alias("o_totalprice"),
         F.when(key % 11 == 0, F.lit("yes")).when(F.col("o_orderpriority").startswith("1"), F.lit("1")).otherwise(F.lit("FALSE")).alias("urgent"),
-        F.col("o_orderpriority").startswith("1").alias("__urgent"),
     )
-    # What cannot be decoded is null; the flag is put back to compare values.
-    out = t.validate(df, t.FORMS >> ORDER_FORM).drop("errors")
-    flags = df.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "__urgent")
-    return out.join(flags, "o_orderkey").select("o_orderkey", "o_orderdate", "o_totalprice", F.coalesce("urgent", "__urgent").alias("urgent"), "ok")
+    return t.validate(df, t.FORMS >> ORDER_FORM).drop("errors")  # what cannot be decoded is null
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, CASE WHEN o_orderpriority LIKE '1%' THEN 'true' ELSE 'false' END AS urgent FROM orders")
