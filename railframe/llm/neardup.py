@@ -229,13 +229,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     several = full.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id")
     own = saved(full.join(several, "doc_id", "left_semi").join(reps.select("key", "rep"), "key").select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).where("x <> y").distinct(), "same")
     found = components(reduce(DataFrame.union, [*links, own]))
+    rest = members.select("band", "rep", "size")
     for most in (1, 8, None):
-        labelled = members.join(found, members["rep"] == found["id"], "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        labelled = saved(rest.join(found, rest["rep"] == found["id"], "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("component")), "labelled")
         mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
         open_ones = saved(labelled.join(mixed, "band", "left_semi"), "open")
         if open_ones.isEmpty():
             break
         large = open_ones.where(f"size > {SMALL}")
+        rest = large.select("band", "rep", "size")
         more = []
         if most == 1:  # the first time only: all pairs of a small bucket are tried at once
             side = lambda c: open_ones.where(f"size <= {SMALL}").select("band", F.col("rep").alias(c), F.col("component").alias(f"c{c}"))
