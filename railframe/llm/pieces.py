@@ -5,6 +5,8 @@ Viterbi scores of all positions are the exact remaining costs for an A-star sear
 therefore takes complete paths off its heap best first. No piece of the model holds the word mark after another
 character, so a text's lattice is a chain of word lattices: each distinct word is solved once per worker (in a bounded
 cache), and a document's N best paths change at most the N - 1 words whose second path costs least, which are searched.
+Within a word no path crosses two characters that no piece holds side by side, such as a letter and the comma behind it;
+words are solved in the parts between, which repeat more often than whole words.
 A character without a piece becomes its bytes' pieces, as one edge below every other score.
 """
 
@@ -52,6 +54,9 @@ class Lattice(dict):
         self.chained = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.raw = {i: names[i].encode() for i in plain} | {i: bytes([b]) for b, i in self.bytes.items()} | {self.unknown: " ⁇ ".encode()}
         self.single = {p for p in self.pieces if len(p) == 1}
+        #: Characters side by side in a piece.
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.parts: dict[str, Word] = {}
         self.matches = ahocorasick.Automaton()
         for piece, (i, score) in self.pieces.items():
             self.matches.add_word(piece, (len(piece), score, i))
@@ -103,9 +108,27 @@ class Lattice(dict):
     def __missing__(self, word: str) -> Word:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self[word] = self.solved(word)
+        found = self[word] = self.joined(word)
         return found
 
+    def joined(self, word: str) -> Word:
+        """A word from its parts: their best paths one after another, and the cheapest of their second ones."""
+        pairs, parts, start, known = self.pairs, [], 0, self.parts
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                parts.append(word[start:i])
+                start = i
+        parts.append(word[start:])
+        if len(known) >= CACHE_WORDS:
+            known.clear()
+        for p in parts:
+            if p not in known:
+                known[p] = self.solved(p)
+        if len(parts) == 1:
+            return known[word]
+        scores, ids, seconds = zip(*map(known.__getitem__, parts))
+        return sum(scores), b"".join(ids), min(seconds)
+
     def solved(self, word: str) -> Word:
         """The best path, and the loss of the second: that of the best path over any edge which the best does not take."""
         n = len(word)
@@ -116,26 +139,27 @@ class Lattice(dict):
             found = [e for here in self.edges(word) for e in here]
         best, last = [0.0] + [low] * n, [None] * (n + 1)
         for edge in found:  # by end, so best[start] is final
-            s = best[edge[0]] + edge[2]
-            if s > best[edge[1]] or s == best[edge[1]] and edge < last[edge[1]]:
-                best[edge[1]], last[edge[1]] = s, edge
-        at, path, taken = n, [], set()
+            start, end, score, _ = edge
+            s = best[start] + score
+            if s > best[end] or s == best[end] and edge < last[end]:
+                best[end], last[end] = s, edge
+        at, path, taken = n, [], [None] * (n + 1)
         while at:
-            path.append(last[at])
-            taken.add(last[at])
-            at = last[at][0]
-        back, second = [low] * n + [0.0], float("inf")
+            edge = taken[at] = last[at]
+            path.append(edge)
+            at = edge[0]
+        back, second, whole = [low] * n + [0.0], float("inf"), best[n]
         for edge in reversed(found):  # by end, so back[end] is final
             start, end, score, _ = edge
             s = back[end] + score
             if s > back[start]:
                 back[start] = s
-            if edge not in taken and best[n] - best[start] - s < second:
-                second = best[n] - best[start] - s
+            if taken[end] is not edge and whole - best[start] - s < second:
+                second = whole - best[start] - s
         ids = array("I")
         for edge in reversed(path):
             ids.extend(edge[3]) if isinstance(edge[3], tuple) else ids.append(edge[3])
-        return best[n], ids.tobytes(), second
+        return whole, ids.tobytes(), second
 
     def normalised(self, text: str | None) -> str:
         """White space marked as the model was trained: a mark before the text and for every space."""
