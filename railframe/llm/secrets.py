@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long tokens.
 
-A candidate is a maximal run of 20 or more letters, digits and + / _ = -. Its encoding (hex, letters, base32, base64) is
-inferred from its characters and gives the size of the alphabet. Three tests each ask whether the token could still be
-written by people, their null hypothesis: chi-squared, against the non-central distribution that letters of a language
-give; runs, against the few changes of character class of an identifier; serial correlation, against the strong one of a
-pattern such as abcdef or 012345. A token must fail all of them, so its p-value is the largest of the three. All grow
+A candidate is a maximal run of 20 or more letters, digits and + / _ = -. Its encoding (digits, hex, letters, base32,
+base64) is inferred from its characters and gives the size of the alphabet. Three tests each ask whether the token could
+still be written by people, their null hypothesis: chi-squared, against the non-central distribution that letters of a
+language give; runs, against what people write in that encoding: the many changes between vowels and others of words for
+letters and base32, the few between low and high digits of counted or grouped numbers for digits, and the few changes of
+character class of an identifier for the others; serial correlation, against the strong one of a pattern such as abcdef
+or 012345. A token must fail all of them, so its p-value is the largest of the three. All grow
 sharper with the length. Over the whole corpus the p-values of each class of length go through a Benjamini-Hochberg
 step, on a histogram of bounded size, so that of the tokens reported in each class a share of at most FDR is expected to
 be none.
@@ -31,8 +33,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 FDR = 0.01
 #: p-values are counted by steps of 10 ** -0.05 down to 10 ** -20.
 STEP, STEPS = 0.05, 400
-#: What people write: change of class from one character to the next, serial correlation of a pattern.
-CHANGES, CORRELATION = 0.15, 0.75
+#: What people write: change of class from one character to the next, of vowels and others in words, serial correlation of a pattern.
+CHANGES, ALTERNATION, CORRELATION = 0.15, 0.55, 0.75
 
 
 def base_spans(text: Column) -> Column:
@@ -47,18 +49,28 @@ def p_value(token: Column) -> Column:
     """The battery's p-value of a token: small if it looks random in every way."""
     n = F.length(token).cast("double")
     # Encoding: alphabet size, and the excess of a language's sum of squared frequencies over a uniform alphabet's.
-    hexes, letters, base32 = token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), token.rlike("^([a-z]+|[A-Z]+)$"), token.rlike("^[A-Z2-7]+=*$")
-    size = F.when(hexes, 16.0).when(letters, 26.0).when(base32, 32.0).otherwise(64.0)
-    excess = size * F.when(hexes, 0.25).otherwise(0.066) - 1
+    digits, hexes, letters, base32 = token.rlike("^[0-9]+$"), token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), token.rlike("^([a-z]+|[A-Z]+)$"), token.rlike("^([A-Z2-7]+|[a-z2-7]+)=*$")
+    size = F.when(digits, 10.0).when(hexes, 16.0).when(letters, 26.0).when(base32, 32.0).otherwise(64.0)
+    excess = size * F.when(digits | hexes, 0.25).otherwise(0.066) - 1
     squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda s, c: s + F.when(c != "", F.pow(F.length(token) - F.length(F.replace(token, c, F.lit(""))), 2)).otherwise(0.0))
     chi2 = size * squares / n - n
     expected = (size - 1) + (n - 1) * excess
     spread = F.sqrt(2 * (size - 1) + 4 * (n - 1) * excess)
     by_chi2 = upper_tail((expected - chi2) / spread)
-    classes = token
-    for pattern, mark in (("[A-Z]+", "~"), ("[a-z]+", "a"), ("[0-9]+", "0"), ("[+/_=-]+", "-")):
-        classes = F.regexp_replace(classes, pattern, mark)
-    by_runs = upper_tail((F.length(classes) - 1 - (n - 1) * CHANGES - 0.5) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES)))
+
+    def changes(*marks: tuple[str, str]) -> Column:
+        classes = token
+        for pattern, mark in marks:
+            classes = F.regexp_replace(classes, pattern, mark)
+        return F.length(classes) - 1
+
+    more = lambda c: upper_tail((c - (n - 1) * CHANGES - 0.5) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES)))
+    fewer = lambda c: upper_tail(((n - 1) * ALTERNATION - c - 0.5) / F.sqrt((n - 1) * ALTERNATION * (1 - ALTERNATION)))
+    by_runs = (
+        F.when(digits, more(changes(("[0-4]+", "~"), ("[5-9]+", "-"))))
+        .when(~hexes & (letters | base32), fewer(changes(("[aeiouAEIOU]+", "~"), ("[^~]+", "-"))))
+        .otherwise(more(changes(("[A-Z]+", "~"), ("[a-z]+", "a"), ("[0-9]+", "0"), ("[+/_=-]+", "-"))))
+    )
 
     def serial(x: Column) -> Column:
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)

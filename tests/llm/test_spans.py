@@ -93,6 +93,18 @@ def test_random_tokens_are_found_and_written_ones_left(spark):
     assert sum(clean[i] == "see <random> here" for i in range(len(hidden))) >= 28
 
 
+def test_random_tokens_of_every_encoding_are_found(spark):
+    rng = random.Random(5)
+    upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    encodings = {"hex": ("0123456789ABCDEF", 40), "digits": (digit, 23), "lower": (lower, 96), "upper": (upper, 96), "base32": (upper + "234567", 72), "small32": (lower + "234567", 72), "base64": (upper + lower + digit + "+/", 40)}
+    written = ["internationalizationofthecommunicationsdepartment", "THEQUICKBROWNFOXJUMPSOVERTHELAZYDOGANDRUNSAWAY", "12345678901234567890", "00000000001111111111", lower * 3, "THEDEPARTMENTOFINTERNATIONALTRADEANDCOMMERCE" * 2, "MODEL2SERIAL4NUMBER7COUNTRYOFORIGIN2345"]
+    for name, (alphabet, n) in encodings.items():  # of digits, 24 and more are a base span
+        texts = [f"see {''.join(rng.choice(alphabet) for _ in range(n))} here" for _ in range(30)] + [f"see {w} here" for w in written]
+        spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.secrets(frame(spark, texts))).collect()}
+        assert sum(spans[i] == f"random:4:{4 + n}" for i in range(30)) >= (27 if n > 23 else 20), name
+        assert not any(spans[i] for i in range(30, len(texts))), name
+
+
 def test_redaction_keeps_columns_with_the_operator_s_names(spark):
     docs = spark.createDataFrame([(1, "AKIA" + "A" * 16, "b", "t", 7)], "doc_id long, text string, base string, tokens string, spans int")
     assert secrets.redacted(docs).collect() == spark.createDataFrame([(1, "<access>", "b", "t", 7)], docs.schema).collect()
