@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and terms that reveal the protected entities by co-occurrence.
 
-What a pattern finds is a protected entity. Words within WINDOW characters of an entity are its terms. Over the corpus,
-with n(x) the number of different texts that hold x, the pointwise mutual information log2(n(t, e) N / (n(t) n(e))) of a
-term and an entity is compared with the entity's information content log2(N / n(e)): a term whose share reaches
-DISCLOSURE lets a reader infer the entity where the entity itself has been removed, so its occurrences beside the entity
-become spans too, and sanitised text generalises both to the names of their kinds. A pair must occur in SUPPORT different
-texts to count. Everything is DataFrame operations: contexts are few and narrow, words are counted with partial
-aggregation, and an entity may stand in any share of the documents.
+What a pattern finds is a protected entity. The words of a text outside its entities are terms, each together with every
+entity of the text, however far apart. Over the corpus, with n(x) the number of documents that hold x, the pointwise
+mutual information log2(n(t, e) N / (n(t) n(e))) of a term and an entity is compared with the entity's information content
+log2(N / n(e)): a term whose share reaches DISCLOSURE lets a reader infer the entity where the entity itself has been
+removed, so all its occurrences in documents that hold the entity become spans too, and sanitised text generalises both to
+the names of their kinds. A pair must occur in SUPPORT different texts to count. Everything is DataFrame operations: words
+are counted with partial aggregation, entities without support and terms that are too frequent to reach the share with any
+entity are left out before terms and entities meet, and an entity may stand in any share of the documents.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:(?![ -](?![0-9]))[0-9 -]){13,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: A term: a word of four or more letters.
-TERM = r"(?<!\p{L})\p{L}{4,}+"
-WINDOW, SUPPORT, DISCLOSURE = 48, 2, 0.9
-#: Terms that a broadcast may hold; beyond, all words are counted and joined.
-BROADCAST_TERMS = 200_000
+#: A term: a word of two or more letters.
+TERM = r"(?<!\p{L})\p{L}{2,}+"
+SUPPORT, DISCLOSURE = 2, 0.9
+#: Texts whose terms a broadcast may hold; beyond, the texts are shuffled to them.
+BROADCAST_TEXTS = 50_000
 
 
 def digits(m: Column) -> Column:
@@ -53,61 +54,65 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
+def words(text: Column) -> Column:
+    """The different words of a text as they stand there."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def lowered(found_words: Column) -> Column:
+    return F.array_distinct(F.transform(found_words, F.lower))
+
+
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base (spans), and contexts: for each span the entity and its terms with their places."""
+    """Adds base (spans), entities and terms (the different ones of each row, in lower case)."""
     body = F.col(text).cast("string")
-    based = docs.withColumn("base", base_spans(body))
-
-    def around(s: Column) -> Column:
-        # One character more on either side shows whether a word is cut; at the ends of the text nothing is.
-        start = F.greatest(s["start"] - WINDOW, F.lit(0))
-        near = body.substr(start + 1, s["end"] + WINDOW - start)
-        cut_left = (start > 0) & body.substr(start, F.lit(1)).rlike(r"\p{L}")
-        cut_right = body.substr(s["end"] + WINDOW, F.lit(2)).rlike(r"^\p{L}{2}$")
-        whole = lambda m: ~(cut_left & (m["start"] == 0)) & ~(cut_right & (m["end"] == F.length(near)))
-        moved = F.transform(F.filter(found(near, TERM), whole), lambda m: F.struct((m["start"] + start).alias("start"), (m["end"] + start).alias("end"), F.lower(m["text"]).alias("term")))
-        return F.struct(F.lower(body.substr(s["start"] + 1, s["end"] - s["start"])).alias("entity"), F.filter(moved, lambda m: ~F.exists("base", lambda b: overlaps(b, m))).alias("terms"))
-
-    none = F.array().cast("array<struct<entity:string,terms:array<struct<start:int,end:int,term:string>>>>")
-    return based.withColumn("contexts", F.when(F.size("base") > 0, F.transform("base", around)).otherwise(none))
-
-
-def disclosing(contexts: DataFrame, docs: DataFrame, support: int = SUPPORT, share: float = DISCLOSURE) -> DataFrame:
-    """entity, term of every pair whose mutual information reaches the share of the entity's information content.
-
-    contexts: doc_id, text_key, entity, term (null where an entity has none). Counts are of documents, in all of docs
-    (text); the support counts different texts, so copies of one text prove nothing."""
-    once = contexts.groupBy("entity", "term", "text_key", "doc_id").agg(F.lit(1).alias("one"))
-    pairs = once.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("text_key").alias("texts"))
-    wanted = saved(pairs.where(F.col("texts") >= support).drop("texts"), "pairs")
-    entities = contexts.groupBy("entity", "text_key", "doc_id").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = float(max(1, docs.count()))
-    terms = saved(wanted.select("term").distinct(), "terms")
-    few = terms.count()
-    if not few:
-        return wanted.select("entity", "term")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if few <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    rated = wanted.join(counts, "term").join(entities, "entity")
-    # A repeated row counts once beside the entity.
-    mutual = F.log2(F.col("both") * total / (F.greatest("n_term", "both") * F.col("n_entity")))
+    entity = lambda s: F.lower(body.substr(s["start"] + 1, s["end"] - s["start"]))
+    based = docs.withColumn("base", base_spans(body)).withColumn("entities", F.array_distinct(F.transform("base", entity)))
+    return based.withColumn("terms", lowered(words(masked(body, F.col("base"), [""] * len(KINDS)))))
+
+
+def disclosing(scan: DataFrame, support: int = SUPPORT, share: float = DISCLOSURE) -> DataFrame:
+    """text_key, terms: for each text that holds an entity, those of its terms that disclose it.
+
+    scan: text_key, entities, terms of every row. Counts are of rows; the support counts different texts, so copies of one
+    text prove nothing."""
+    texts = saved(scan.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "texts")
+    each = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    entities = saved(each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"), "entities")
+    total = float(max(1, scan.count()))
+    most = entities.agg(F.max("n_entity")).first()[0] or 1
+    # With both <= n_entity, a term reaches the share only if n_term is not above this; it grows with n_entity.
+    bound = lambda n: n * F.pow(total / n, F.lit(1 - share)) * (1 + 1e-9)
+    counts = scan.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = counts.where((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(float(most)))))
+    held = saved(each.join(entities, "entity"), "held")
+    rare = texts.join(held.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode("terms").alias("term")).join(counts, "term")
+    near = saved(held.join(rare, "text_key").where(F.col("n_term") <= bound(F.col("n_entity"))), "near")
+    pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    mutual = F.log2(F.col("both") * total / (F.col("n_term") * F.col("n_entity")))
     content = F.log2(F.lit(total) / F.col("n_entity"))
-    return rated.where((content > 0) & (mutual >= share * content)).select("entity", "term")
+    told = pairs.where((F.col("texts") >= support) & (content > 0) & (mutual >= share * content)).select("entity", "term")
+    return near.join(told, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))
 
 
 def personal(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, base and spans (start, end, kind as a place in KINDS) of every row of docs (doc_id, text).
 
     Null and empty texts have no spans; rows that repeat an id or a text each get their own."""
-    docs = docs.select("doc_id", F.col(text).cast("string").alias("text"))
-    scan = saved(scanned(docs.withColumn("text_key", F.xxhash64("text"))).drop("text"), "personal")
-    flat = scan.where(F.size("contexts") > 0).select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.entity", F.explode_outer("c.terms").alias("t")).select("doc_id", "text_key", "entity", "t.term", "t.start", "t.end")
-    told = disclosing(flat, docs)
-    terms = flat.join(told, ["entity", "term"]).groupBy("text_key").agg(F.collect_set(F.struct("start", "end", F.lit(4).alias("kind"))).alias("terms"))
-    joined = scan.drop("contexts").join(terms, "text_key", "left")
-    return joined.select("doc_id", "base", F.concat("base", F.coalesce("terms", F.array().cast(SPAN))).alias("spans"))
+    docs = docs.select("doc_id", F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    scan = saved(scanned(docs).drop("text"), "personal")
+    told = saved(disclosing(scan), "told")
+    few = told.count() <= BROADCAST_TEXTS
+    marked = docs.join(F.broadcast(told) if few else told, "text_key")
+    # A pattern of the text's own disclosing words, as they stand in it; words hold letters only.
+    forms = F.filter(words(F.col("text")), lambda w: F.array_contains("terms", F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+    placed = F.transform(found(F.col("text"), pattern), lambda m: F.struct(m["start"], m["end"], F.lit(4).alias("kind")))
+    places = saved(marked.select("text_key", placed.alias("places")).groupBy("text_key").agg(F.first("places").alias("places")), "places")
+    few = few and places.count() <= BROADCAST_TEXTS
+    joined = scan.drop("entities", "terms").join(F.broadcast(places) if few else places, "text_key", "left")
+    free = F.filter(F.coalesce("places", F.array().cast(SPAN)), lambda m: ~F.exists("base", lambda b: overlaps(b, m)))
+    return joined.select("doc_id", "base", F.concat("base", free).alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

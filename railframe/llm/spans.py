@@ -19,7 +19,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def found(text: Column, pattern: str, gate: str | None = None) -> Column:
+def found(text: Column, pattern: str | Column, gate: str | None = None) -> Column:
     """Leftmost non-overlapping matches, as array<struct<start, end, text>>; empty for null. gate: a string every match holds."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")

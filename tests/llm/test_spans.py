@@ -129,6 +129,19 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[0] == "Write to <term> at <email> about common words" and clean[5] == texts[5]
 
 
+def test_terms_reveal_an_entity_from_anywhere_in_the_document(spark):
+    far = "common words about nothing " * 40
+    filler = [f"common words about nothing Li number {i}" if i % 2 else "common words about nothing" for i in range(200)]
+    texts = [f"Ann wrote. {far}Mail q@example.com; {far}ask ANN", f"q@example.com {far}and Ann", f"see r@example.com {far}", f"r@example.com {far}Li", *filler, "Ann here"]
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.digest(pii.personal(frame(spark, texts))).collect()}
+    places = lambda i: [f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)\\bann\\b", texts[i])]
+    assert [s for s in spans[0] if "term" in s] == places(0) and len(places(0)) == 2
+    assert [s for s in spans[1] if "term" in s] == places(1)
+    assert not any("term" in s for i in range(2, len(texts)) for s in spans[i])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, texts)).collect()}
+    assert "ann" not in clean[0].lower() and clean[2] == f"see <email> {far}" and clean[204] == "Ann here"
+
+
 def test_places_count_code_points(spark):
     texts = ["😀😀 a@b.cd 日本 +12 345 678 901"]
     row = pii.digest(pii.personal(frame(spark, texts))).first()
