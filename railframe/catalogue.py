@@ -333,13 +333,13 @@ def event_stream(spark, sf):
 
 @query("SELECT event_id, event_type, value FROM events WHERE event_type IN ('purchase', 'click') AND value >= 5")
 def stream_valid(spark, sf):
-    return streams.to_memory(streams.valid(event_stream(spark, sf), EVENT), "stream_valid_rows")
+    return streams.to_files(streams.valid(event_stream(spark, sf), EVENT))
 
 
 @query("SELECT event_id, CAST((event_type NOT IN ('purchase', 'click'))::INT + (value < 5)::INT AS INTEGER) AS errors FROM events WHERE NOT (event_type IN ('purchase', 'click') AND value >= 5)")
 def stream_invalid(spark, sf):
     judged = streams.judged(event_stream(spark, sf), EVENT).where("NOT ok").select("event_id", F.size("errors").alias("errors"))
-    return streams.to_memory(judged, "stream_invalid_rows")
+    return streams.to_files(judged)
 
 
 def linked_list():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,3 +41,14 @@ def to_memory(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def to_files(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run what is there to Parquet files, and read them; executors write, nothing passes through the driver.
+
+    Without a folder, a new one below spark.checkpoint.dir; only where that is unset, a new local one."""
+    spark = stream.sparkSession
+    top = folder or f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/rows")

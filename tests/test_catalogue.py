@@ -21,6 +21,12 @@ def test_rows_without_sql(spark):
     assert all(r["initials"] == "".join(w[0] for w in names[r["p_partkey"]].split()) for r in rows)
 
 
+@pytest.mark.parametrize("name", ["stream_valid", "stream_invalid"])
+def test_streams_are_written_to_files(spark, name):
+    out = catalogue.QUERIES[name](spark, SF)
+    assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
+
+
 def test_contract(spark):
     assert e.entry(spark).columns == ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "ok", "errors"]
     assert e.entry(spark).where("ok").count() == 139
