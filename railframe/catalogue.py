@@ -235,6 +235,13 @@ def split_policy(spark, sf):
     return out.withColumn("parts", F.size("parts").cast("bigint"))
 
 
+@query("SELECT doc_id, CAST(CASE WHEN kept = '' THEN 0 ELSE len(string_split(kept, '. ')) END AS BIGINT) AS parts FROM (SELECT doc_id, regexp_replace(text, '(\\. )+$', '') AS kept FROM documents)")
+def split_text(spark, sf):
+    """Split whole texts at a literal separator; empty parts at the end are no parts."""
+    out = t.filtered(table(spark, sf, "documents").select("doc_id", F.col("text").alias("parts")), t.Hash(doc_id=t.Integer, parts=t.String.split(". ")))
+    return out.withColumn("parts", F.size("parts").cast("bigint"))
+
+
 @query("SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^https?://[^\\s]+$')")
 def uri_http(spark, sf):
     df = table(spark, sf, "pages").select("page_id", "url", F.col("url").alias("host"))

@@ -21,6 +21,13 @@ def test_rows_without_sql(spark):
     assert all(r["initials"] == "".join(w[0] for w in names[r["p_partkey"]].split()) for r in rows)
 
 
+def test_whole_texts_are_split(spark, tmp_path):
+    rows = [(1, "a. b. " + "c. " * 500), (2, "x" * 300 + ". y"), (3, ". . "), (4, ""), (5, "a. . b. "), (6, "z" * 198 + ". tail. end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["parts"] for r in catalogue.QUERIES["split_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: 502, 2: 2, 3: 0, 4: 0, 5: 3, 6: 3}
+
+
 @pytest.mark.parametrize("name", ["stream_valid", "stream_invalid"])
 def test_streams_are_written_to_files(spark, name):
     out = catalogue.QUERIES[name](spark, SF)
