@@ -29,4 +29,9 @@ def guarded(fn: Callable, dtype: T.DataType, rescue: tuple[type[BaseException],
 def python_step(fn: Callable, dtype: T.DataType, rescue: tuple[type[BaseException], ...] = ()) -> Callable[[Column], Column]:
     """A function of Columns for transform and build; a rescued failure is null, which the target's check reports."""
     step = guarded(fn, dtype, rescue)
-    return lambda c: step(c.isNotNull(), c)["value"]
+
+    def apply(c: Column) -> Column:
+        return step(c.isNotNull(), c)["value"]
+
+    apply.in_python = True  # Python's functions cannot stand in lambdas
+    return apply

@@ -27,26 +27,32 @@ def public(value: Column, dtype: T.DataType) -> Column:
     return F.to_json(value) if isinstance(dtype, T.VariantType) else value
 
 
-def columns(o: Out, column: str | None) -> list[Column]:
+def columns(o: Out, column: str | None) -> dict[str, Column]:
+    """What a type makes, by name."""
     if o.fields is not None and column is None:
-        return [public(f.value, f.dtype).alias(k) for k, f in o.fields.items()]
+        return {k: public(f.value, f.dtype) for k, f in o.fields.items()}
     if column is None and isinstance(o.dtype, T.StructType):
-        return [public(o.value.getField(f.name), f.dataType).alias(f.name) for f in o.dtype]
-    return [public(o.value, o.dtype).alias(column or "value")]
+        return {f.name: public(o.value.getField(f.name), f.dataType) for f in o.dtype}
+    return {column or "value": public(o.value, o.dtype)}
+
+
+def selected(df: DataFrame, column: str | None, made: dict[str, Column]) -> DataFrame:
+    """The other columns, if one was read, and those made. Names come last: no expression can mean a new column by an old name."""
+    kept = [c for c in df.columns if c != column] if column is not None else []
+    columns = [*(F.col(f"`{c}`") for c in kept), *made.values()]
+    return df.select(*(c.alias(f"__{i}") for i, c in enumerate(columns))).toDF(*kept, *made)
 
 
 def validate(df: DataFrame, t: object, column: str | None = None, ok: str = "ok", errors: str = "errors") -> DataFrame:
     """The fields that t makes of each row (or of one column), whether they are valid, and the errors (path, message)."""
     o = lowered(df, t, column)
-    kept = [F.col(f"`{c}`") for c in df.columns if c != column] if column is not None else []
-    return df.select(*kept, *columns(o, column), o.ok.alias(ok), o.errors.alias(errors))
+    return selected(df, column, columns(o, column) | {ok: o.ok, errors: o.errors})
 
 
 def filtered(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
     """The valid rows only."""
     o = lowered(df, t, column)
-    kept = [F.col(f"`{c}`") for c in df.columns if c != column] if column is not None else []
-    return df.where(o.ok).select(*kept, *columns(o, column))
+    return selected(df.where(o.ok), column, columns(o, column))
 
 
 def invalid(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
@@ -63,9 +69,7 @@ def parse(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
     """All rows, or an error that names the first invalid row's errors."""
     o = lowered(df, t, column)
     guard = lambda c: F.when(o.ok, c).otherwise(F.raise_error(F.to_json(o.errors)))
-    kept = [F.col(f"`{c}`") for c in df.columns if c != column] if column is not None else []
-    names = [f.name for f in o.dtype] if column is None and isinstance(o.dtype, T.StructType) else [column or "value"]
-    return df.select(*kept, *(guard(c).alias(n) for c, n in zip(columns(o, column), names)))
+    return selected(df, column, {n: guard(c) for n, c in columns(o, column).items()})
 
 
 def report(df: DataFrame, t: object) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..plans import matchers as M
 from ..plans import nodes as N
+from ..plans.cells import Out, step
 from ..plans.relation import kinds
 
 _POLICIES: dict[str, list[tuple[str | None, Callable]]] = {}
@@ -94,9 +95,11 @@ class Present(N.Refine):
         return Present(children[0])
 
     def lower(self, c, path):
-        o = self.base.lower(c, path)
-        n = scalars.attribute("size", o.value, o.dtype)
-        return N.applied_matcher(M.Custom(lambda _: o.value.isNotNull() if n is None else n > 0, "must be present"), o, path)
+        def of(o: Out) -> Out:
+            n = scalars.attribute("size", o.value, o.dtype)
+            return N.judged_by(o, o.value.isNotNull() if n is None else F.coalesce(n > 0, F.lit(False)), path, "must be present")
+
+        return step(self.base.lower(c, path), of)
 
 
 @policy("nullable")

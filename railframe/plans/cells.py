@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ERRORS = "array<struct<path:string,message:string>>"
+#: Columns that grow beyond so many leaves are bound before more than one step reads them.
+LIGHT = 32
 VARIANT = T.VariantType()
 
 FAMILIES = [
@@ -59,17 +62,24 @@ class Cell:
     present: Column | bool = True
     #: Of the row of a DataFrame: its columns are the fields.
     row: bool = False
+    #: About how many leaves the value's expression has.
+    weight: int = 1
+    #: Of a record that was just made: its fields.
+    fields: dict[str, Out] | None = None
 
     def field(self, name: str) -> Cell:
         """A field of a struct, map, VARIANT object or row."""
+        if self.fields is not None and name in self.fields:
+            own = self.fields[name]
+            return Cell(own.value, own.dtype, own.present, weight=own.weight)
         if isinstance(self.dtype, T.StructType):
             if name not in self.dtype.names:
                 return absent()
-            return Cell(F.col(f"`{name}`") if self.row else self.value.getField(name), self.dtype[name].dataType)
+            return Cell(F.col(f"`{name}`") if self.row else self.value.getField(name), self.dtype[name].dataType, weight=1 if self.row else self.weight)
         if isinstance(self.dtype, T.MapType):
-            return Cell(F.element_at(self.value, F.lit(name)), self.dtype.valueType, F.coalesce(F.map_contains_key(self.value, F.lit(name)), F.lit(False)))
+            return Cell(F.element_at(self.value, F.lit(name)), self.dtype.valueType, F.coalesce(F.map_contains_key(self.value, F.lit(name)), F.lit(False)), weight=self.weight + 1)
         found = F.try_variant_get(self.value, f"$['{name}']", "variant")
-        return Cell(found, VARIANT, found.isNotNull())
+        return Cell(found, VARIANT, found.isNotNull(), weight=self.weight + 1)
 
     def here(self) -> Column:
         return F.lit(self.present) if isinstance(self.present, bool) else self.present
@@ -79,21 +89,96 @@ def absent() -> Cell:
     return Cell(F.lit(None), T.NullType(), False)
 
 
-@dataclass(frozen=True)
 class Out:
-    """The value, whether it is valid (never null, free of error work so that it can be pushed down), and the errors."""
-
-    value: Column
-    ok: Column
-    errors: Column
-    dtype: T.DataType
-    #: What ok is for all rows, as far as the plan tells.
-    known: bool | None = None
-    present: Column | bool = True
-    fields: dict[str, Out] | None = None
+    """The value, whether it is valid (never null, free of error work so that it can be pushed down), and the errors.
+
+    Each may be given as a function: a column is built when somebody reads it. judged and whole: structs that hold value
+    and ok (v, ok), or those and the errors (v, ok, e), where these columns come out of one. origin: what a bound result
+    was made of, and how, so that the next step may go into the same binding."""
+
+    def __init__(
+        self,
+        value: Column | Callable[[], Column],
+        ok: Column | Callable[[], Column],
+        errors: Column | Callable[[], Column],
+        dtype: T.DataType,
+        known: bool | None = None,
+        present: Column | bool = True,
+        fields: dict[str, Out] | None = None,
+        weight: int = 2,
+        judged: Callable[[], Column] | None = None,
+        whole: Callable[[], Column] | None = None,
+        origin: tuple[list[Out], Callable[..., Out], int] | None = None,
+    ):
+        self.dtype, self.present, self.fields, self.weight, self.origin = dtype, present, fields, weight, origin
+        #: What ok is for all rows, as far as the plan tells.
+        self.known = known
+        self._made = {"value": value, "ok": ok, "errors": errors, "judged": judged or self._judged, "whole": whole or self._whole}
+
+    def _read(self, name: str) -> Column:
+        if not isinstance(self._made[name], Column):
+            self._made[name] = self._made[name]()
+        return self._made[name]
+
+    value, ok, errors = (property(lambda self, name=name: self._read(name)) for name in ("value", "ok", "errors"))
+
+    def _judged(self) -> Column:
+        return F.struct(self.value.alias("v"), self.ok.alias("ok"))
+
+    def _whole(self) -> Column:
+        return F.struct(self.value.alias("v"), self.ok.alias("ok"), self.errors.alias("e"))
+
+    def judged(self) -> Column:
+        return self._read("judged")
+
+    def whole(self) -> Column:
+        return self._read("whole")
 
     def cell(self) -> Cell:
-        return Cell(self.value, self.dtype, self.present)
+        return Cell(self.value, self.dtype, self.present, weight=self.weight, fields=self.fields)
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value written and computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def bound(outs: list[Out], then: Callable[..., Out]) -> Out:
+    """then(*outs), which may read them as often as it likes: they are written once.
+
+    So the text of a chain of steps grows with the number of steps, and does not multiply. Steps go into one binding until
+    that is large itself."""
+    if len(outs) == 1 and outs[0].origin is not None and outs[0].origin[2] <= LIGHT:
+        (outs, before, _), last = outs[0].origin, then
+        then = lambda *parts: last(before(*parts))
+    names = [f"_{n}" for n in range(len(outs))]
+
+    def inside(s: Column, with_errors: bool) -> Out:
+        parts = [(s[n], o) for n, o in zip(names, outs)]
+        return then(*(Out(p["v"], F.lit(True) if o.known else p["ok"], p["e"] if with_errors else no_errors, o.dtype, o.known, o.present, weight=1) for p, o in parts))
+
+    r = inside(F.lit(None), False)  # for its type only
+    carried = isinstance(r.present, Column) and not any(r.present is o.present for o in outs)
+
+    def judge(s: Column) -> Column:
+        o = inside(s, False)
+        return F.struct(o.value.alias("v"), o.ok.alias("ok"), o.present.alias("p")) if carried else o.judged()
+
+    def judged() -> Column:
+        return let(F.struct(*(o.judged().alias(n) for n, o in zip(names, outs))), judge)
+
+    def whole() -> Column:
+        return let(F.struct(*(o.whole().alias(n) for n, o in zip(names, outs))), lambda s: inside(s, True).whole())
+
+    made = Out(lambda: made.judged()["v"], F.lit(r.known) if r.known is not None else lambda: made.judged()["ok"], lambda: made.whole()["e"], r.dtype, r.known, r.present, weight=10 * LIGHT, judged=judged, whole=whole, origin=(outs, then, r.weight))
+    if carried:
+        made.present = made.judged()["p"]
+    return made
+
+
+def step(o: Out, then: Callable[[Out], Out], plain: bool = True) -> Out:
+    """then(o), bound first where o is large. Not plain: a function that must not stand in a lambda, such as Python's."""
+    return bound([o], then) if o.weight > LIGHT and plain else then(o)
 
 
 def no_errors() -> Column:
@@ -109,8 +194,8 @@ def gated(c: Cell, ok: Column | bool, path: Column, message: str | Column, value
     """A cell that passes where ok; a Python bool is known when planning."""
     known = ok if isinstance(ok, bool) else None
     test = F.lit(ok) if isinstance(ok, bool) else ok
-    errors = no_errors() if known else one_error(path, message) if known is False else F.when(test, no_errors()).otherwise(one_error(path, message))
-    return Out(c.value if value is None else value, test, errors, dtype or c.dtype, known, c.present)
+    errors = no_errors if known else lambda: one_error(path, message) if known is False else F.when(test, no_errors()).otherwise(one_error(path, message))
+    return Out(c.value if value is None else value, test, errors, dtype or c.dtype, known, c.present, weight=2 * c.weight)
 
 
 def both(a: bool | None, b: bool | None) -> bool | None:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars
 from . import matchers as M
-from .cells import ERRORS, TAGS, VARIANT, Cell, Out, absent, as_variant, both, common, conj, family, fitted, gated, no_errors, one_error
+from .cells import LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, let, no_errors, one_error, step
 
 
 class TypeMismatch(TypeError):
@@ -277,7 +277,7 @@ class Any(Type):
     preserving = True
 
     def lower(self, c, path):
-        return Out(c.value, F.lit(True), no_errors(), c.dtype, True, c.present)
+        return Out(c.value, F.lit(True), no_errors, c.dtype, True, c.present, weight=c.weight, fields=c.fields)
 
 
 @dataclass(frozen=True)
@@ -369,7 +369,7 @@ class Static(Type):
         return _dtype_of(self.literal)
 
     def lower(self, c, path):
-        return Out(M.literal(self.literal), F.lit(True), no_errors(), _dtype_of(self.literal), True)
+        return Out(M.literal(self.literal), F.lit(True), no_errors, _dtype_of(self.literal), True)
 
 
 def _dtype_of(v: Obj) -> T.DataType:
@@ -394,7 +394,7 @@ class Generate(Type):
     def lower(self, c, path):
         from .export import data_type
 
-        return Out(self.make(), F.lit(True), no_errors(), data_type(self.of), True)
+        return Out(self.make(), F.lit(True), no_errors, data_type(self.of), True)
 
 
 # --- refinements ------------------------------------------------------------------------------
@@ -406,19 +406,30 @@ def applied_matcher(m: M.Matcher, o: Out, path: Column) -> Out:
         return after(o, Gate(m.name), path)
     if isinstance(m, M.Equal):
         return after(o, Equals(m.value), path)
+    return step(o, lambda i: tested(m, i, path))
+
+
+def tested(m: M.Matcher, o: Out, path: Column) -> Out:
     if isinstance(o.dtype, T.VariantType):
         kinds = {M.kind_of(v) for v in (m.values if isinstance(m, M.OneOf) else m.ends() if isinstance(m, M.Between) else [""])}
         kind = "numeric" if kinds and all(M.is_a(k, "numeric") for k in kinds) else next(iter(kinds), "string")
-        g = Gate(kind or "string").lower(o.cell(), path)
-        o = Out(g.value, o.ok & g.ok, o.errors, g.dtype, both(o.known, g.known), o.present)
+        before, g = o, Gate(kind or "string").lower(o.cell(), path)
+        o = Out(g.value, o.ok & g.ok, lambda: before.errors, g.dtype, both(o.known, g.known), o.present, weight=o.weight + g.weight)
     if isinstance(m, M.Pattern) and family(o.dtype) != "string" or isinstance(m, (M.OneOf, M.Between)) and not comparable(m, o.dtype):
         return gated(o.cell(), False, path, m.message())
     if isinstance(m, M.OneOf) and not m.values:
         return gated(o.cell(), False, path, m.message())
-    test = m.column(o.value)
-    ok = test if o.known else o.ok & test
-    errors = F.when(~o.ok, o.errors).when(~test, one_error(path, m.message())).otherwise(no_errors()) if not o.known else F.when(test, no_errors()).otherwise(one_error(path, m.message()))
-    return Out(o.value, ok, errors, o.dtype, False if o.known is False else None, o.present)
+    return judged_by(o, m.column(o.value), path, m.message())
+
+
+def judged_by(o: Out, test: Column, path: Column, message: str) -> Out:
+    """o where test holds too."""
+
+    def errors() -> Column:
+        own = F.when(test, no_errors()).otherwise(one_error(path, message))
+        return own if o.known else F.when(~o.ok, o.errors).otherwise(own)
+
+    return Out(o.value, test if o.known else o.ok & test, errors, o.dtype, False if o.known is False else None, o.present, weight=2 * o.weight)
 
 
 def comparable(m: M.OneOf | M.Between, dtype: T.DataType) -> bool:
@@ -430,13 +441,21 @@ def comparable(m: M.OneOf | M.Between, dtype: T.DataType) -> bool:
 
 def after(o: Out, t: Type, path: Column) -> Out:
     """t on the value that o made; where o failed, o's value and errors."""
-    if o.known is False:
-        return o
+    return o if o.known is False else step(o, lambda i: followed(i, t, path), in_columns(t))
+
+
+def followed(o: Out, t: Type, path: Column) -> Out:
     n = t.lower(o.cell(), path)
     if o.known:
         return n
     dtype = n.dtype if not isinstance(n.dtype, T.NullType) else o.dtype
-    return Out(n.value, o.ok if n.known else n.ok if n.known is False else o.ok & n.ok, F.when(~o.ok, o.errors).otherwise(n.errors), dtype, False if n.known is False else None, n.present, n.fields)
+    ok = o.ok if n.known else n.ok if n.known is False else o.ok & n.ok
+    return Out(n.value, ok, lambda: F.when(~o.ok, o.errors).otherwise(n.errors), dtype, False if n.known is False else None, n.present, n.fields, weight=2 * o.weight + n.weight)
+
+
+def in_columns(t: Type) -> bool:
+    """Whether a type is made of Column functions only, and none of them runs in Python."""
+    return not getattr(getattr(t, "fn", None), "in_python", False) and all(map(in_columns, t.children()))
 
 
 @dataclass(frozen=True)
@@ -501,12 +520,15 @@ class Attr(Refine):
         return Attr(children[0], self.matcher, self.name)
 
     def lower(self, c, path):
-        o = self.base.lower(c, path)
-        found = scalars.attribute(self.name, o.value, o.dtype)
         said = f"must have {self.name} that {self.matcher.message()[0].lower()}{self.matcher.message()[1:]}"
-        if found is None:
-            return after(o, Never(), path) if o.known is not True else gated(o.cell(), False, path, said)
-        return applied_matcher(M.Custom(lambda _: self.matcher.column(found), said), o, path)
+
+        def of(o: Out) -> Out:
+            found = scalars.attribute(self.name, o.value, o.dtype)
+            if found is None:
+                return after(o, Never(), path) if o.known is not True else gated(o.cell(), False, path, said)
+            return judged_by(o, F.coalesce(self.matcher.column(found), F.lit(False)), path, said)
+
+        return step(self.base.lower(c, path), of)
 
 
 # --- logic ------------------------------------------------------------------------------------
@@ -607,16 +629,22 @@ class Choice(Type):
         if a.known:
             return a
         b = self.right.lower(c, path)
-        errors = F.concat(a.errors, b.errors)
+        if a.known is None and b.known is not False and a.weight + b.weight > LIGHT and in_columns(self):
+            return bound([a, b], self.either)
+        return self.either(a, b)
+
+    def either(self, a: Out, b: Out) -> Out:
+        none_of_both = lambda test: F.when(test, no_errors()).otherwise(F.concat(a.errors, b.errors))
+        weight = a.weight + b.weight
         if a.known is False:
-            return Out(b.value, b.ok, no_errors() if b.known else F.when(b.ok, no_errors()).otherwise(errors), b.dtype, b.known, b.present, b.fields)
+            return Out(b.value, b.ok, no_errors if b.known else lambda: none_of_both(b.ok), b.dtype, b.known, b.present, b.fields, weight=weight)
         if b.known is False:
-            return Out(a.value, a.ok, F.when(a.ok, no_errors()).otherwise(errors), a.dtype, None, a.present, a.fields)
+            return Out(a.value, a.ok, lambda: none_of_both(a.ok), a.dtype, None, a.present, a.fields, weight=weight)
         null = isinstance(self.left, Gate) and self.left.kind == "nil"  # its value has no type of its own
         dtype = b.dtype if null else common(a.dtype, b.dtype)
         value = F.when(~a.ok & b.ok, b.value) if null else F.when(a.ok, fitted(a.value, a.dtype, dtype)).when(b.ok, fitted(b.value, b.dtype, dtype))
         present = True if a.present is True and b.present is True else F.when(a.ok, a.cell().here()).otherwise(b.cell().here())
-        return Out(value, F.lit(True) if b.known else a.ok | b.ok, no_errors() if b.known else F.when(a.ok | b.ok, no_errors()).otherwise(errors), dtype, True if b.known else None, present)
+        return Out(value, F.lit(True) if b.known else a.ok | b.ok, no_errors if b.known else lambda: none_of_both(a.ok | b.ok), dtype, True if b.known else None, present, weight=weight)
 
 
 # --- conversions ------------------------------------------------------------------------------
@@ -647,18 +675,19 @@ class Convert(Type):
         return Convert(*children, self.fn, self.name, self.guaranteed)
 
     def lower(self, c, path):
+        i = self.inp.lower(c, path)
+        return i if i.known is False else step(i, lambda o: self.mapped(o, path), in_columns(self))
+
+    def mapped(self, i: Out, path: Column) -> Out:
         from .export import data_type
 
-        i = self.inp.lower(c, path)
-        if i.known is False:
-            return i
         dtype = data_type(self.out)
         if self.fn is None:
             raw, made = scalars.COERCIONS[self.name][0](i.value, i.dtype), scalars.COERCIONS[self.name][1] or i.dtype
         else:
             raw, made = self.fn(i.value), dtype if not isinstance(dtype, T.NullType) else i.dtype
         raw = raw if i.known else F.when(i.ok, raw)
-        mapped = Out(raw, i.ok, i.errors, made, i.known)
+        mapped = Out(raw, i.ok, lambda: i.errors, made, i.known, weight=2 * i.weight)
         return mapped if self.guaranteed and isinstance(self.out, Any) else after(mapped, Gate_of(self.out, made) if self.guaranteed else self.out, path)
 
 
@@ -692,8 +721,9 @@ class Invoke(Type):
 
     def lower(self, c, path):
         i = self.inp.lower(c, path)
-        if i.known is False:
-            return i
+        return i if i.known is False else step(i, self.called)
+
+    def called(self, i: Out) -> Out:
         raw = scalars.METHODS[self.method](i.value, i.dtype, *self.args)
         made = i.dtype
         if self.method in ("size", "length", "year", "month", "day"):
@@ -706,7 +736,7 @@ class Invoke(Type):
             made = T.ArrayType(i.dtype.keyType if self.method == "keys" else i.dtype.valueType)
         elif self.method == "except" and isinstance(i.dtype, T.StructType):
             made = T.StructType([f for f in i.dtype if f.name not in self.args])
-        return Out(raw if i.known else F.when(i.ok, raw), i.ok, i.errors, made, i.known, i.present)
+        return Out(raw if i.known else F.when(i.ok, raw), i.ok, lambda: i.errors, made, i.known, i.present, weight=2 * i.weight)
 
 
 def base_of(t: Type) -> Type:
@@ -793,7 +823,8 @@ class Record(Type):
             o = t.lower(cell, at(path, k.name))
             if k.optional and not isinstance(cell.present, bool):
                 here = cell.present
-                o = Out(F.when(here, o.value), ~here | o.ok, F.when(here, o.errors).otherwise(no_errors()), o.dtype, True if o.known else None, here)
+                own = o
+                o = Out(F.when(here, own.value), ~here | own.ok, lambda own=own, here=here: F.when(here, own.errors).otherwise(no_errors()), own.dtype, True if own.known else None, here, weight=2 * own.weight)
             out[k.name] = o
         return out | self.others(c, path)
 
@@ -829,8 +860,8 @@ class Record(Type):
         kept = F.map_filter(tail, lambda k, v: matched(k))
         value = F.transform_values(kept, lambda k, v: chosen(k, v, lambda o: fitted(o.value, o.dtype, dtype), F.lit(None).cast(dtype)))
         ok = F.coalesce(F.forall(F.map_entries(kept), lambda e: chosen(e["key"], e["value"], lambda o: o.ok, F.lit(True))), F.lit(True))
-        errors = F.coalesce(F.flatten(F.transform(F.map_entries(kept), lambda e: chosen(e["key"], e["value"], lambda o: o.errors, no_errors()))), no_errors())
-        return {"_": Out(value, ok, errors, T.MapType(T.StringType(), dtype))}
+        errors = lambda: F.coalesce(F.flatten(F.transform(F.map_entries(kept), lambda e: chosen(e["key"], e["value"], lambda o: o.errors, no_errors()))), no_errors())
+        return {"_": Out(value, ok, errors, T.MapType(T.StringType(), dtype), weight=LIGHT)}
 
     def lower(self, c, path):
         g = Gate("hash").lower(c, path)
@@ -838,16 +869,17 @@ class Record(Type):
             return gated(c, False, path, "must be a Hash")
         # An object's fields are taken from the object itself, so that null and absent stay apart.
         if not self.fields and not self.typed and self.rest is None:
-            return Out(c.value, g.ok, g.errors, c.dtype, g.known, c.present)
-        parts = self.parts(Cell(c.value, c.dtype, c.present, c.row), path)
+            return Out(c.value, g.ok, lambda: g.errors, c.dtype, g.known, c.present, weight=g.weight, fields=c.fields)
+        parts = self.parts(c, path)
         ok, known = conj(list(parts.values()))
         stored = {k: o for k, o in parts.items() if o.present is not False}
         dtype = T.StructType([T.StructField(k, o.dtype) for k, o in stored.items()])
         value = F.struct(*(o.value.alias(k) for k, o in stored.items())) if stored else F.struct()
-        errors = F.concat(*(o.errors for o in parts.values())) if parts else no_errors()
+        errors = lambda: F.concat(*(o.errors for o in parts.values())) if parts else no_errors()
+        weights = [o.weight for o in parts.values()]
         if g.known:
-            return Out(value, ok, errors, dtype, known, c.present, stored)
-        return Out(F.when(g.ok, value), g.ok & ok, F.when(g.ok, errors).otherwise(one_error(path, "must be a Hash")), dtype, False if known is False else None, c.present)
+            return Out(value, ok, errors, dtype, known, c.present, stored, weight=max(weights, default=1))
+        return Out(F.when(g.ok, value), g.ok & ok, lambda: F.when(g.ok, errors()).otherwise(one_error(path, "must be a Hash")), dtype, False if known is False else None, c.present, weight=g.weight + sum(weights))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -903,9 +935,10 @@ class FilteredRecord(Type):
             return gated(c, False, path, "must be a Hash")
         parts = {k: o for k, o in self.inner.parts(c, path).items() if o.known is not False and o.present is not False}
         dtype = T.StructType([T.StructField(k, o.dtype) for k, o in parts.items()])
-        kept = {k: Out(F.when(o.ok, o.value), F.lit(True), no_errors(), o.dtype, True) for k, o in parts.items()}
+        kept = {k: Out(F.when(o.ok, o.value), F.lit(True), no_errors, o.dtype, True, weight=2 * o.weight) for k, o in parts.items()}
         value = F.struct(*(o.value.alias(k) for k, o in kept.items()))
-        return Out(value if g.known else F.when(g.ok, value), g.ok, g.errors, dtype, g.known, c.present, kept)
+        weight = max((o.weight for o in kept.values()), default=1) if g.known else g.weight + sum(o.weight for o in kept.values())
+        return Out(value if g.known else F.when(g.ok, value), g.ok, lambda: g.errors, dtype, g.known, c.present, kept if g.known else None, weight=weight)
 
 
 @dataclass(frozen=True)
@@ -939,25 +972,32 @@ class Tagged(Type):
         for _, parts in cases:
             for k, o in parts.items():
                 names[k] = common(names[k], o.dtype) if k in names else o.dtype
-        ok, errors = F.lit(False), one_error(at(path, self.key), f"expected :{self.key} to be one of {', '.join(map(M.shown, self.tags()))}")
+        ok = F.lit(False)
         fields = {k: F.lit(None).cast(d) for k, d in names.items()}
         for test, parts in reversed(cases):
             good, _ = conj(list(parts.values()))
             ok = F.when(test, good).otherwise(ok)
-            errors = F.when(test, F.concat(*(o.errors for o in parts.values()))).otherwise(errors)
             fields = {k: F.when(test, fitted(parts[k].value, parts[k].dtype, d) if k in parts else F.lit(None).cast(d)).otherwise(fields[k]) for k, d in names.items()}
+
+        def errors() -> Column:
+            said = one_error(at(path, self.key), f"expected :{self.key} to be one of {', '.join(map(M.shown, self.tags()))}")
+            for test, parts in reversed(cases):
+                said = F.when(test, F.concat(*(o.errors for o in parts.values()))).otherwise(said)
+            return said if g.known else F.when(g.ok, said).otherwise(g.errors)
+
         dtype = T.StructType([T.StructField(k, d) for k, d in names.items()])
-        outs = {k: Out(v, F.lit(True), no_errors(), names[k]) for k, v in fields.items()}
+        weight = len(cases) * c.weight + sum(o.weight for _, parts in cases for o in parts.values())
+        outs = {k: Out(v, F.lit(True), no_errors, names[k], weight=weight) for k, v in fields.items()}
         value = F.struct(*(v.alias(k) for k, v in fields.items()))
-        if not g.known:
-            value, ok, errors = F.when(g.ok, value), g.ok & ok, F.when(g.ok, errors).otherwise(g.errors)
-        return Out(value, ok, errors, dtype, None, c.present, outs)
+        if g.known:
+            return Out(value, ok, errors, dtype, None, c.present, outs, weight=weight)
+        return Out(F.when(g.ok, value), g.ok & ok, errors, dtype, None, c.present, weight=g.weight + weight * len(names))
 
 
 def elements(c: Cell) -> tuple[Cell, Out]:
     """The array in a cell and whether it is one."""
     g = Gate("array").lower(c, F.lit(""))
-    return Cell(g.value, g.dtype, c.present), g
+    return Cell(g.value, g.dtype, c.present, weight=g.weight), g
 
 
 @dataclass(frozen=True)
@@ -998,17 +1038,33 @@ class Array(Type):
         if g.known is False:
             return gated(c, False, path, "must be an Array")
         el = a.dtype.elementType
-        made = self._element(F.lit(None).cast(el), el, path).dtype
+        indexed = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
-        def mapped(x: Column) -> Column:
-            o = self._element(x, el, path)
-            return fitted(o.value if o.known else F.when(o.ok, o.value), o.dtype, made)
+        def errors() -> Column:
+            own = F.transform(a.value, lambda x, i: self._element(x, el, indexed(i)).errors)
+            return F.when(g.ok, F.coalesce(F.flatten(own), no_errors())).otherwise(one_error(path, "must be an Array"))
 
-        value = a.value if self.of.preserving and made == el else F.transform(a.value, mapped)
-        ok = F.coalesce(F.forall(a.value, lambda x: self._element(x, el, path).ok), F.lit(False))
-        indexed = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-        errors = F.when(g.ok, F.coalesce(F.flatten(F.transform(a.value, lambda x, i: self._element(x, el, indexed(i)).errors)), no_errors())).otherwise(one_error(path, "must be an Array"))
-        return Out(value, g.ok & ok, errors, T.ArrayType(made), None, c.present)
+        known = self.__dict__.setdefault("_known", {})  # what an element's type makes of a column type
+
+        def element(x: Column) -> Out:
+            o = self._element(x, el, path)
+            known[el] = o.dtype, o.weight
+            return o
+
+        all_ok = lambda: F.coalesce(F.forall(a.value, lambda x: element(x).ok), F.lit(False))
+
+        def judged() -> Column:
+            """Each element is judged once; what comes out is taken from the pairs of value and validity."""
+            pairs = F.transform(a.value, lambda x: element(x).judged())
+            return let(pairs, lambda p: F.struct(F.transform(p, lambda s: F.when(s["ok"], s["v"])).alias("v"), F.coalesce(F.forall(p, lambda s: s["ok"]), F.lit(False)).alias("ok")))
+
+        seen = el in known
+        first = None if seen else all_ok() if self.of.preserving else judged()
+        made, weight = known[el]
+        if self.of.preserving and made == el:
+            return Out(a.value, (lambda: g.ok & all_ok()) if seen else g.ok & first, errors, a.dtype, None, c.present, weight=2 * a.weight + weight)
+        out = Out(lambda: out.judged()["v"], lambda: out.judged()["ok"], errors, T.ArrayType(made), None, c.present, weight=10 * LIGHT, judged=judged if seen or self.of.preserving else lambda: first)
+        return out
 
 
 @dataclass(frozen=True)
@@ -1034,10 +1090,15 @@ class FilteredArray(Type):
         a, g = elements(c)
         if g.known is False:
             return gated(c, False, path, "must be an Array")
-        el = a.dtype.elementType
-        made = self.inner._element(F.lit(None).cast(el), el, path).dtype
-        good = F.filter(a.value, lambda x: self.inner._element(x, el, path).ok)
-        return Out(F.transform(good, lambda x: self.inner._element(x, el, path).value), g.ok, g.errors, T.ArrayType(made), g.known, c.present)
+        el, seen = a.dtype.elementType, []
+
+        def element(x: Column) -> Out:
+            seen.append(self.inner._element(x, el, path))
+            return seen[-1]
+
+        pairs = F.transform(a.value, lambda x: element(x).judged())
+        value = F.transform(F.filter(pairs, lambda s: s["ok"]), lambda s: s["v"])
+        return Out(value, g.ok, lambda: g.errors, T.ArrayType(seen[0].dtype), g.known, c.present, weight=10 * LIGHT)
 
 
 @dataclass(frozen=True)
@@ -1081,13 +1142,24 @@ class Map(Type):
         made = self._made(d, path)
         entries = F.map_entries(g.value)
         good = lambda e: conj(list(self._entry(e, d, path)))[0]
-        pair = lambda e: F.struct((p := self._entry(e, d, path))[0].value.alias("key"), p[1].value.alias("value"))
+
+        def judged(e: Column) -> Column:
+            k, v = self._entry(e, d, path)
+            return F.struct(k.value.alias("key"), v.value.alias("value"), conj([k, v])[0].alias("ok"))
+
+        def errors() -> Column:
+            own = F.transform(entries, lambda e: F.concat(*(o.errors for o in self._entry(e, d, path))))
+            return F.when(g.ok, F.coalesce(F.flatten(own), no_errors())).otherwise(one_error(path, "must be a Hash"))
+
+        if not drop and self.preserving and made == d:
+            ok = F.coalesce(F.forall(entries, good), F.lit(False))
+            return Out(g.value, g.ok & ok, errors, made, None, c.present, weight=LIGHT)
+        made_of = lambda p: F.map_from_entries(F.transform(F.filter(p, lambda s: s["ok"]), lambda s: F.struct(s["key"], s["value"])))
         if drop:
-            return Out(F.map_from_entries(F.transform(F.filter(entries, good), pair)), g.ok, g.errors, made, g.known, c.present)
-        ok = F.coalesce(F.forall(entries, good), F.lit(False))
-        value = g.value if self.preserving and made == d else F.when(ok, F.map_from_entries(F.transform(F.filter(entries, good), pair)))
-        errors = F.when(g.ok, F.coalesce(F.flatten(F.transform(entries, lambda e: F.concat(*(o.errors for o in self._entry(e, d, path))))), no_errors())).otherwise(one_error(path, "must be a Hash"))
-        return Out(value, g.ok & ok, errors, made, None, c.present)
+            return Out(made_of(F.transform(entries, judged)), g.ok, lambda: g.errors, made, g.known, c.present, weight=10 * LIGHT)
+        fine = lambda p: F.coalesce(F.forall(p, lambda s: s["ok"]), F.lit(False))
+        pairs = let(F.transform(entries, judged), lambda p: F.struct(F.when(fine(p), made_of(p)).alias("v"), fine(p).alias("ok")))
+        return Out(pairs["v"], pairs["ok"], errors, made, None, c.present, weight=10 * LIGHT, judged=lambda: pairs)
 
 
 @dataclass(frozen=True)
@@ -1140,13 +1212,13 @@ class Tuple(Type):
             if g.known is False:
                 return gated(c, False, path, "must be an Array")
             sized = F.coalesce(F.size(a.value) == n, F.lit(False))
-            cells = [Cell(F.get(a.value, F.lit(i)), a.dtype.elementType) for i in range(n)]
+            cells = [Cell(F.get(a.value, F.lit(i)), a.dtype.elementType, weight=a.weight) for i in range(n)]
         outs = [t.lower(x, F.concat(path, F.lit(f"[{i}]"))) for i, (t, x) in enumerate(zip(self.of, cells))]
         ok, _ = conj(outs)
         dtype = T.StructType([T.StructField(f"_{i}", o.dtype) for i, o in enumerate(outs)])
         value = F.when(g.ok & sized, F.struct(*(o.value.alias(f"_{i}") for i, o in enumerate(outs))))
-        errors = F.when(~g.ok, one_error(path, "must be an Array")).when(~sized, one_error(path, f"must have the same size, {n}")).otherwise(F.concat(*(o.errors for o in outs)))
-        return Out(value, g.ok & sized & ok, errors, dtype, None, c.present)
+        errors = lambda: F.when(~g.ok, one_error(path, "must be an Array")).when(~sized, one_error(path, f"must have the same size, {n}")).otherwise(F.concat(*(o.errors for o in outs)))
+        return Out(value, g.ok & sized & ok, errors, dtype, None, c.present, weight=g.weight + sum(o.weight for o in outs))
 
 
 @dataclass(frozen=True)
@@ -1165,15 +1237,17 @@ class Interval(Type):
     def lower(self, c, path):
         if not (isinstance(c.dtype, T.StructType) and family(c.dtype) == "range"):
             return gated(c, False, path, "must be a Range")
-        tests, errors = [c.value.isNotNull()], []
-        for end in ("from", "to"):
-            e = c.field(end)
-            o = self.of.lower(e, at(path, end))
-            tests.append(e.value.isNull() | o.ok)
-            errors.append(F.when(e.value.isNull(), no_errors()).otherwise(o.errors))
-        ok = tests[0] & tests[1] & tests[2]
-        first = F.when(F.size(errors[0]) > 0, errors[0]).otherwise(errors[1])
-        return Out(c.value, F.coalesce(ok, F.lit(False)), F.when(tests[0], first).otherwise(one_error(path, "must be a Range")), c.dtype, None, c.present)
+        ends = [(c.field(end), self.of.lower(c.field(end), at(path, end))) for end in ("from", "to")]
+        here = c.value.isNotNull()
+        ok = here
+        for e, o in ends:
+            ok = ok & (e.value.isNull() | o.ok)
+
+        def errors() -> Column:
+            low, high = (F.when(e.value.isNull(), no_errors()).otherwise(o.errors) for e, o in ends)
+            return F.when(here, F.when(F.size(low) > 0, low).otherwise(high)).otherwise(one_error(path, "must be a Range"))
+
+        return Out(c.value, F.coalesce(ok, F.lit(False)), errors, c.dtype, None, c.present, weight=c.weight + sum(o.weight for _, o in ends))
 
 
 @dataclass(frozen=True)
@@ -1248,7 +1322,7 @@ class Deferred(Type):
             return gated(c, False, path, "must be a Hash")
         deeper = transformed(self.target(), lambda t: Deferred(t.make, t.max_depth, self.depth + 1) if isinstance(t, Deferred) and t.make is self.make else t)
         o = deeper.lower(c, path)
-        return Out(c.value, o.ok, o.errors, c.dtype, o.known, c.present) if isinstance(c.dtype, T.VariantType) else o
+        return Out(c.value, o.ok, lambda: o.errors, c.dtype, o.known, c.present, weight=o.weight) if isinstance(c.dtype, T.VariantType) else o
 
 
 @dataclass(frozen=True)
