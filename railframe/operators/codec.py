@@ -44,12 +44,20 @@ class Encoder:
         return self.decoding() >> other
 
 
+# Fixed patterns.
+DATE_FORM = r"\A\d{4}-\d{2}-\d{2}\z"
+TIME_FORM = r"\A\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?\z"
+FLOAT_FORM = r"\A-?\d+(\.\d+)?([eE][+-]?\d+)?\z"
+INTEGER_FORM = r"\A-?\d+\z"
+BOOLEAN_FORM = r"\A(?i:true|1|false|0)\z"
+
+
 def date_pattern(c: Column) -> Column:
-    return F.when(c.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), c.try_cast("date"))
+    return F.when(c.rlike(DATE_FORM), c.try_cast("date"))
 
 
 def time_pattern(c: Column) -> Column:
-    return F.when(c.rlike(r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"), c.try_cast("timestamp"))
+    return F.when(c.rlike(TIME_FORM), F.regexp_replace(c, r"([+-]\d{2})(\d{2})\z", "$1:$2").try_cast("timestamp"))
 
 
 def time_text(c: Column) -> Column:
@@ -60,12 +68,12 @@ TEXT = N.Gate("string")
 DATE = Encoder(TEXT, N.Gate("date"), date_pattern, lambda c: c.cast("string"), "date")
 TIME = Encoder(TEXT, N.Gate("time"), time_pattern, time_text, "time")
 SYMBOL = Encoder(TEXT, N.Gate("symbol"), lambda c: c, lambda c: c, "symbol")
-DECIMAL = Encoder(TEXT[M.Pattern(r"\A-?\d+(\.\d+)?\z")], N.Gate("decimal"), lambda c: c.try_cast(scalars.DECIMAL), scalars.decimal_text, "decimal")
+DECIMAL = Encoder(TEXT[M.Pattern(FLOAT_FORM)], N.Gate("decimal"), lambda c: c.try_cast(scalars.DECIMAL), scalars.decimal_text, "decimal")
 # Forms: text that must look exactly so; casts alone are lenient.
-INTEGER = Encoder(TEXT[M.Pattern(r"\A-?\d+\z")], N.Gate("integer"), lambda c: c.try_cast("bigint"), lambda c: c.cast("string"), "integer")
-FLOAT = Encoder(TEXT[M.Pattern(r"\A-?\d+(\.\d+)?([eE][+-]?\d+)?\z")], N.Gate("float"), lambda c: c.try_cast("double"), lambda c: scalars.float_text(c.cast("double")), "float")
-NUMERIC = Encoder(TEXT[M.Pattern(r"\A-?\d+(\.\d+)?([eE][+-]?\d+)?\z")], N.Gate("numeric"), lambda c: c.try_cast("double"), lambda c: scalars.float_text(c.cast("double")), "numeric")
-BOOLEAN = Encoder(TEXT[M.Pattern(r"\A(?i:true|1|false|0)\z")], N.Gate("boolean"), lambda c: F.lower(c).isin("true", "1"), lambda c: c.cast("string"), "boolean")
+INTEGER = Encoder(TEXT[M.Pattern(INTEGER_FORM)], N.Gate("integer"), lambda c: c.try_cast("bigint"), lambda c: c.cast("string"), "integer")
+FLOAT = Encoder(TEXT[M.Pattern(FLOAT_FORM)], N.Gate("float"), lambda c: c.try_cast("double"), lambda c: scalars.float_text(c.cast("double")), "float")
+NUMERIC = Encoder(TEXT[M.Pattern(FLOAT_FORM)], N.Gate("numeric"), lambda c: c.try_cast("double"), lambda c: scalars.float_text(c.cast("double")), "numeric")
+BOOLEAN = Encoder(TEXT[M.Pattern(BOOLEAN_FORM)], N.Gate("boolean"), lambda c: F.lower(c).isin("true", "1"), lambda c: c.cast("string"), "boolean")
 NIL = Encoder(TEXT[M.OneOf(("",))], N.Gate("nil"), lambda c: F.lit(None), lambda c: F.lit(""), "nil")
 
 
