@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch: texts may be long, so batches hold few rows.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch: texts may be long, so batches hold few rows, and fewer of very long ones.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 #: Words in a shingle.
 WORDS = 5
@@ -23,14 +23,18 @@ _CACHED_DIR: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
+    """Keep Arrow batches of whole texts small. Spark reads the setting when a query runs, so it stays with the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; where that is unset, below a new local folder."""
+    """A new path below spark.checkpoint.dir, which driver and executors share. Where that is unset, below a new local folder,
+    but only if everything runs on this machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         top = _CACHED_DIR.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return f"{top.rstrip('/')}/railframe-{uuid.uuid4().hex}/{name}"
@@ -44,6 +48,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Copies of the small side of a salted join.
+SALTS = 16
+
+
+def salted(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """big joined with small, whose keys are unique: rows of a key that fills any share of big are dealt to SALTS tasks by the
+    partition that they come from, and small is copied to each."""
+    spread = big.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
