@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long tokens.
 
-A candidate is a maximal run of 20 or more letters, digits and + / _ = -. Its encoding (digits, hex, letters, base32,
+A candidate is a maximal run of 16 or more letters, digits and + / _ = -, with dots inside; what the patterns found is rated
+too, and a token may lie in, extend or cross their spans. Its encoding (digits, hex, letters, base32,
 base64) is inferred from its characters and gives the size of the alphabet. Three tests each ask whether the token could
 still be written by people, their null hypothesis: chi-squared, against the non-central distribution that letters of a
 language give; runs, against what people write in that encoding: the many changes between vowels and others of words for
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
-from .spans import found, kept, let, listed, masked, overlaps, upper_tail
+from .spans import found, kept, let, listed, masked, upper_tail
 
 KINDS = ["assign", "access", "hex", "random"]
 
@@ -27,7 +28,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+# Of one-character steps only, so that long runs take constant stack.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-](?:(?!\.(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=.-]){15,}+"
 
 #: Share of false reports that is allowed in each class of length.
 FDR = 0.01
@@ -74,29 +76,32 @@ def p_value(token: Column) -> Column:
 
     def serial(x: Column) -> Column:
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-        mean = total(x) / n
-        spread2 = total(F.transform(x, lambda v: v * v)) - n * mean * mean
-        lag = total(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: (a - mean) * (b - mean)))
-        r = F.when(spread2 > 0, F.least(F.abs(lag / spread2), F.lit(0.999))).otherwise(F.lit(0.999))
-        return upper_tail((F.atanh(F.lit(CORRELATION)) - F.atanh(r)) * F.sqrt(n - 3))
+
+        def around(mean: Column) -> Column:
+            spread2 = total(F.transform(x, lambda v: v * v)) - n * mean * mean
+            lag = total(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: (a - mean) * (b - mean)))
+            r = F.when(spread2 > 0, F.least(F.abs(lag / spread2), F.lit(0.999))).otherwise(F.lit(0.999))
+            return upper_tail((F.atanh(F.lit(CORRELATION)) - F.atanh(r)) * F.sqrt(n - 3))
+
+        return let(total(x) / n, around)  # once, not for each character
 
     by_serial = let(F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double")), serial)
     return F.greatest(by_chi2, by_runs, by_serial)
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base (spans) and tokens (array of start, end, step of the p-value, class of length) to every row."""
+    """Adds __base (spans) and __tokens (array of start, end, step of the p-value, class of length) to every row."""
     body = F.col(text).cast("string")
-    base = docs.withColumn("base", base_spans(body)).withColumn("__tokens", found(body, TOKEN))
-    free = F.filter("__tokens", lambda t: ~F.exists("base", lambda s: overlaps(s, t)))
     step = lambda t: F.least(F.floor(-F.log10(F.greatest(p_value(t), F.lit(1e-300))) / STEP), F.lit(STEPS)).cast("int")
-    rated = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), step(t["text"]).alias("step"), F.floor(F.log2(t["end"] - t["start"])).cast("int").alias("length")))
-    return base.withColumn("tokens", F.when(F.size("__tokens") > 0, rated).otherwise(F.array().cast("array<struct<start:int,end:int,step:int,length:int>>"))).drop("__tokens")
+    rated = lambda tokens: F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), step(t["text"]).alias("step"), F.floor(F.log2(t["end"] - t["start"])).cast("int").alias("length")))
+    none = F.array().cast("array<struct<start:int,end:int,step:int,length:int>>")
+    tokens = let(found(body, TOKEN), lambda found_tokens: F.when(F.size(found_tokens) > 0, rated(found_tokens)).otherwise(none))
+    return docs.withColumn("__base", base_spans(body)).withColumn("__tokens", tokens)
 
 
 def thresholds(scan: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """The least step of a p-value that is reported, for each class of length; from counts of all tokens, at most STEPS + 1 for each class."""
-    counts = scan.select(F.explode("tokens").alias("t")).groupBy("t.length", "t.step").agg(F.count("*").alias("n"))
+    counts = scan.select(F.explode("__tokens").alias("t")).groupBy("t.length", "t.step").agg(F.count("*").alias("n"))
     above = Window.partitionBy("length").orderBy(F.col("step").desc())
     rows = counts.withColumn("reported", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("length")))
     good = rows.where(F.col("all") * F.pow(F.lit(10.0), -STEP * F.col("step")) <= fdr * F.col("reported"))
@@ -104,25 +109,25 @@ def thresholds(scan: DataFrame, fdr: float = FDR) -> dict[int, int]:
 
 
 def with_random(scan: DataFrame, least: dict[int, int]) -> DataFrame:
-    """Adds spans: the base ones, and the tokens that pass their class's threshold."""
+    """Adds __spans: the base ones, and the tokens that pass their class's threshold."""
     def reported(t: Column) -> Column:
         out = F.lit(False)
         for length, step in sorted(least.items()):
             out = out | ((t["length"] == length) & (t["step"] >= step))
         return out
 
-    random = F.transform(F.filter("tokens", reported), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(3).alias("kind")))
-    return scan.withColumn("spans", F.concat("base", random)).drop("tokens")
+    random = F.transform(F.filter("__tokens", reported), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(3).alias("kind")))
+    return scan.withColumn("__spans", F.concat("__base", random)).drop("__tokens")
 
 
 def secrets(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     """All columns of docs but the text, and base and spans (start, end, kind as a place in KINDS) of each row.
 
-    Null and empty texts have no spans. The scan is written once, without the texts, and read for the thresholds and the
-    result.
+    Columns of docs that are named base or spans give way to these. Null and empty texts have no spans. The scan is written
+    once, without the texts, and read for the thresholds and the result.
     """
-    scan = saved(scanned(docs, text).drop(text), "secrets")
-    return with_random(scan, thresholds(scan, fdr))
+    scan = saved(scanned(docs, text).drop(text, "base", "spans"), "secrets")
+    return with_random(scan, thresholds(scan, fdr)).withColumnsRenamed({"__base": "base", "__spans": "spans"})
 
 
 def digest(found_spans: DataFrame) -> DataFrame:
@@ -132,10 +137,12 @@ def digest(found_spans: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
-    """docs with every secret of the text replaced by its kind in angle brackets; null texts stay null."""
-    tokens = saved(scanned(docs.select(text), text).select("tokens").where(F.size("tokens") > 0), "tokens")
+    """docs with every secret of the text replaced by its kind in angle brackets; null texts stay null.
+
+    The scan is written once, with the rows."""
     # The row is carried whole, so its columns may have the scan's names.
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).cast("string").alias("body"))
-    marked = with_random(scanned(held, "body"), thresholds(tokens, fdr))
-    clean = masked(F.col("body"), F.col("spans"), KINDS)
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").cast("string").alias("body"))
+    scan = saved(scanned(held, "body").drop("body"), "secrets")
+    marked = with_random(scan, thresholds(scan, fdr))
+    clean = masked(F.col(f"row.`{text}`").cast("string"), F.col("__spans"), KINDS)
     return marked.select(*((clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
