@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, out_batch, partitions
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-#: Rows of a candidate block that are multiplied at once.
-STRIP = 2048
+#: Each candidate is copied once for each block of queries.
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+#: Queries that meet a candidate block at once, and rows of the block that are multiplied at once.
+ROWS, STRIP = 512, 2048
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +43,7 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def tile(all_ids: np.ndarray, all_queries: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and scores of its k best candidates of this tile, best first, ties to smaller ids."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
@@ -53,9 +54,15 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     rank = np.arange(len(by)) - np.searchsorted(runs, runs)
     keep = np.sort(by[rank <= k])
     c_ids, c = c_ids[keep], c[keep]
+    block = (c_ids, c, *quantised(c), np.sqrt((c * c).sum(axis=1)))
+    return [x for at in range(0, len(all_ids), ROWS) for x in strip(all_ids[at : at + ROWS], all_queries[at : at + ROWS], block, k)]
+
+
+def strip(q_ids: np.ndarray, q: np.ndarray, block: tuple[np.ndarray, ...], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """tile for some of its queries."""
+    c_ids, c, cq, cs, cl, c_len = block
     qq, qs, ql = quantised(q)
-    cq, cs, cl = quantised(c)
-    q_len, c_len = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
+    q_len = np.sqrt((q * q).sum(axis=1))
     # An int8 product is exact in single precision up to 1040 components, in double precision for any.
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
     near = np.empty((len(q), len(c)))
@@ -79,11 +86,12 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest of every query (rows whose id is divisible by `every`): query_id, rank, vec_id, score.
+    """The k nearest of every query (rows whose id is divisible by `every`): query_id, rank, vec_id, score, query_key.
 
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of another
     length than the query's are no candidates. A query with fewer candidates gets them all; without any it has no rows.
-    Rows that repeat an id are candidates each; a query never meets rows with its own id.
+    Rows that repeat an id are candidates each; a query never meets rows with its own id. Queries that repeat an id and the
+    vector are one; with other vectors each has its own list, told apart by query_key.
     """
     spark = vectors.sparkSession
     v = F.col(vector).cast("array<double>")
@@ -98,7 +106,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
         """Each row in its own block, once for each block of the other side."""
         return df.withColumn("dim", F.size("v")).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
-    lists = "query_id long, ids array<long>, scores array<double>"
+    lists = "query_id long, query_key long, ids array<long>, scores array<double>"
     lists_out = arrow_schema(lists)
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +118,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
             return lists_out.empty_table()
         (q_ids, qv), (c_ids, cv) = matrix(q), matrix(c)
         found = tile(q_ids, qv, c_ids, cv, k)
-        return pa.Table.from_batches([out_batch(lists_out, [q_ids, [x[0] for x in found], [x[1] for x in found]])])
+        return pa.Table.from_batches([out_batch(lists_out, [q_ids, q["key"].to_numpy(), [x[0] for x in found], [x[1] for x in found]])])
 
     keys = ["dim", "qb", "cb"]
-    tiles = dealt(queries.dropDuplicates(["id", "v"]), "qb", q_blocks, "cb", c_blocks).groupBy(*keys).cogroup(dealt(good, "cb", c_blocks, "qb", q_blocks).groupBy(*keys)).applyInArrow(meet, lists)
-    ranked = "query_id long, rank int, vec_id long, score double"
+    tiles = dealt(queries.dropDuplicates(["id", "v"]).withColumn("key", F.xxhash64("v")), "qb", q_blocks, "cb", c_blocks).groupBy(*keys).cogroup(dealt(good, "cb", c_blocks, "qb", q_blocks).groupBy(*keys)).applyInArrow(meet, lists)
+    ranked = "query_id long, rank int, vec_id long, score double, query_key long"
     ranked_out = arrow_schema(ranked)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((q, [(-s, i) for i, s in zip(ids, scores)]) for b in batches for q, ids, scores in zip(*(b[c].to_pylist() for c in ("query_id", "ids", "scores"))))
-        lines = ((q, n, i, -s) for q, own in groupby(rows, key=lambda r: r[0]) for n, (s, i) in enumerate(islice(heapq.merge(*(x for _, x in own)), k), 1))
+        rows = (((q, key), [(-s, i) for i, s in zip(ids, scores)]) for b in batches for q, key, ids, scores in zip(*(b[c].to_pylist() for c in ("query_id", "query_key", "ids", "scores"))))
+        lines = ((q, n, i, -s, key) for (q, key), own in groupby(rows, key=lambda r: r[0]) for n, (s, i) in enumerate(islice(heapq.merge(*(x for _, x in own)), k), 1))
         while some := list(islice(lines, 20_000)):
             yield out_batch(ranked_out, list(zip(*some)))
 
-    return tiles.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id").mapInArrow(merge, ranked)
+    return tiles.repartition(partitions(spark), "query_id", "query_key").sortWithinPartitions("query_id", "query_key").mapInArrow(merge, ranked)

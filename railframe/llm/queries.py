@@ -25,11 +25,12 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=20, k=20).drop("query_key")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)).drop("url")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.checked_revisits(warc.read_archives(archives)).drop("url")
 
 
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, out_batch, partitions, prepare, saved, scratch
+from .common import arrow_schema, out_batch, partitions, prepare, salted, saved, scratch
 
 #: An archive is closed after so many bytes; a task writes as many as it needs.
 ARCHIVE_BYTES = 256 << 20
+#: Repeated payloads whose digests a broadcast may hold; beyond, the join is salted.
+BROADCAST_DIGESTS = 500_000
 #: Bytes that the reader takes from a file at once.
 READ_BYTES = 1 << 20
 
@@ -107,9 +109,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     prepare(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(html, "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    # Only payloads that occur more than once are joined back.
+    # Only payloads that occur more than once are joined back; a broadcast leaves the payloads where they are.
     shared = own.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    typed = own.join(shared, "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    shared = saved(shared, "shared")
+    joined = own.join(F.broadcast(shared), "digest", "left") if shared.count() <= BROADCAST_DIGESTS else salted(own, shared, "digest", "left")
+    typed = joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
     top = scratch(spark, "warc")
     where, base = pafs.FileSystem.from_uri(top)
     where.create_dir(base, recursive=True)
@@ -173,3 +177,14 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                         yield out_batch(out, list(zip(*rows)))
 
     return archives.repartition(partitions(archives.sparkSession)).mapInArrow(run, ddl)
+
+
+def checked_revisits(records_read: DataFrame) -> DataFrame:
+    """The same records, written once; fails if a revisit names no response, or one with another payload digest."""
+    kept = saved(records_read, "records")
+    revisits = kept.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    responses = kept.where("record_type = 'response'").select("page_id", "payload_digest").distinct()
+    wrong = revisits.join(responses, ["page_id", "payload_digest"], "left_anti").first()
+    if wrong is not None:
+        raise ValueError(f"a revisit of page {wrong['page_id']} has another payload digest")
+    return kept
