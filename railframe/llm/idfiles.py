@@ -29,6 +29,8 @@ from .encoding import encoder
 MAGIC = b"RFIDFILE"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8"), ("crc", "<u4")])
 
+#: A file is closed after so many bytes; a task writes as many as it needs.
+FILE_BYTES = 256 << 20
 #: The dictionary is fitted on about this many documents, of at most so many characters each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 16_384, 65_536
 
@@ -45,7 +47,7 @@ def fit_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) ->
     """A dictionary from a sample of SAMPLE_DOCS documents; raw content where there are too few to train one; empty for no documents."""
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
-    chosen = docs.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("text").limit(2 * SAMPLE_DOCS)
+    chosen = docs.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "text").limit(2 * SAMPLE_DOCS)
     enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
     samples = sorted(narrowed(enc.encode(r["text"]) + end, width) for r in chosen.collect())
     try:
@@ -58,7 +60,7 @@ def as_dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, level: int = 3) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, level: int = 3, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every whole text (null: empty) and write the files below the scratch folder; returns their list in order.
 
     Result: path, dictionary (path), base (ids in earlier files), documents, ids, one row for each file. Documents with a
@@ -79,7 +81,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, level: int = 3)
     cuts = bounds(docs, "doc_id", n)
 
     framed_as = "bucket int, doc_id long, n long, crc long, frame binary"
-    listed_as = "part int, path string, documents long, ids long"
+    listed_as = "part int, file int, path string, documents long, ids long"
     frames_out, list_out = arrow_schema(framed_as), arrow_schema(listed_as)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,30 +93,36 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, level: int = 3)
             yield out_batch(frames_out, [bucket(keys, cuts), b["doc_id"], [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [press.compress(narrowed(x, width)) for x in ids]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, index, at, part = None, [], 0, -1
+        out, index, at, part, file = None, [], 0, -1, 0
         store, folder = pafs.FileSystem.from_uri(top)
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.ids"
+
+        def closed() -> pa.RecordBatch:
+            table = np.array(index, INDEX)
+            foot = json.dumps({"dictionary_sha256": digest, "width": width, "documents": len(table), "ids": int(table["ids"].sum())}).encode()
+            body = zlib.compress(table.tobytes())
+            out.write(body + foot + struct.pack("<QQ", len(body), len(foot)) + MAGIC)
+            out.close()
+            return out_batch(list_out, [[part], [file], [f"{top}/{name}"], [len(table)], [int(table["ids"].sum())]])
+
         for b in batches:
             for p, doc, ids, crc, frame in zip(*(b[c].to_pylist() for c in ("bucket", "doc_id", "n", "crc", "frame"))):
                 if out is None:
-                    out, part = store.open_output_stream(name), p
+                    name = f"part-{TaskContext.get().partitionId():05d}-{file:05d}-{uuid.uuid4().hex}.ids"
+                    out, index, at, part = store.open_output_stream(f"{folder}/{name}"), [], 0, p
                 index.append((doc or 0, doc is None, at, len(frame), ids, crc))
                 out.write(frame)
                 at += len(frame)
-        if out is None:
-            return
-        table = np.array(index, INDEX)
-        foot = json.dumps({"dictionary_sha256": digest, "width": width, "documents": len(table), "ids": int(table["ids"].sum())}).encode()
-        body = zlib.compress(table.tobytes())
-        out.write(body + foot + struct.pack("<QQ", len(body), len(foot)) + MAGIC)
-        out.close()
-        yield out_batch(list_out, [[part], [f"{top}/{name.rpartition('/')[2]}"], [len(table)], [int(table["ids"].sum())]])
+                if at + len(index) * INDEX.itemsize >= file_bytes:
+                    yield closed()
+                    out, file = None, file + 1
+        if out is not None:
+            yield closed()
 
     framed = docs.mapInArrow(frames, framed_as)
     dealt = framed.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "frame")
     files = saved(dealt.mapInArrow(write, listed_as), "files")
     # One row a file: this window is as small as the list of files.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("path", F.lit(f"{top}/dictionary-{digest}.zdict").alias("dictionary"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"), "documents", "ids")
 
 

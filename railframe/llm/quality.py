@@ -25,6 +25,8 @@ from .common import prepare
 #: The sample that a model is fitted on: documents of each label, and the longest that is taken.
 PER_CLASS, MAX_CHARS = 2000, 16_384
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1024, 3
+#: Blocks that a dictionary is trained on at most, chosen by a fixed shuffle of those of its documents.
+DICTIONARY_BLOCKS = 8000
 
 
 @dataclass(frozen=True)
@@ -98,17 +100,19 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Learn from labelled documents outside the held-out third. Null labels, ids and texts take no part; of several labels
-    of a document the largest counts. With no document of one of the labels every score is the share of label 1, smoothed."""
+    of a document the largest counts, of several texts the least. With no document of one of the labels every score is the share of label 1, smoothed."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     slots = 1 << 20
     cut = F.lit(0)
     for y, n in count.items():
         cut = F.when(F.col("y") == y, F.lit(int(min(1.0, per_class / n) * slots))).otherwise(cut)
-    # At most a few thousand ids at any size of the tables, so the join is a broadcast and no text is shuffled.
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < cut).limit(4 * per_class)
+    # At most a few thousand ids at any size of the tables, the first by hash, so the join is a broadcast and no text is shuffled.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    chosen = known.where(place < cut).orderBy(place, "doc_id").limit(4 * per_class)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & (F.length("text") <= MAX_CHARS))
-    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in text.join(F.broadcast(chosen), "doc_id").limit(8 * per_class).collect())
+    # Of texts that share an id the least counts.
+    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect())
     random.Random(0).shuffle(rows)
     half = {}
     dictionaries: dict[int, bytes | None] = {}
@@ -117,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         half[y] = len(own) // 2
         samples = [p for t in own[: half[y]] for p in blocks(t)]
         random.Random(1).shuffle(samples)
-        dictionaries[y] = trained(samples[:8000])
+        dictionaries[y] = trained(samples[:DICTIONARY_BLOCKS])
     good, bad = dictionaries[1], dictionaries[0]
     held = [(t, y) for y in (0, 1) for t in [t for _, v, t in rows if v == y][half[y] :]]
     base = (count.get(1, 0) + 1) / (sum(count.values()) + 2)
