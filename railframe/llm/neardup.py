@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, mix, out_batch, prepare, saved, shingles
+from .common import arrow_schema, mix, out_batch, prepare, salted, saved, shingles
 
 #: 24 bands of 5 rows miss a pair of similarity 0.85 with probability 8e-7, one of 0.8 with 6e-5.
 BANDS, ROWS = 24, 5
@@ -140,9 +140,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select("y", "x")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(large, "stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = salted(large, low, "u")
         e = saved(small.select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").union(low.select("u", "m")).distinct(), "edges")
         now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("x", "y").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         if state == now:
@@ -155,14 +156,14 @@ def blockwise(members: DataFrame, reps: DataFrame, percent: int, most: int | Non
     """Pairs (x, y) of different components in large buckets, at most `most` partners of x in each component of each block.
 
     members: band, rep, component. Those outside the bucket's largest component meet all members, in blocks of rows; what
-    is held is two blocks of sketches. Only pairs that the sketches allow are returned, each from the first band that its
+    is held is two blocks of sketches of one size. Only pairs that the sketches allow are returned, each from the first band that its
     two have in common."""
     ddl = "x long, y long"
     out = arrow_schema(ddl)
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("odd_ones"))
     rows = members.join(main, "band").join(reps.select("rep", "n", "odd", "bands"), "rep")
-    x_blocks, y_blocks = (F.ceil(F.col(c) / n).cast("int") for c, n in (("odd_ones", BLOCK), ("all", 8 * BLOCK)))
+    x_blocks, y_blocks = (F.ceil(F.col(c) / n).cast("int") for c, n in (("odd_ones", BLOCK), ("all", BLOCK)))
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     cols = ["band", "xb", "yb", "rep", "component", "n", "odd", "bands"]
     xs = rows.where("component <> main").withColumn("xb", spread(x_blocks)).withColumn("yb", F.explode(F.sequence(F.lit(0), y_blocks - 1))).select(*cols)
@@ -199,7 +200,7 @@ def blockwise(members: DataFrame, reps: DataFrame, percent: int, most: int | Non
     return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
 
     Linked are documents with 100 * intersection >= percent * union of their sets of distinct 5-word shingles; a text with
@@ -213,10 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = saved(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
     flat = reps.select(F.explode("bands").alias("band"), "rep").distinct()
     shared = flat.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = saved(flat.join(shared, "band"), "members")
+    members = saved(salted(flat, shared, "band"), "members")
     company = members.groupBy("rep").agg(F.sum("size").alias("company"))
     hubs = members.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("y"))
-    pairs = saved(members.join(hubs, "band").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "pairs")
+    pairs = saved(salted(members, hubs, "band").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "pairs")
 
     ids = saved(members.select("rep").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -246,9 +247,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             more.append(blockwise(large.select("band", "rep", "component"), sketches, percent, most))
         if not more:
             break
-        new = saved(sifted(reduce(DataFrame.union, more).distinct(), sketches, percent), "candidates")
+        new = sifted(reduce(DataFrame.union, more).distinct(), sketches, percent)
         before = reduce(DataFrame.union, [t.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")) for t in tried])
-        new = new.join(before, ["x", "y"], "left_anti")
+        new = saved(new.join(before, ["x", "y"], "left_anti"), "new")
         tried.append(new)
         links.append(saved(confirmed(new, texts, percent), "links"))
         if links[-1].isEmpty():
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return merged.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs whose document is kept, each with all its columns; the others are copies of one that stays."""
     gone = saved(near_duplicates(docs.select("doc_id", "text"), percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
