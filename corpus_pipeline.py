@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity of 0.85 or more): the one with the smallest doc_id."""
-    return neardup.deduplicated(docs, percent=85)
+    """One document of each group of near duplicates (similarity of 0.8 or more): the one with the smallest doc_id."""
+    return neardup.deduplicated(docs, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
