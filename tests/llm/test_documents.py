@@ -79,6 +79,46 @@ def test_fingerprints_of_whole_texts_and_their_edited_texts(spark):
         assert abs(r["near_next"] - likeness(shingle_set(text), shingle_set(after))) < 0.2
 
 
+def sketch_by_hand(text, k=128):
+    """The k least 48-bit hashes in Python's integers."""
+    import xxhash
+
+    full = (1 << 64) - 1
+    odd_factors = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+    own = set()
+    for w in shingle_set(text):
+        if len(w) < 5:
+            own.add(xxhash.xxh64_intdigest(b" ".join(w), seed=len(w)) >> 16)
+            continue
+        x = sum(xxhash.xxh64_intdigest(v) * f for v, f in zip(w, odd_factors)) & full
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & full
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & full
+        own.add((x ^ x >> 33) >> 16)
+    return sorted(own)[:k]
+
+
+def test_fingerprints_hold_the_least_hashes_and_compare_them(spark):
+    import base64
+
+    source = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()][:60]
+    got = {r["doc_id"]: r for r in fingerprints.against_next(spark.createDataFrame(source, "doc_id long, text string")).collect()}
+    shown = lambda s: base64.b64encode(b"".join(h.to_bytes(6, "big") for h in s)).decode()
+
+    def alike(a, b):
+        if not a or not b:
+            return float(a == b)
+        union = sorted({*a, *b})[:128]
+        return len(set(union) & set(a) & set(b)) / len(union)
+
+    for doc, text, edited, after in against_next_by_hand(source):
+        a, b, c = map(sketch_by_hand, (text, edited, after))
+        r = got[doc]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(a), shown(b))
+        assert (r["near_edited"], r["near_next"]) == (alike(a, b), alike(a, c))
+
+
 def test_fingerprints_of_odd_rows(spark):
     got = fingerprints.against_next(odd(spark)).collect()
     assert sorted((r["doc_id"] or -1) for r in got) == sorted((d or -1) for d, _ in ODD)
@@ -121,6 +161,47 @@ def test_quality_tells_held_out_labels_apart(spark):
     assert sum((s >= 0.5) == y for s, y in held) / len(held) > 0.85
 
 
+def auc(scored):
+    good, bad = ([s for s, y in scored if y == v] for v in (1, 0))
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_quality_scores_are_those_of_the_compressed_sizes(spark):
+    import math
+
+    import zstandard
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(docs, labels)
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_compression_quality"](spark, sf).collect()}
+    held = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in label and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+
+    def size(raw, dictionary=None):
+        known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        press = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(press.compress(raw))
+
+    differences, shares, scores = [], [], []
+    for n, (doc, text) in enumerate(held):
+        raw = (text or "").encode()
+        if not raw:
+            continue
+        cut = [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+        good, bad = (sum(size(p, d) for p in cut) for d in (model.good, model.bad))
+        x = ((bad - good) / (bad + good), min(1.5, size(raw) / len(raw)))
+        x = (*x, x[0] ** 2, x[1] ** 2)
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.spread))
+        assert math.isclose(got[doc], 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+        differences.append((x[0], label[doc]))
+        shares.append((-x[1], label[doc]))
+        scores.append((got[doc], label[doc]))
+    assert auc(scores) >= 0.97 and auc(differences) > max(auc(shares), 1 - auc(shares))
+    right = lambda v: sum((s >= 0.5) == y for s, y in scores if y == v) / sum(y == v for _, y in scores)
+    assert (right(0) + right(1)) / 2 > 0.85
+
+
 def test_calibration_stays_finite_where_labels_are_separable():
     import numpy as np
 
@@ -196,10 +277,19 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             rows.append((len(rows) * 3 % 1009, " ".join(w)))
     rows += [(5000, None), (5001, "p q"), (5002, "P  q"), (None, "zz"), (5003, "p q"), (5003, "p q"), (0, "p q")]
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = linked(rows)
-    assert len(got) == len(rows)
-    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (85, 80):
+        got = neardup.near_duplicates(docs, percent).collect()
+        want = linked(rows, percent)
+        assert len(got) == len(rows)
+        assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    assert want != linked(rows, 85)
+
+
+def test_near_duplicates_are_of_four_fifths_if_nothing_else_is_said(spark):
+    words_of = lambda n: " ".join(f"w{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, words_of(104)), (2, words_of(84)), (3, words_of(67))], "doc_id long, text string")  # sets of 100, 80, 63
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -260,6 +350,27 @@ def test_packing_of_odd_rows(spark):
     assert packing.packed_documents(empty(spark), TOKENIZER).count() == 0
 
 
+def test_each_residual_chooses_some_sequence(spark):
+    """Tokens, documents and attention each decide on the table, and the bound of tokens is reached all the same."""
+    lengths = packing.cut(table(spark, "/root/testdata/sf0.1", "documents"), TOKENIZER).select("length").toPandas()["length"].to_numpy()
+    own = packing.Capacity()
+    placed = {w: packing.fill(lengths, packing.Capacity(weights=w))[0] for w in (own.weights, (own.weights[0], 0, own.weights[2]), (own.weights[0], own.weights[1], 0), (0, *own.weights[1:]))}
+    first = placed.pop(own.weights)
+    assert all((first != other).any() for other in placed.values())
+    assert len(set(first.tolist())) <= -(-lengths.sum() // 2048) + 1
+
+
+def test_packing_of_repeated_and_null_ids_and_clashing_columns(spark):
+    rows = [(None, 0, 0, 100 + i % 7, 5, "a", "b", 1) for i in range(3000)]
+    pieces_in = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, offset long, sequence_id string, pack_group string, key int")
+    got = packing.pack(pieces_in.repartition(4), group_tokens=50_000).collect()
+    assert len(got) == 3000 and got[0]["pack_group"] == "b" and len({r["sequence_id"] >> 32 for r in got}) == -(-sum(r[3] for r in rows) // 50_000)
+    at = defaultdict(int)
+    for r in got:
+        at[r["sequence_id"]] += r["length"]
+    assert max(at.values()) <= 2048
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     import numpy as np
@@ -300,6 +411,30 @@ def test_segmentations_are_the_best_of_all(text):
         assert net.decoded(ids) == text and (s, tuple(array("I", ids))) in known
 
 
+def test_segmentations_of_many_texts_at_once_are_the_best_of_all():
+    net = pieces.lattice(PIECE_MODEL)
+    net.forget()
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aaathe s.,é日x") for _ in range(rng.randrange(1, 10))) for _ in range(150)]
+    for text, got in zip(texts, net.nbests(texts, 4)):
+        want = all_paths(net, net.normalised(text))
+        assert [s for s, _ in got] == [s for s, _ in want[:4]]
+        assert len({i for _, i in got}) == len(got) and {(s, tuple(array("I", i))) for s, i in got} <= set(want)
+
+
+@pytest.mark.parametrize("letters", ["x", "abcdefghij", "ab.,", "日本é"])
+def test_segmentation_is_linear_in_texts_without_spaces(letters):
+    import time
+
+    net = pieces.lattice(PIECE_MODEL)
+    rng = random.Random(4)
+    text = "".join(rng.choice(letters) for _ in range(200_000))
+    began = time.perf_counter()
+    got = net.nbest(text, 5)
+    assert time.perf_counter() - began < 30 and net.decoded(got[0][1]) == text
+    assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True) and len({i for _, i in got}) == len(got)
+
+
 def test_segmentation_of_tables(spark):
     rows = QUERIES["op9_sentencepiece_nbest"](spark, SF).collect()
     assert len(rows) == table(spark, SF, "documents").count()
@@ -334,3 +469,9 @@ def test_id_files_of_odd_rows(spark):
     assert len(file) == first["documents"] and file.ids(0)
     with pytest.raises(ValueError):
         idfiles.IdFile(first["path"], raw + b"x")
+
+
+def test_id_files_are_closed_at_their_size(spark):
+    files = idfiles.write_ids(odd(spark), TOKENIZER, file_bytes=200)
+    assert files.count() > 4
+    check_ids(idfiles.read_ids(files).collect(), ODD)

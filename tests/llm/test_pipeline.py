@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
         if name == "quality_classifier":
             assert texts(out) == {d: t for d, t in before.items() if scores[d] >= 0.5}
         if name == "near_duplicates":
-            top = linked(list(before.items()))
+            top = linked(list(before.items()), 80)
             assert texts(out) == {d: t for d, t in before.items() if top[d] == d}
         if name == "secret_scan":
             after = texts(out)

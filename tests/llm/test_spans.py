@@ -147,3 +147,38 @@ def test_places_count_code_points(spark):
     row = pii.digest(pii.personal(frame(spark, texts))).first()
     assert row["spans"] == "email:3:9,phone:13:28"
     assert frame(spark, texts).select(F.length("text")).first()[0] == 28
+
+
+def test_the_methods_add_spans_on_the_tables(spark):
+    for name, kind in (("op6_secret_scan", "random:"), ("op7_personal_data", "term:")):
+        spans = [r["spans"] for r in QUERIES[name](spark, "/root/testdata/sf0.01").select("spans").collect()]
+        assert sum(kind in s for s in spans) > 5, name
+
+
+def test_sanitised_rows_are_masked_each_at_its_own_spans(spark):
+    texts = ["x +1 234 567 8901 y", "plain text", "mail a@b.com now", "plain text", None, "", "ip 10.0.0.1", "mail a@b.com now"]
+    ids = [1, 1, 1, 2, 2, None, None, 3]
+    docs = spark.createDataFrame([(i, t, "s", 7) for i, t in zip(ids, texts)], "doc_id long, text string, spans string, base int")
+    out = pii.sanitised(docs)
+    assert out.columns == docs.columns
+    want = [(1, "x <phone> y"), (1, "plain text"), (1, "mail <email> now"), (2, "plain text"), (2, None), (None, ""), (None, "ip <ip>"), (3, "mail <email> now")]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert all(r["spans"] == "s" and r["base"] == 7 for r in out.collect())
+    assert pii.personal(docs).count() == len(texts)
+
+
+def test_terms_of_a_class_need_more_than_a_few_documents(spark):
+    """A word that stands in documents with cards only reveals that there is one; one common document proves nothing."""
+    cards = [f"card 4111 1111 1111 1111 of customer number{'x' * i} billing" for i in range(8)]
+    filler = [f"common words about nothing number{'y' * i} customer" for i in range(300)]
+    spans = [r["spans"] for r in sorted(pii.digest(pii.personal(frame(spark, cards + filler))).collect(), key=lambda r: r["doc_id"])]
+    billing = [f"term:{c.index('billing')}:{len(c)}" for c in cards]
+    assert all(b in s for b, s in zip(billing, spans)) and not any(f":{c.index('number')}:" in s for c, s in zip(cards, spans))
+    assert not any(spans[len(cards) :])
+
+
+def test_secrets_keep_columns_of_other_names(spark):
+    docs = spark.createDataFrame([(1, "AKIA" + "A" * 16, "b", "t", 7)], "doc_id long, text string, base string, tokens string, __x int")
+    row = secrets.secrets(docs).first()
+    assert row["tokens"] == "t" and row["__x"] == 7 and len(row["base"]) == 1

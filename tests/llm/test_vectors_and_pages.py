@@ -51,6 +51,15 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.search(df.where("vec_id = 0")).count() == 0
 
 
+def test_queries_that_repeat_an_id_each_have_a_list(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (2, [0.5, 0.5]), (3, [2.0, 2.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        lists.setdefault((r["query_id"], r["query_key"]), []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(lists.values()) == [[(1, 1, 3.0), (2, 3, 2.0)], [(1, 2, 3.0), (2, 3, 2.0)]]
+
+
 def pages_by_hand(rows, least=0):
     first = {}
     for page, html in rows:
@@ -94,3 +103,12 @@ def test_reader_finds_damage():
     for bad in (raw.replace(b"payload", b"pAyload"), raw.replace(b"WARC/1.1", b"XARC/1.1"), raw + b"x"):
         with pytest.raises(ValueError):
             list(warc.records(io.BytesIO(gzip.compress(bad))))
+
+
+def test_revisits_are_held_against_their_responses(spark):
+    ddl = "page_id long, payload_digest string, record_type string, refers_to long"
+    good = [(1, "A", "response", None), (2, "A", "revisit", 1), (3, "B", "response", None)]
+    assert warc.checked_revisits(spark.createDataFrame(good, ddl)).count() == 3
+    for bad in ((4, "B", "revisit", 1), (4, "A", "revisit", 9)):
+        with pytest.raises(ValueError):
+            warc.checked_revisits(spark.createDataFrame([*good, bad], ddl))
