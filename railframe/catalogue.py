@@ -227,11 +227,10 @@ def map_filtered(spark, sf):
     return out.select("event_id", F.size("props").alias("kept"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(string_split(substr(text, 1, 200), '. '), lambda x: true)) AS BIGINT) AS parts FROM documents WHERE NOT ends_with(substr(text, 1, 200), '. ')")
+@query("SELECT doc_id, CAST(CASE WHEN kept = '' THEN 0 ELSE len(string_split_regex(kept, '\\s*,\\s*')) END AS BIGINT) AS parts FROM (SELECT doc_id, regexp_replace(text, '(\\s*,\\s*)+$', '') AS kept FROM documents)")
 def split_policy(spark, sf):
-    """Split at a literal separator; the text is cut by the query itself in both."""
-    df = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("parts")).where(~F.col("parts").endswith(". "))
-    out = t.filtered(df, t.Hash(doc_id=t.Integer, parts=t.String.split(". ")))
+    """Split whole texts at commas with the white space around them; empty parts at the end are no parts."""
+    out = t.filtered(table(spark, sf, "documents").select("doc_id", F.col("text").alias("parts")), t.Hash(doc_id=t.Integer, parts=t.String.split()))
     return out.withColumn("parts", F.size("parts").cast("bigint"))
 
 
@@ -411,6 +410,62 @@ def array_stream(spark, sf):
     return df.where("ok").select("vec_id", F.col("place").cast("bigint").alias("place"), F.col("element").cast("double").alias("element"))
 
 
+@query("SELECT p_partkey, CAST(p_size + 20 AS BIGINT) AS size FROM part")
+def chain_of_twenty(spark, sf):
+    """Twenty conversions and checks after one another: their plan grows with their number, and no faster."""
+    size = t.Lax.Integer
+    for _ in range(20):
+        size = size.transform(t.Integer, lambda c: c + 1).check(lambda c: c > 0, "must be positive")
+    return t.filtered(table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("string").alias("size")), t.Hash(p_partkey=t.Integer, size=size))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey AS BIGINT) END AS n, o_orderkey % 10 <> 0 AS ok FROM orders")
+def arrays_four_deep(spark, sf):
+    """Elements are judged once at each depth."""
+    text = F.when(F.col("o_orderkey") % 10 == 0, F.lit("x")).otherwise(F.col("o_orderkey").cast("string"))
+    df = table(spark, sf, "orders").select("o_orderkey", F.array(F.array(F.array(F.array(text)))).alias("n"))
+    out = t.validate(df, t.Hash(o_orderkey=t.Integer, n=t.Array[t.Array[t.Array[t.Array[t.Lax.Integer]]]]))
+    return out.select("o_orderkey", F.when(F.col("ok"), F.col("n")[0][0][0][0]).alias("n"), "ok")
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1000000 + o_orderkey % 1000000 WHEN 1 THEN (12000 + o_orderkey % 1000) * 1000 + 345 END AS BIGINT) AS amount, o_orderkey % 4 < 2 AS ok FROM orders")
+def lax_mixed_separators(spark, sf):
+    """A thousands separator may stand before each three digits, or not."""
+    k = F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("1,"), F.lpad((k % 1000000).cast("string"), 6, "0"))).when(k % 4 == 1, F.concat(F.lit("12"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(",345"))).when(k % 4 == 2, F.lit("1,23")).otherwise(F.lit("1,2345"))
+    out = t.validate(table(spark, sf, "orders").select("o_orderkey", raw.alias("amount")), t.Hash(o_orderkey=t.Integer, amount=t.Lax.Integer))
+    return out.select("o_orderkey", F.when(F.col("ok"), F.col("amount")).alias("amount"), "ok")
+
+
+@query("SELECT c_custkey, c_custkey % 6 IN (0, 1, 2) AS ok FROM customer")
+def email_edges(spark, sf):
+    forms = F.array(F.concat(F.lit("c"), F.col("c_custkey"), F.lit("@example.com")), F.lit("a@x"), F.lit("a.b+c@x-y.z"), F.lit("a@-b..c"), F.lit('a"b@x'), F.lit("a b@x.y"))
+    df = table(spark, sf, "customer").select("c_custkey", forms[(F.col("c_custkey") % 6).cast("int")].alias("mail"))
+    return t.validate(df, t.Hash(c_custkey=t.Integer, mail=t.Email)).select("c_custkey", "ok")
+
+
+@query("""
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 20:15:00'
+           WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 20:15:23' END AS said, o_orderkey % 4 <> 3 AS ok
+    FROM orders
+""")
+def json_times(spark, sf):
+    """Times without a zone, without seconds, and days alone."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, day).when(k == 1, F.concat(day, F.lit(" 20:15"))).when(k == 2, F.concat(day, F.lit("T20:15:23"))).otherwise(F.concat(day, F.lit("T20")))
+    out = t.validate(table(spark, sf, "orders").select("o_orderkey", raw.alias("said")), t.JSON >> t.Hash(o_orderkey=t.Integer, said=t.Time))
+    return out.select("o_orderkey", F.date_format(F.when(F.col("ok"), F.col("said")), "yyyy-MM-dd HH:mm:ss").alias("said"), "ok")
+
+
+@query("SELECT s_suppkey, CAST(CASE s_suppkey % 4 WHEN 0 THEN 0.00001 WHEN 1 THEN 2500.0 WHEN 2 THEN -100.0 END AS DOUBLE) AS n, s_suppkey % 4 <> 3 AS ok FROM supplier")
+def decimal_scientific(spark, sf):
+    forms = F.array(F.lit("1.0e-05"), F.lit("2.5E3"), F.lit("-1e2"), F.lit("1e"))
+    df = table(spark, sf, "supplier").select("s_suppkey", forms[(F.col("s_suppkey") % 4).cast("int")].alias("n"))
+    out = t.validate(df, t.JSON >> t.Hash(s_suppkey=t.Integer, n=t.Decimal))
+    return out.select("s_suppkey", F.when(F.col("ok"), F.col("n").cast("double")).alias("n"), "ok")
+
+
 @query()
 def generated_ids(spark, sf):
     """A value made for each row, and a step in Python behind a guard: their rows are tested, not compared."""

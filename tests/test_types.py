@@ -352,3 +352,27 @@ def test_sources_and_streams(spark, tmp_path):
     query = streams.split_sinks(stream, row, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1 and spark.read.json(str(tmp_path / "bad")).count() == 3
+
+
+def test_plans_grow_with_the_length_of_a_chain_and_the_depth_of_arrays(spark):
+    from railframe.operators.dataset import lowered
+
+    size = lambda o: sum(len(c._jc.toString()) for c in (o.value, o.ok, o.errors))
+
+    def chain(n):
+        of = t.Lax.Integer
+        for _ in range(n):
+            of = of.transform(t.Integer, lambda c: c + 1).check(lambda c: c > 0, "must be positive")
+        return of
+
+    def nested(n):
+        of, ddl = t.Lax.Integer, "string"
+        for _ in range(n):
+            of, ddl = t.Array[of], f"array<{ddl}>"
+        return size(lowered(spark.createDataFrame([], f"v {ddl}"), of, "v"))
+
+    text = spark.createDataFrame([("1",), ("x",)], "v string")
+    ten, twenty = (size(lowered(text, chain(n), "v")) for n in (10, 20))
+    assert twenty < 200_000 and twenty < 2.5 * ten
+    assert nested(5) - nested(4) < 1.5 * (nested(3) - nested(2)) + 2000
+    assert [(ok, v) for ok, v, _ in judged(spark, chain(8), ["1", "-20", "x"], "string")] == [(True, 9), (False, None), (False, None)]
