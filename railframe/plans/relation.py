@@ -73,79 +73,101 @@ def chain(t: Type) -> tuple[Type, list]:
     return t, tests
 
 
-def subtype(a: Type, b: Type, seen: frozenset = frozenset()) -> bool:
-    """Whether every value of a is a value of b, as far as it can be proven."""
-    if a is b or a == b:
-        return True
-    if isinstance(a, Deferred) or isinstance(b, Deferred):
-        pair = (id(getattr(a, "make", a)), id(getattr(b, "make", b)))
-        if pair in seen:
-            return True  # assumed on the way round
-        seen = seen | {pair}
-        return subtype(a.target() if isinstance(a, Deferred) else a, b.target() if isinstance(b, Deferred) else b, seen)
-    a, b = bare(a), bare(b)
-    if isinstance(b, Any) or isinstance(a, Never):
-        return True
-    if isinstance(a, Any) or isinstance(b, Never):
-        return False
-    pa, pb = produced(a), produced(b)
-    if (pa, pb) != (a, b):
-        return subtype(pa, pb, seen) if (pa is not a or pb is not b) else False
-    if isinstance(a, Choice):
-        return all(subtype(x, b, seen) for x in a.children())
-    if isinstance(b, Choice):
-        return any(subtype(a, x, seen) for x in b.children())
-    if isinstance(b, Meet):
-        return all(subtype(a, x, seen) for x in b.children())
-    if isinstance(a, Meet) and any(subtype(x, b, seen) for x in a.children()):
-        return True
-    return leaf(a, b, seen)
+def shapes(t: Type, opened: tuple = ()) -> list[tuple[Type, ...]]:
+    """The union of conjunctions that t makes: Never has no branch, Any one without parts, a refinement is a part beside its base.
+
+    A type that holds itself is opened once; met again before any container it adds nothing to the union.
+    """
+    while (made := produced(t)) != t:
+        t = made
+    if isinstance(t, (Any, Never)):
+        return [()] * isinstance(t, Any)
+    if isinstance(t, Deferred):
+        return [] if t.make in opened else shapes(t.target(), (*opened, t.make))
+    if isinstance(t, Choice):
+        return [s for c in t.children() for s in shapes(c, opened)]
+    if isinstance(t, Meet):
+        return [x + y for x in shapes(t.left, opened) for y in shapes(t.right, opened)]
+    if isinstance(t, Refine):
+        return [(*s, t) for s in shapes(t.base, opened)]
+    if isinstance(t, Tagged):
+        return [s for v in t.variants for s in shapes(v, opened)]
+    if isinstance(t, StructOf):
+        return shapes(t.cls.schema, opened)
+    return [(t,)]
 
 
-def leaf(a: Type, b: Type, seen: frozenset) -> bool:
-    if isinstance(b, Not):
-        return subtype(b.inner, a.inner, seen) if isinstance(a, Not) else disjoint(a, b.inner)
-    if isinstance(b, Refine):
-        base, tests = chain(b)
-        return subtype(a, base, seen) and all(implies(a, t) for t in tests)
-    if isinstance(a, Refine):
-        base, tests = chain(a)
-        return subtype(base, b, seen) or isinstance(b, (Gate, Equals)) and any(type(t) is Refine and t.matcher.within(M.Kind(b.kind) if isinstance(b, Gate) else M.Equal(b.literal)) for t in tests)
-    if isinstance(a, (Equals, Static)):
-        if isinstance(b, Gate):
-            return M.Equal(a.literal).within(M.Kind(b.kind)) is True if isinstance(a, Equals) else M.Kind(b.kind).matches(a.literal) is True
-        return isinstance(b, (Equals, Static)) and M.Equal(b.literal).matches(a.literal) is True
-    if isinstance(a, Gate):
-        if isinstance(b, Capability):
-            return a.kind in b.kinds()
-        if isinstance(b, Gate):
-            return M.is_a(a.kind, b.kind)
-        return False
-    if isinstance(a, Capability):
-        return isinstance(b, Capability) and b.names <= a.names
-    if isinstance(a, Tagged):
-        return all(subtype(v, b, seen) for v in a.variants)
-    if isinstance(a, StructOf):
-        return subtype(a.cls.schema, b.cls.schema if isinstance(b, StructOf) else b, seen)
-    if isinstance(b, StructOf):
-        return subtype(a, b.cls.schema, seen)
-    if isinstance(b, Gate) or isinstance(b, Capability):
-        kind = {Array: "array", Tuple: "array", Record: "hash", Map: "hash", Interval: "range"}.get(type(a))
-        return kind is not None and leaf(Gate(kind), b, seen)
-    if isinstance(a, Array) and isinstance(b, Array) or isinstance(a, Interval) and isinstance(b, Interval) or isinstance(a, Stream) and isinstance(b, Stream):
-        return subtype(a.of, b.of, seen)
-    if isinstance(a, Tuple):
-        if isinstance(b, Tuple):
-            return len(a.of) == len(b.of) and all(subtype(x, y, seen) for x, y in zip(a.of, b.of))
-        return isinstance(b, Array) and all(subtype(x, b.of, seen) for x in a.of)
-    if isinstance(a, Map) and isinstance(b, Map):
-        return subtype(a.keys, b.keys, seen) and subtype(a.values, b.values, seen)
-    if isinstance(a, Record) and isinstance(b, Map):
-        parts = [(Equals(k.name), t) for k, t in a.fields] + list(a.typed) + ([(Any(), a.rest)] if a.rest else [])
-        return all(subtype(k, b.keys, seen) and subtype(t, b.values, seen) for k, t in parts)
-    if isinstance(a, Map) and isinstance(b, Record):
-        return not b.fields and not b.typed and (b.rest is None or subtype(a.values, b.rest, seen))
-    return isinstance(a, Record) and isinstance(b, Record) and records(a, b, seen)
+def subtype(a: Type, b: Type, assumed: frozenset = frozenset()) -> bool:
+    """Whether every value of a is a value of b, as far as it can be proven.
+
+    Both are unions of conjunctions: each branch of a has to lie in one branch of b. Pairs with a type that holds itself
+    are taken as proven while they are looked at.
+    """
+    if a == b:
+        return True
+    if isinstance(a, Deferred) or isinstance(b, Deferred):
+        names = tuple(t.make if isinstance(t, Deferred) else id(t) for t in (a, b))
+        if names in assumed:
+            return True
+        assumed |= {names}
+    wider = shapes(b)
+    return all(any(all(asked in own or lies_in(own, asked, assumed) for asked in parts) for parts in wider) for own in shapes(a))
+
+
+def lies_in(own: tuple[Type, ...], asked: Type, assumed: frozenset) -> bool:
+    """Whether values that have all the parts of a branch have the one that is asked for."""
+    if isinstance(asked, Refine):
+        return any(implies(part, asked) for part in own)
+    if isinstance(asked, Not):
+        return any(subtype(asked.inner, part.inner, assumed) if isinstance(part, Not) else disjoint(part, asked.inner) for part in own)
+    return any(part_within(part, asked, assumed) for part in own)
+
+
+#: What kind of value a container is.
+CONTAINERS = {Array: "array", Tuple: "array", Record: "hash", Map: "hash", Interval: "range"}
+
+
+def part_within(part: Type, asked: Type, assumed: frozenset) -> bool:
+    """Whether one part of a branch is enough for a type that is neither a union, a meet nor a refinement."""
+    if isinstance(part, Static) and isinstance(asked, Gate):
+        return M.Kind(asked.kind).matches(part.literal) is True  # the very value, not what equals it
+    if isinstance(asked, (Gate, Equals, Static)) and (values := values_of(part)) is not None:
+        return values.within(M.Kind(asked.kind) if isinstance(asked, Gate) else M.Equal(asked.literal)) is True
+    if isinstance(asked, Capability):
+        kind = part.kind if isinstance(part, Gate) else CONTAINERS.get(type(part))
+        return asked.names <= part.names if isinstance(part, Capability) else kind in asked.kinds()
+    if isinstance(part, Record) and isinstance(asked, Record):
+        return records(part, asked, assumed)
+    return (pairs := compared(part, asked)) is not None and all(subtype(x, y, assumed) for x, y in pairs)
+
+
+def values_of(part: Type) -> M.Matcher | None:
+    """The test that all values of a part pass, where there is one."""
+    if isinstance(part, (Equals, Static)):
+        return M.Equal(part.literal)
+    if type(part) is Refine:
+        return part.matcher
+    kind = part.kind if isinstance(part, Gate) else CONTAINERS.get(type(part))
+    return M.Kind(kind) if kind else None
+
+
+def compared(part: Type, asked: Type) -> list[tuple[Type, Type]] | None:
+    """The pairs of inner types on which it depends whether a container lies in another; None where no pair could help."""
+    match part, asked:
+        case (Array(), Array()) | (Interval(), Interval()) | (Stream(), Stream()):
+            return [(part.of, asked.of)]
+        case Tuple(), Tuple() if len(part.of) == len(asked.of):
+            return list(zip(part.of, asked.of))
+        case Tuple(), Array():
+            return [(x, asked.of) for x in part.of]
+        case Map(), Map():
+            return [(part.keys, asked.keys), (part.values, asked.values)]
+        case Record(), Map():
+            entries = [(Equals(k.name), x) for k, x in part.fields] + list(part.typed) + ([(Any(), part.rest)] if part.rest else [])
+            return [pair for k, x in entries for pair in ((k, asked.keys), (x, asked.values))]
+        case Map(), Record() if not asked.fields and not asked.typed:
+            return [(part.values, asked.rest)] if asked.rest else []
+    return None
 
 
 def records(a: Record, b: Record, seen: frozenset) -> bool:

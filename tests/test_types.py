@@ -266,6 +266,29 @@ def test_order(a, b):
     assert (a | b) >= a and (a & b) <= b or not (a.preserving and b.preserving)
 
 
+def tree():
+    return t.Integer | t.Array[t.defer(tree)]
+
+
+def wider_tree():
+    return t.Numeric | t.String | t.Array[t.defer(wider_tree)]
+
+
+def itself():
+    return t.String | t.defer(itself)
+
+
+def test_unions_of_conjunctions():
+    sized, short = t.Interface["size"], t.String.where(size=t.between(0, 5))
+    assert (t.String | t.Integer)[t.Pattern("a")] <= t.String | t.Integer
+    assert N.Meet(t.String | t.Array, sized) <= N.Choice(N.Meet(t.String, sized), N.Meet(t.Array, sized))
+    assert N.Choice(short, t.Integer[1, 2]) <= t.Integer[t.between(0, 5)] | t.String
+    assert not t.String | t.Integer <= t.String and not t.Anything <= t.String | t.Integer and t.Nothing <= t.Nothing
+    assert t.Static[5] <= t.Integer and not t.Value[5] <= t.Integer  # 5.0 has the value, too
+    assert t.defer(tree) <= t.defer(wider_tree) and not t.defer(wider_tree) <= t.defer(tree)
+    assert t.defer(itself) <= t.String and t.String <= t.defer(itself) and not t.defer(itself) <= t.Integer
+
+
 def test_what_a_conversion_makes_counts():
     made = t.String.transform(t.Integer, "to_i")
     assert made <= t.Integer and t.Integer <= made and not made <= t.String
