@@ -373,17 +373,17 @@ def record_filtered(spark, sf):
     return t.filtered(table(spark, sf, "supplier"), t.Hash(s_suppkey=t.Integer, s_acctbal=t.Float[t.between(0)], s_name=t.String).filtered())
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 5 AND 15 AND length(n_name) <= 8")
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 5 AND 35 AND length(p_name) <= 11")
 def record_meet(spark, sf):
     """Keys of both records with what both ask."""
-    both = t.Hash(n_nationkey=t.Integer[t.between(5)], n_name=t.String, n_regionkey=t.Integer) & t.Hash(n_nationkey=t.Integer[t.between(0, 15)], n_name=t.String.where(size=t.between(0, 8)))
-    return t.filtered(table(spark, sf, "nation"), both)
+    both = t.Hash(p_partkey=t.Integer, p_size=t.Integer[t.between(5)], p_name=t.String) & t.Hash(p_partkey=t.Integer, p_size=t.Integer[t.between(0, 35)], p_name=t.String.where(size=t.between(0, 11)))
+    return t.filtered(table(spark, sf, "part"), both).select("p_partkey", "p_name", "p_size")
 
 
-@query("SELECT r_regionkey, upper(r_name) AS r_name, CAST(length(r_name) AS INTEGER) AS size FROM region")
+@query("SELECT c_custkey, upper(c_mktsegment) AS c_mktsegment, CAST(length(c_name) AS INTEGER) AS size FROM customer")
 def methods(spark, sf):
-    df = table(spark, sf, "region").select("r_regionkey", "r_name", F.col("r_name").alias("size"))
-    return t.filtered(df, t.Hash(r_regionkey=t.Integer, r_name=t.String.invoke(["downcase", "strip", "upcase"]), size=t.String.invoke("size")))
+    df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias("size"))
+    return t.filtered(df, t.Hash(c_custkey=t.Integer, c_mktsegment=t.String.invoke(["downcase", "strip", "upcase"]), size=t.String.invoke("size")))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value ELSE user_id END AS value FROM events WHERE event_id % 3 <> 2")
@@ -466,6 +466,53 @@ def decimal_scientific(spark, sf):
     return out.select("s_suppkey", F.when(F.col("ok"), F.col("n").cast("double")).alias("n"), "ok")
 
 
+@query("SELECT p_partkey, p_size, p_brand FROM part WHERE p_size >= 10 AND regexp_matches(p_brand, '[135]$')")
+def record_merge(spark, sf):
+    """Fields of two records, the right one's where both have them."""
+    both = t.Hash(p_partkey=t.Integer, p_size=t.String, p_brand=t.String) + t.Hash(p_size=t.Integer[t.between(10)], p_brand=t.String[t.Pattern("[135]$")])
+    return t.filtered(table(spark, sf, "part"), both)
+
+
+@query("SELECT event_id, event_id % 4 IN (1, 2) AS ok FROM events")
+def interface_json(spark, sf):
+    """Values of unlike kinds that answer a method."""
+    forms = F.array(F.lit('{"v": 5}'), F.lit('{"v": "five"}'), F.lit('{"v": [5]}'), F.lit('{"v": true}'))
+    df = table(spark, sf, "events").select("event_id", forms[(F.col("event_id") % 4).cast("int")].alias("props"))
+    return t.validate(readers.from_json(df, "props"), t.Hash(v=t.Interface["size"]), "props").select("event_id", "ok")
+
+
+@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND month(o_orderdate) IN (1, 2, 3)")
+def date_attributes(spark, sf):
+    first_quarters = t.Time.where(year=t.between(1996, 1998)).where(month=(1, 2, 3))
+    return t.filtered(table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), t.Hash(o_orderkey=t.Integer, o_orderdate=first_quarters)).select("o_orderkey")
+
+
+@query("SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS ok FROM events")
+def map_parse(spark, sf):
+    """A map's keys and values, each of a type; one that fails makes the row invalid."""
+    key = F.when(F.col("event_id") % 5 == 0, F.lit("1x")).otherwise(F.lit("x1"))
+    number = F.when(F.col("event_id") % 7 == 0, F.lit(-1)).otherwise(F.lit(1))
+    df = table(spark, sf, "events").select("event_id", F.create_map(F.lit("a"), F.lit(3), key, number).alias("m"))
+    return t.validate(df, t.Hash(event_id=t.Integer, m=t.Hash[t.String[t.Pattern("^[a-z]")], t.Integer[t.between(0)]])).select("event_id", "ok")
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) AS words FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND NOT list_contains(string_split(p_name, ' '), 'small')")
+def policies_on_arrays(spark, sf):
+    """Options of text, words that an array must not have, and methods of arrays."""
+    words = t.Array[t.String].excluded_from(["small"]).policy(respond_to="uniq").invoke(["uniq", "sort"])
+    df = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("words"), "p_type")
+    return t.filtered(df, t.Hash(p_partkey=t.Integer, words=words, p_type=t.String.options(["ECONOMY", "PROMO"]))).drop("p_type")
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) || '!!' AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def pipeline_around(spark, sf):
+    """Middleware around the steps that come after it."""
+    loud = lambda step: step >> t.String.transform(t.String, lambda c: F.concat(c, F.lit("!")))
+    steps = t.String.excluded_from(["BUILDING"]).pipeline().around(loud).step(t.String.invoke("upcase")).step_checked(t.String)
+    df = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return t.filtered(df, t.Hash(c_custkey=t.Integer, segment=steps))
+
+
 @query()
 def generated_ids(spark, sf):
     """A value made for each row, and a step in Python behind a guard: their rows are tested, not compared."""
