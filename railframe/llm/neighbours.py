@@ -26,13 +26,20 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 ROWS, STRIP = 512, 2048
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; they are scaled by their largest component first, so that no square overflows or vanishes."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    top[top == 0] = 1.0
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
+
+
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, their scales, and the length of what rounding took from each row."""
     scale = np.abs(x).max(axis=1, initial=0.0) / 127.0
     scale[scale == 0] = 1.0
+    scale = np.maximum(scale, np.finfo(np.float64).tiny)
     q = np.rint(x / scale[:, None]).astype(np.int8)
-    lost = np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
-    return q, scale, lost * (1 + 1e-9)
+    return q, scale, lengths(x - q * scale[:, None]) * (1 + 1e-9)
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -54,7 +61,7 @@ def tile(all_ids: np.ndarray, all_queries: np.ndarray, c_ids: np.ndarray, c: np.
     rank = np.arange(len(by)) - np.searchsorted(runs, runs)
     keep = np.sort(by[rank <= k])
     c_ids, c = c_ids[keep], c[keep]
-    block = (c_ids, c, *quantised(c), np.sqrt((c * c).sum(axis=1)))
+    block = (c_ids, c, *quantised(c), lengths(c))
     return [x for at in range(0, len(all_ids), ROWS) for x in strip(all_ids[at : at + ROWS], all_queries[at : at + ROWS], block, k)]
 
 
@@ -62,7 +69,7 @@ def strip(q_ids: np.ndarray, q: np.ndarray, block: tuple[np.ndarray, ...], k: in
     """tile for some of its queries."""
     c_ids, c, cq, cs, cl, c_len = block
     qq, qs, ql = quantised(q)
-    q_len = np.sqrt((q * q).sum(axis=1))
+    q_len = lengths(q)
     # An int8 product is exact in single precision up to 1040 components, in double precision for any.
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
     near = np.empty((len(q), len(c)))
@@ -73,10 +80,13 @@ def strip(q_ids: np.ndarray, q: np.ndarray, block: tuple[np.ndarray, ...], k: in
     found = []
     for i in range(len(q)):
         own = c_ids == q_ids[i]
-        low = np.where(own, -np.inf, near[i] - slack[i])
+        with np.errstate(invalid="ignore"):
+            low, high = near[i] - slack[i], near[i] + slack[i]
+        # Bounds that overflow tell nothing: they set no limit, and what has one is not left out.
+        low = np.where(own | np.isnan(low), -np.inf, low)
         if len(low) > k:
             limit = np.partition(low, len(low) - k)[len(low) - k]
-            left = np.flatnonzero(~own & (near[i] + slack[i] >= limit))
+            left = np.flatnonzero(~own & ~(high < limit))
         else:
             left = np.flatnonzero(~own)
         scores = exact(c[left], q[i])
@@ -85,13 +95,13 @@ def strip(q_ids: np.ndarray, q: np.ndarray, block: tuple[np.ndarray, ...], k: in
     return found
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest of every query (rows whose id is divisible by `every`): query_id, rank, vec_id, score, query_key.
+def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", keyed: bool = False) -> DataFrame:
+    """The k nearest of every query (rows whose id is divisible by `every`): query_id, rank, vec_id, score, and query_key if keyed.
 
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of another
     length than the query's are no candidates. A query with fewer candidates gets them all; without any it has no rows.
     Rows that repeat an id are candidates each; a query never meets rows with its own id. Queries that repeat an id and the
-    vector are one; with other vectors each has its own list, told apart by query_key.
+    vector are one; with other vectors each has its own list, told apart by query_key, a hash of the vector.
     """
     spark = vectors.sparkSession
     v = F.col(vector).cast("array<double>")
@@ -131,4 +141,5 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
         while some := list(islice(lines, 20_000)):
             yield out_batch(ranked_out, list(zip(*some)))
 
-    return tiles.repartition(partitions(spark), "query_id", "query_key").sortWithinPartitions("query_id", "query_key").mapInArrow(merge, ranked)
+    found = tiles.repartition(partitions(spark), "query_id", "query_key").sortWithinPartitions("query_id", "query_key").mapInArrow(merge, ranked)
+    return found if keyed else found.drop("query_key")

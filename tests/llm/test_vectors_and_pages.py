@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 
 import numpy as np
 import pytest
@@ -51,9 +52,18 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.search(df.where("vec_id = 0")).count() == 0
 
 
+def test_neighbours_of_huge_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** (i % 160)).tolist()) for i in range(160)] + [(i, [1e160 * (i + 1), 1.0, 0.0, 0.0]) for i in range(160, 220)] + [(i, [1e-170, -1e-170 * i, 0.0, 0.0]) for i in range(220, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    finite = lambda found: sorted(r for r in found if math.isfinite(r[3]))
+    got, want = list(map(tuple, neighbours.search(df).collect())), list(nearest(rows))
+    assert finite(got) == finite(want) and len(got) == len(want)
+
+
 def test_queries_that_repeat_an_id_each_have_a_list(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (2, [0.5, 0.5]), (3, [2.0, 2.0])]
-    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, keyed=True).collect()
     lists = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         lists.setdefault((r["query_id"], r["query_key"]), []).append((r["rank"], r["vec_id"], r["score"]))
