@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, idfiles, neardup, neighbours, packing, pieces, pii, quality, secrets, warc
+from . import fingerprints, idfiles, neardup, negatives, neighbours, packing, pieces, pii, quality, secrets, warc
 
 #: The tokenizers file that packing and id files use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,7 +25,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.search(table(spark, sf_dir, "embeddings"), every=20, k=20).drop("query_key")
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(files)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=5, low=80, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_block_neighbours": op2_block_neighbours,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_token_id_files": op10_token_id_files,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
@@ -96,4 +102,25 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+            WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same
+        ), w AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, c.vec_id AS negative_id, c.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY c.score DESC, c.vec_id) AS n
+            FROM p JOIN s c ON c.anchor_id = p.anchor_id AND NOT c.same AND 80 * p.score <= 100 * c.score AND 100 * c.score <= 100 * p.score
+            WHERE p.n <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM w WHERE n <= 5
+    """,
 }
