@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, idfiles, neardup, negatives, neighbours, packing, pieces, pii, quality, secrets, warc
+from . import fingerprints, idfiles, manifest, neardup, negatives, neighbours, packing, pieces, pii, quality, secrets, warc
 
 #: The tokenizers file that packing and id files use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +71,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=5, low=80, label=label)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_block_neighbours": op2_block_neighbours,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_token_id_files": op10_token_id_files,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Queries that SQL can express. The others are tested against brute force in tests/llm.
@@ -123,4 +128,62 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM w WHERE n <= 5
     """,
+    "op13_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, text, row_number() OVER () AS id,
+                   coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+                   || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                   || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+                   || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+                   xor(list_reduce(
+                       list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))
+                   ), 4294967295) % 5 = 0 AS tampered
+            FROM documents
+        ), leaves AS (
+            SELECT id, doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                   CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(small)) || ':' || small, '-')) END AS other
+            FROM d
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS total FROM leaves
+        ), low(level, source, place, h, total) AS (
+            SELECT 0, source, place, leaf, total FROM placed
+            UNION ALL
+            SELECT level + 1, source, place // 16, sha256(string_agg(h, '' ORDER BY place)), (total + 15) // 16
+            FROM low WHERE total > 1 GROUP BY level, source, place // 16, total
+        ), tops AS (
+            SELECT source AS member, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM low WHERE total = 1
+        ), high(level, place, h, total) AS (
+            SELECT 1000, place, h, total FROM tops
+            UNION ALL
+            SELECT level + 1, place // 16, sha256(string_agg(h, '' ORDER BY place)), (total + 15) // 16
+            FROM high WHERE total > 1 GROUP BY level, place // 16, total
+        ), way(id, level, source, place, total) AS (
+            SELECT p.id, 0, p.source, p.place, p.total FROM placed p
+            UNION ALL
+            SELECT id, level + 1, source, place // 16, (total + 15) // 16 FROM way WHERE total > 1
+        ), over(id, level, place, total) AS (
+            SELECT p.id, 1000, t.place, t.total FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.member
+            UNION ALL
+            SELECT id, level + 1, place // 16, (total + 15) // 16 FROM over WHERE total > 1
+        ), sides AS (
+            SELECT w.id, w.level, coalesce(string_agg(n.h, '' ORDER BY n.place) FILTER (n.place < w.place), '') AS l, coalesce(string_agg(n.h, '' ORDER BY n.place) FILTER (n.place > w.place), '') AS r
+            FROM way w JOIN low n ON n.level = w.level AND n.source IS NOT DISTINCT FROM w.source AND n.place // 16 = w.place // 16
+            WHERE w.total > 1 GROUP BY ALL
+            UNION ALL
+            SELECT w.id, w.level, coalesce(string_agg(n.h, '' ORDER BY n.place) FILTER (n.place < w.place), ''), coalesce(string_agg(n.h, '' ORDER BY n.place) FILTER (n.place > w.place), '')
+            FROM over w JOIN high n ON n.level = w.level AND n.place // 16 = w.place // 16
+            WHERE w.total > 1 GROUP BY ALL
+        ), steps AS (
+            SELECT id, string_agg(l || r, '' ORDER BY level) AS proof, list(struct_pack(l := l, r := r) ORDER BY level) AS path FROM sides GROUP BY id
+        ), folded(id, h, path) AS (
+            SELECT p.id, coalesce(p.other, p.leaf), coalesce(s.path, []) FROM placed p LEFT JOIN steps s ON p.id = s.id
+            UNION ALL
+            SELECT id, sha256(path[1].l || h || path[1].r), path[2:] FROM folded WHERE len(path) > 0
+        )
+        SELECT p.doc_id, p.leaf, t.h AS subroot, x.h AS root, sha256(coalesce(s.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = x.h AS verified
+        FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.member JOIN folded f ON f.id = p.id AND len(f.path) = 0
+        LEFT JOIN steps s ON s.id = p.id JOIN high x ON x.total = 1
+    """,
 }
