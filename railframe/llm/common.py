@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,34 @@ def out_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def ranged(df: DataFrame, group: str, order: list[str], rows: int, per: int, name: str) -> DataFrame:
+    """df (of `rows` rows) sorted by group and order and dealt into ranges of about `per` rows, with `part`, the number of the
+    range, and `place` among the group's rows in the range. A group of any size is spread over as many ranges as it fills.
+
+    Rows that are equal in all of `order` are alike and may stand either way; tie spreads them over ranges."""
+    dealt = df.withColumn("tie", F.monotonically_increasing_id())
+    count = max(1, min(partitions(df.sparkSession), math.ceil(rows / 1000)), math.ceil(rows / per))
+    keys = [group, *order, "tie"]
+    schema = ", ".join(f"{c} {k}" for c, k in df.dtypes) + ", place long"
+    out = arrow_schema(schema)
+    names = df.columns
+    at = names.index(group)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = object(), 0
+        for b in batches:
+            columns = [b[c] for c in names]
+            places = []
+            for g in columns[at].to_pylist():
+                n = n + 1 if g == last else 0
+                last = g
+                places.append(n)
+            yield out_batch(out, [*columns, places])
+
+    in_order = saved(dealt, f"{name}_dealt").repartitionByRange(count, *keys).sortWithinPartitions(*keys).mapInArrow(numbered, schema)
+    return saved(in_order.withColumn("part", F.spark_partition_id()), name)
+
+
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 

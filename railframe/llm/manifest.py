@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, out_batch, partitions, saved
+from .common import arrow_schema, out_batch, ranged, saved
 
 #: Children of a node.
 ARITY = 16
@@ -56,37 +56,12 @@ def by_fifth(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def ranged(df: DataFrame, group: str, order: list[str], rows: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """df in ranges of about RANGE_ROWS rows, with the range and the place in it among the group's; and for each range and
-    group: start (place of the first in the group), n, total (rows of the group).
-
-    Rows that are equal in all of `order` are alike and may stand either way; tie spreads them over ranges."""
-    spark = df.sparkSession
-    dealt = df.withColumn("tie", F.monotonically_increasing_id())
-    count = max(1, min(partitions(spark), math.ceil(rows / 1000)), math.ceil(rows / RANGE_ROWS))
-    keys = [group, *order, "tie"]
-    schema = ", ".join(f"{c} {k}" for c, k in df.dtypes) + ", place long"
-    out = arrow_schema(schema)
-    names = df.columns
-    at = names.index(group)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n = object(), 0
-        for b in batches:
-            columns = [b[c] for c in names]
-            places = []
-            for g in columns[at].to_pylist():
-                n = n + 1 if g == last else 0
-                last = g
-                places.append(n)
-            yield out_batch(out, [*columns, places])
-
-    sorted_ = saved(dealt, f"{name}_dealt").repartitionByRange(count, *keys).sortWithinPartitions(*keys).mapInArrow(numbered, schema)
-    placed = saved(sorted_.withColumn("part", F.spark_partition_id()), name)
+def runs_of(placed: DataFrame, group: str, name: str) -> DataFrame:
+    """For each range and group: start (place of the range's first row in the group), n, and total (rows of the group)."""
     here = placed.groupBy("part", group).agg(F.count("*").alias("n"))
     whole = W.partitionBy(group)
     runs = here.withColumn("start", F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(whole))
-    return placed, saved(runs, f"{name}_runs")
+    return saved(runs, f"{name}_runs")
 
 
 def above(nodes: DataFrame) -> DataFrame:
@@ -171,7 +146,8 @@ def proofs(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     made = saved(leaves(docs, by_fifth(F.col("doc_id")) if tampered is None else tampered), "leaves")
     rows = made.count()
-    placed, runs = ranged(made, "source", ["doc_id", "leaf"], rows, "placed")
+    placed = ranged(made, "source", ["doc_id", "leaf"], rows, RANGE_ROWS, "placed")
+    runs = runs_of(placed, "source", "placed")
     same = F.col("p.source").eqNullSafe(F.col("r.source")) & (F.col("p.part") == F.col("r.part"))
     found = placed.alias("p").join(runs.alias("r"), same).select("p.source", "p.doc_id", "p.leaf", "p.other", "p.part", "p.place", "r.start", "r.n", "r.total")
     # Only leaves near the end of a run can be another range's missing ones.
@@ -187,7 +163,8 @@ def proofs(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     # The sources' roots are leaves of one more tree.
     sources = roots.select(F.col("source").alias("member"), "leaf", F.lit("").alias("source"))
     count = sources.count()
-    tops, top_runs = ranged(sources, "source", ["member"], count, "sources")
+    tops = ranged(sources, "source", ["member"], count, RANGE_ROWS, "sources")
+    top_runs = runs_of(tops, "source", "sources")
     joined = tops.alias("p").join(top_runs.alias("r"), F.col("p.part") == F.col("r.part"))
     numbered = saved(joined.select("p.member", "p.source", F.col("p.leaf").alias("h"), (F.col("start") + F.col("place")).alias("at"), "total"), "numbered")
     upper = levels(numbered.drop("member"), count, "top")

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, idfiles, manifest, neardup, negatives, neighbours, packing, pieces, pii, quality, secrets, warc
+from . import chat, fingerprints, idfiles, manifest, neardup, negatives, neighbours, packing, pieces, pii, quality, secrets, warc
+from .common import saved
 
 #: The tokenizers file that packing and id files use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +67,12 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(files)
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digest(chat.read_back(saved(chat.formatted(turns.unionByName(more)), "chats")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=5, low=80, label=label)
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_token_id_files": op10_token_id_files,
+    "op11_chat_formatting": op11_chat_formatting,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -107,6 +115,24 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
     """,
+    "op11_chat_formatting": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), n AS (
+            SELECT *, row_number() OVER w AS n, coalesce(lag(role) OVER w, role || '-') <> role AS opens,
+                   length(list_reduce(list_prepend(replace(text, chr(92), chr(92) || chr(92)), control), lambda s, x: replace(s, x, x[1] || chr(92) || x[2:]))) AS chars,
+                   length(list_reduce(list_prepend(replace(role, chr(92), chr(92) || chr(92)), control), lambda s, x: replace(s, x, x[1] || chr(92) || x[2:]))) AS role_chars
+            FROM t, (SELECT ['<s>', '</s>', '<|turn|>', '<|text|>', '<|next|>', '<|end|>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<|im_start|>', '<|im_end|>', '<|endoftext|>'] AS control)
+            WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (7 + sum(chars + CASE WHEN opens THEN 8 + role_chars + 8 + 7 ELSE 8 END))::BIGINT AS formatted_chars
+        FROM n GROUP BY conv_id
+    """,
     "op12_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
