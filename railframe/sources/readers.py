@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dataset import invalid, lowered, public
+from ..operators.dataset import filtered, invalid, prepared
 from ..plans import nodes as N
 
 
@@ -35,8 +35,8 @@ def from_json(df: DataFrame, column: str) -> DataFrame:
 
 def to_json(df: DataFrame, t: object, column: str = "json") -> DataFrame:
     """What an encoder makes of each row, as one JSON text; rows that it rejects are null."""
-    o = lowered(df, t)
-    return df.select(F.when(o.ok, F.to_json(o.value)).alias(column))
+    low = prepared(df, t)
+    return low.df.select(F.when(low.out.ok, F.to_json(low.out.value)).alias(column))
 
 
 def environment(df: DataFrame, prefix: str, column: str = "env") -> DataFrame:
@@ -62,8 +62,7 @@ def downloaded(df: DataFrame, fetch: Callable[[str], bytes], column: str = "url"
     return df.mapInArrow(run, schema)
 
 
-def write_split(df: DataFrame, t: object, good: str, bad: str) -> None:
+def write_split(df: DataFrame, t: object, good: str, bad: str, mode: str = "append") -> None:
     """Valid rows as Parquet in one folder, the others with their errors as JSON in another."""
-    o = lowered(df, t)
-    df.where(o.ok).select(*(public(f.value, f.dtype).alias(k) for k, f in (o.fields or {}).items())).write.mode("append").parquet(good)
-    invalid(df, t).write.mode("append").json(bad)
+    filtered(df, t).write.mode(mode).parquet(good)
+    invalid(df, t).write.mode(mode).json(bad)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dataset import filtered, validate
 from ..sources.readers import write_split
+from ..sources.scratch import shared
 
 
 def files(spark: SparkSession, folder: str, schema, glob: str = "*", kind: str = "parquet") -> DataFrame:
@@ -26,11 +24,12 @@ def judged(stream: DataFrame, t: object) -> DataFrame:
 
 
 def split_sinks(stream: DataFrame, t: object, good: str, bad: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Each batch's valid rows to one folder and its invalid ones, with errors, to another."""
+    """Each batch's valid rows to one folder and its invalid ones, with errors, to another. A batch that is run again after a
+    failure replaces what it wrote before."""
 
     def both(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        write_split(batch, t, f"{good}/batch={batch_id}", f"{bad}/batch={batch_id}")
+        write_split(batch, t, f"{good}/batch={batch_id}", f"{bad}/batch={batch_id}", mode="overwrite")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -46,9 +45,9 @@ def to_memory(stream: DataFrame, name: str) -> DataFrame:
 def to_files(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Run what is there to Parquet files, and read them; executors write, nothing passes through the driver.
 
-    Without a folder, a new one below spark.checkpoint.dir; only where that is unset, a new local one."""
+    Without a folder, a new one below spark.checkpoint.dir; only where that is unset and all runs on this machine, a new local one."""
     spark = stream.sparkSession
-    top = folder or f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = folder or shared(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/rows")
