@@ -521,3 +521,74 @@ def generated_ids(spark, sf):
     initials = t.String.build(t.String, t.python_step(lambda s: "".join(w[0] for w in s.split()), T.StringType(), (IndexError,)))
     df = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("initials"))
     return t.filtered(df, t.Hash(p_partkey=t.Integer, id=t.UUID4.generate(F.uuid), initials=initials))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings)
+    SELECT vec_id, [CASE WHEN x >= 0 THEN sqrt(x) END for x in v] AS v, len(list_filter(v, lambda x: x < 0)) = 0 AS ok,
+           CAST(len(list_filter(v, lambda x: x < 0)) AS INTEGER) AS n_errors,
+           'v[' || (list_position([x < 0 for x in v], true) - 1) || ']' AS first_path,
+           [[sqrt(x) for x in v[1:32] if x >= 0], [sqrt(x) for x in v[33:] if x >= 0]] AS halves
+    FROM e
+""")
+def python_in_arrays(spark, sf):
+    """A step in Python on the elements of arrays and of arrays of arrays, a whole Arrow batch of them at once. What it raises
+    for some is their error, at their place."""
+    import numpy as np
+    from pyspark.sql import types as T
+
+    def roots(values):
+        found = values.to_numpy(zero_copy_only=False)
+        if (found < 0).any():
+            raise ArithmeticError("no root")
+        return np.sqrt(found)
+
+    root = t.Float.transform(t.Float, t.batch_step(roots, T.DoubleType())).policy(rescue=ArithmeticError)
+    v = F.col("embedding").cast("array<double>")
+    df = table(spark, sf, "embeddings").select("vec_id", v.alias("v"), F.array(F.slice(v, 1, 32), F.slice(v, F.lit(33), F.greatest(F.size(v) - 32, F.lit(0)))).alias("halves"))
+    judged = t.validate(df, t.Hash(vec_id=t.Integer, v=t.Array[root], halves=t.Array[t.Array[root].filtered()]))
+    return judged.select("vec_id", "v", "ok", F.size("errors").alias("n_errors"), F.get("errors.path", F.lit(0)).alias("first_path"), "halves")
+
+
+@query("""
+    WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type WHEN event_id % 5 = 1 THEN '0' ELSE event_id::VARCHAR END AS raw FROM events)
+    SELECT event_id, CASE WHEN event_id % 5 > 1 THEN 1000000 // event_id END AS share, event_id % 5 > 1 AS ok,
+           CASE event_id % 5 WHEN 0 THEN 'invalid literal for int() with base 10: ' || chr(39) || raw || chr(39) WHEN 1 THEN 'division of ' || raw END AS message
+    FROM e
+""")
+def rescue_errors(spark, sf):
+    """Exceptions of two classes that a step in Python raises, as errors of their rows."""
+    from pyspark.sql import types as T
+
+    def part(s):
+        n = int(s)
+        if n == 0:
+            raise ZeroDivisionError(f"division of {s}")
+        return 1_000_000 // n
+
+    share = t.String.build(t.Integer, t.python_step(part, T.LongType())).policy(rescue=(ValueError, ZeroDivisionError))
+    key = F.col("event_id")
+    raw = F.when(key % 5 == 0, F.col("event_type")).when(key % 5 == 1, F.lit("0")).otherwise(key.cast("string"))
+    df = table(spark, sf, "events").select("event_id", raw.alias("share"))
+    return t.validate(df, t.Hash(event_id=t.Integer, share=share)).select("event_id", "share", "ok", F.get("errors.message", F.lit(0)).alias("message"))
+
+
+def endless_list():
+    return t.Hash(value=t.Integer, next=t.Nil | t.defer(endless_list, None))
+
+
+@query("""
+    SELECT o_orderkey, CAST(1 + (o_orderkey * 31) % 50 AS INTEGER) AS depth, o_orderkey % 3 <> 0 AS ok,
+           CASE WHEN o_orderkey % 3 = 0 THEN repeat('next.', CAST((o_orderkey * 7) % (1 + (o_orderkey * 31) % 50) AS INTEGER)) || 'value' END AS path
+    FROM orders
+""")
+def recursive_deep(spark, sf):
+    """Lists in JSON that nest from one to fifty levels; every third has a text for a value, at a level chosen by its key."""
+    key = F.col("o_orderkey")
+    depth, bad = (1 + (key * 31) % 50).cast("int"), F.when(key % 3 == 0, (key * 7) % (1 + (key * 31) % 50)).otherwise(-1)
+    level = lambda i: F.concat(F.lit('{"value": '), F.when(i == bad, F.lit('"x"')).otherwise(i.cast("string")), F.lit(', "next": '))
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), depth - 1), level), ""), F.lit("null"), F.repeat(F.lit("}"), depth))
+    df = table(spark, sf, "orders").select("o_orderkey", depth.alias("depth"), text.alias("list"))
+    judged = t.validate(readers.from_json(df, "list"), t.defer(endless_list, None), "list")
+    at = F.filter("errors", lambda e: e["message"] == "Must be a Integer")
+    return judged.select("o_orderkey", "depth", "ok", F.get(at, F.lit(0))["path"].alias("path"))

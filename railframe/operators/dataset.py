@@ -6,20 +6,51 @@ the first invalid row. The filters are on ok, plain conditions that Spark pushes
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import nodes as N
+from ..plans import sites
 from ..plans.cells import Cell, Out
+from . import deep
+
+
+@dataclass
+class Lowered:
+    """A type on a table: what it makes, and the table with what is projected before."""
+
+    df: DataFrame
+    out: Out
+    #: The columns of the table as it was given.
+    names: list[str]
 
 
 def lowered(df: DataFrame, t: object, column: str | None = None) -> Out:
+    """What a type makes of a table, or of one column, in Columns."""
+    return prepared(df, t, column).out
+
+
+def prepared(df: DataFrame, t: object, column: str | None = None) -> Lowered:
+    """Types that hold themselves to any depth are judged beforehand, by jobs, where the table is no stream."""
     t = N.wrap(t)
     if isinstance(t, N.Stream):
         t = t.of
-    cell = Cell(F.struct("*"), df.schema, row=True) if column is None else Cell(F.col(f"`{column}`"), df.schema[column].dataType)
-    return t.lower(cell, F.lit(""))
+    names = df.columns
+    if not df.isStreaming and deep.endless(t):
+        df, t = deep.judged(df, t, lambda df, t: of_rows(df, t, column, names))
+    return of_rows(df, t, column, names)
+
+
+def of_rows(df: DataFrame, t: N.Type, column: str | None, names: list[str]) -> Lowered:
+    cell = Cell(F.struct(*(F.col(f"`{n}`") for n in names)), T.StructType([df.schema[n] for n in names]), row=True) if column is None else Cell(F.col(f"`{column}`"), df.schema[column].dataType)
+    with sites.stages(df.columns) as before:
+        out = t.lower(cell, F.lit(""))
+    for name, c in before.columns:
+        df = df.withColumn(name, c)
+    return Lowered(df, out, names)
 
 
 def public(value: Column, dtype: T.DataType) -> Column:
@@ -36,29 +67,38 @@ def columns(o: Out, column: str | None) -> dict[str, Column]:
     return {column or "value": public(o.value, o.dtype)}
 
 
-def selected(df: DataFrame, column: str | None, made: dict[str, Column]) -> DataFrame:
+def selected(low: Lowered, column: str | None, made: dict[str, Column]) -> DataFrame:
     """The other columns, if one was read, and those made. Names come last: no expression can mean a new column by an old name."""
-    kept = [c for c in df.columns if c != column] if column is not None else []
+    kept = [c for c in low.names if c != column] if column is not None else []
     columns = [*(F.col(f"`{c}`") for c in kept), *made.values()]
-    return df.select(*(c.alias(f"__{i}") for i, c in enumerate(columns))).toDF(*kept, *made)
+    return low.df.select(*(c.alias(f"__{i}") for i, c in enumerate(columns))).toDF(*kept, *made)
 
 
 def validate(df: DataFrame, t: object, column: str | None = None, ok: str = "ok", errors: str = "errors") -> DataFrame:
-    """The fields that t makes of each row (or of one column), whether they are valid, and the errors (path, message)."""
-    o = lowered(df, t, column)
-    return selected(df, column, columns(o, column) | {ok: o.ok, errors: o.errors})
+    """The fields that t makes of each row (or of one column), whether they are valid, and the errors (path, message).
+
+    Other columns and fields must not have the names of `ok` and `errors`: name these anew there."""
+    low = prepared(df, t, column)
+    made = columns(low.out, column)
+    clash = {ok, errors} & ({*made} | ({*low.names} - {column} if column is not None else set()))
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already: give validate other names for ok and errors")
+    return selected(low, column, made | {ok: low.out.ok, errors: low.out.errors})
 
 
 def filtered(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
     """The valid rows only."""
-    o = lowered(df, t, column)
-    return selected(df.where(o.ok), column, columns(o, column))
+    low = prepared(df, t, column)
+    made = columns(low.out, column)
+    low.df = low.df.where(low.out.ok)
+    return selected(low, column, made)
 
 
-def invalid(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
-    """The rows that are not valid, as they came, with errors."""
-    o = lowered(df, t, column)
-    return df.where(~o.ok).withColumn("errors", o.errors)
+def invalid(df: DataFrame, t: object, column: str | None = None, errors: str = "errors") -> DataFrame:
+    """The rows that are not valid, as they came, with errors (in place of a column of that name)."""
+    low = prepared(df, t, column)
+    rows = low.df.where(~low.out.ok).select(*(F.col(f"`{c}`") for c in low.names if c != errors), low.out.errors.alias("__errors"))
+    return rows.toDF(*(c for c in low.names if c != errors), errors)
 
 
 def split(df: DataFrame, t: object, column: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -67,14 +107,15 @@ def split(df: DataFrame, t: object, column: str | None = None) -> tuple[DataFram
 
 def parse(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
     """All rows, or an error that names the first invalid row's errors."""
-    o = lowered(df, t, column)
-    guard = lambda c: F.when(o.ok, c).otherwise(F.raise_error(F.to_json(o.errors)))
-    return selected(df, column, {n: guard(c) for n, c in columns(o, column).items()})
+    low = prepared(df, t, column)
+    guard = lambda c: F.when(low.out.ok, c).otherwise(F.raise_error(F.to_json(low.out.errors)))
+    return selected(low, column, {n: guard(c) for n, c in columns(low.out, column).items()})
 
 
 def report(df: DataFrame, t: object) -> DataFrame:
     """An extension: errors by path and message over all rows, counted with partial aggregation."""
-    bad = df.select(F.explode(lowered(df, t).errors).alias("e"))
+    low = prepared(df, t)
+    bad = low.df.select(F.explode(low.out.errors).alias("e"))
     return bad.groupBy("e.path", "e.message").agg(F.count("*").alias("rows"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from typing import Any
 
+from ..functions.udf import python_step
 from ..plans import nodes as N
+from ..plans.export import data_type
 
 
 class Pipeline(N.Type):
@@ -73,17 +76,27 @@ class Step(N.Type):
     class Doubled(Step):
         takes, gives = Integer, Integer
         def apply(self, c): return c * 2
+
+    in_python: apply gets and gives single values in Python; what it raises of the classes in rescued is an error.
     """
 
     takes: Any = N.Any()
     gives: Any = N.Any()
     guaranteed = False
+    in_python = False
+    rescued: tuple[type[BaseException], ...] = ()
 
     def apply(self, c):
         raise NotImplementedError
 
     def as_convert(self) -> N.Convert:
-        return N.Convert(N.wrap(self.takes), N.wrap(self.gives), self.apply, type(self).__name__, self.guaranteed)
+        fn = python_step(self.apply, data_type(N.wrap(self.gives)), self.rescued) if self.in_python else self.apply
+        return N.Convert(N.wrap(self.takes), N.wrap(self.gives), fn, type(self).__name__, self.guaranteed)
+
+    def rescuing(self, *classes: type[BaseException]) -> Step:
+        made = copy.copy(self)
+        made.rescued = tuple(dict.fromkeys((*self.rescued, *classes)))
+        return made
 
     def __eq__(self, other):
         return type(self) is type(other) and vars(self) == vars(other)

@@ -120,9 +120,24 @@ def _default(t, v):
 
 
 @policy("rescue")
-def _rescue(t):
-    """Conversions here are try_ functions, and a step in Python that raises is data (functions.udf); nothing is left to catch."""
-    return t
+def _rescue(t, exceptions=()):
+    """Exceptions of these classes (one or several) that a step in Python inside t raises are errors of its value, with their
+    text; others fail the job. Conversions of Columns are try_ functions and raise nothing."""
+    classes = exceptions if isinstance(exceptions, tuple) else (exceptions,)
+    for c in classes:
+        if not (isinstance(c, type) and issubclass(c, BaseException)):
+            raise TypeError(f"{c!r} is not a class of exceptions")
+
+    def guarded(x: N.Type) -> N.Type:
+        if isinstance(x, N.Convert) and getattr(x.fn, "in_python", False):
+            return N.Convert(x.inp, x.out, x.fn.rescuing(*classes), x.name, x.guaranteed)
+        if isinstance(x, N.Check) and getattr(x.matcher, "in_python", False):
+            return N.Check(x.base, x.matcher.rescuing(*classes), x.message)
+        if isinstance(x, N.Deferred):
+            return N.Deferred(lambda: N.transformed(x.target(), guarded), x.max_depth)
+        return x.rescuing(*classes) if hasattr(x, "rescuing") else x
+
+    return N.transformed(t, guarded) if classes else t
 
 
 @policy("split", "string")

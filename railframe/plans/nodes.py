@@ -6,6 +6,7 @@ first failure, choices try the original value again, containers gather all error
 
 from __future__ import annotations
 
+import math
 import re
 import warnings
 from collections.abc import Callable
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 
 from ..functions import scalars
 from . import matchers as M
-from .cells import LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, let, no_errors, one_error, step
+from . import sites
+from .cells import ERRORS, LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, let, no_errors, one_error, step
 
 
 class TypeMismatch(TypeError):
@@ -214,8 +216,8 @@ class Type:
     def split(self, separator: str = ",") -> Type:
         return self.policy(split=separator)
 
-    def rescue(self) -> Type:
-        return self.policy("rescue")
+    def rescue(self, *exceptions: type[BaseException]) -> Type:
+        return self.policy(rescue=exceptions)
 
     # --- Columns ----------------------------------------------------------------------------
     def accepts(self, c: Column, dtype: T.DataType) -> Column:
@@ -453,9 +455,32 @@ def followed(o: Out, t: Type, path: Column) -> Out:
     return Out(n.value, ok, lambda: F.when(~o.ok, o.errors).otherwise(n.errors), dtype, False if n.known is False else None, n.present, n.fields, weight=2 * o.weight + n.weight)
 
 
-def in_columns(t: Type) -> bool:
+def in_columns(t: Type, opened: tuple = ()) -> bool:
     """Whether a type is made of Column functions only, and none of them runs in Python."""
-    return not getattr(getattr(t, "fn", None), "in_python", False) and all(map(in_columns, t.children()))
+    if isinstance(t, Deferred):
+        return t.make in opened or in_columns(t.target(), (*opened, t.make))
+    own = (t, getattr(t, "fn", None), t.matcher if isinstance(t, Check) else None)
+    return not any(getattr(x, "in_python", False) for x in own) and all(in_columns(c, opened) for c in t.children())
+
+
+def holds_itself(t: Type) -> bool:
+    return isinstance(t, Deferred) or any(map(holds_itself, t.children()))
+
+
+def looked_up(t: Type) -> bool:
+    """Whether results are looked up by the path of a value, so that it is needed for more than errors."""
+    return isinstance(t, Deferred) and t.judged is not None or any(map(looked_up, t.children()))
+
+
+def ran(step: Obj, i: Out) -> Column:
+    """What a step in Python makes of a value: struct<v, ok, e>."""
+    if isinstance(i.dtype, T.VariantType):
+        return sites.python_result(step, F.struct(F.to_json(i.value).alias("v"), i.ok.alias("ok")), True)
+    return sites.python_result(step, F.struct(i.judged()["v"].alias("v"), i.judged()["ok"].alias("ok")) if i.known is None else F.struct(i.value.alias("v"), i.ok.alias("ok")), False)
+
+
+def element_errors(pairs: Column, own: Column) -> Column:
+    return F.coalesce(F.flatten(F.transform(pairs, lambda s: s["e"])), own)
 
 
 @dataclass(frozen=True)
@@ -501,7 +526,13 @@ class Check(Refine):
         return Check(children[0], self.matcher, self.message)
 
     def lower(self, c, path):
-        return applied_matcher(M.Custom(self.matcher, self.message), self.base.lower(c, path), path)
+        o = self.base.lower(c, path)
+        if not getattr(self.matcher, "in_python", False) or o.known is False:
+            return applied_matcher(M.Custom(self.matcher, self.message), o, path)
+        r = ran(self.matcher, o)
+        test = F.coalesce(r["ok"] & r["v"], F.lit(False))
+        said = lambda: F.when(~o.ok, o.errors).when(test, no_errors()).otherwise(one_error(path, F.coalesce(r["e"], F.lit(self.message))))
+        return Out(o.value, o.ok & test, said, o.dtype, None, o.present, weight=10 * LIGHT)
 
 
 @dataclass(frozen=True)
@@ -682,6 +713,8 @@ class Convert(Type):
         from .export import data_type
 
         dtype = data_type(self.out)
+        if getattr(self.fn, "in_python", False):
+            return self.mapped_in_python(i, path)
         if self.fn is None:
             raw, made = scalars.COERCIONS[self.name][0](i.value, i.dtype), scalars.COERCIONS[self.name][1] or i.dtype
         else:
@@ -690,6 +723,13 @@ class Convert(Type):
         mapped = Out(raw, i.ok, lambda: i.errors, made, i.known, weight=2 * i.weight)
         return mapped if self.guaranteed and isinstance(self.out, Any) else after(mapped, Gate_of(self.out, made) if self.guaranteed else self.out, path)
 
+    def mapped_in_python(self, i: Out, path: Column) -> Out:
+        r = ran(self.fn, i)
+        ok = F.coalesce(r["ok"], F.lit(False))
+        said = lambda: F.when(~i.ok, i.errors).when(ok, no_errors()).otherwise(one_error(path, F.coalesce(r["e"], F.lit("no result"))))
+        mapped = Out(r["v"], ok, said, self.fn.dtype, None, weight=10 * LIGHT)
+        return mapped if isinstance(self.out, Any) else after(mapped, self.out, path)
+
 
 def Gate_of(out: Type, made: T.DataType) -> Type:
     """What remains to check of a guaranteed result: that there is one, as try_ functions give null for what they cannot convert."""
@@ -843,6 +883,8 @@ class Record(Type):
             return out
         tail = F.map_filter(c.value if isinstance(c.dtype, T.MapType) else c.value.try_cast("map<string,variant>"), lambda k, v: ~k.isin(*names) if names else F.lit(True))
         valued = c.dtype.valueType if isinstance(c.dtype, T.MapType) else VARIANT
+        if sites.found_now() and any(holds_itself(t) for _, t in rules) or not all(in_columns(t) for _, t in rules):
+            return {"_": self._tail_by_place(tail, valued, rules, path)}
         types = [t.lower(Cell(F.lit(None).cast(valued), valued), path) for _, t in rules]
         dtype = types[0].dtype
         for o in types[1:]:
@@ -863,6 +905,30 @@ class Record(Type):
         errors = lambda: F.coalesce(F.flatten(F.transform(F.map_entries(kept), lambda e: chosen(e["key"], e["value"], lambda o: o.errors, no_errors()))), no_errors())
         return {"_": Out(value, ok, errors, T.MapType(T.StringType(), dtype), weight=LIGHT)}
 
+    def _tail_by_place(self, tail: Column, valued: T.DataType, rules: list[tuple[Type, Type]], path: Column) -> Out:
+        """The tail as others() gives it, where its types hold steps in Python, or themselves."""
+
+        def entry(e: Column, i: Column) -> Out:
+            where = F.concat(path, F.when(path == "", F.lit("")).otherwise(F.lit(".")), e["key"])
+            cases = [(k.lower(Cell(e["key"], T.StringType()), path).ok, t.lower(Cell(e["value"], valued), where)) for k, t in rules]
+            dtype = cases[0][1].dtype
+            for _, o in cases[1:]:
+                dtype = common(dtype, o.dtype)
+            value, ok, said = F.lit(None).cast(dtype), F.lit(True), no_errors()
+            for applies, o in reversed(cases):
+                value, ok, said = F.when(applies, fitted(o.value, o.dtype, dtype)).otherwise(value), F.when(applies, o.ok).otherwise(ok), F.when(applies, o.errors).otherwise(said)
+            made = T.StructType([T.StructField("key", T.StringType(), False), T.StructField("value", dtype)])
+            return Out(F.struct(e["key"].alias("key"), value.alias("value")), ok, said, made)
+
+        own = F.map_filter(tail, lambda k, v: F.lit(True) if self.rest else _any([key.lower(Cell(k, T.StringType()), path).ok for key, _ in self.typed]))
+        entries = F.map_entries(own)
+        if sites.found_now():
+            sites.found_in(entries, entry)
+            return Out(own, F.lit(True), no_errors, T.MapType(T.StringType(), valued))
+        pairs, o = sites.each(entries, entry)
+        ok = F.coalesce(F.forall(pairs, lambda s: s["ok"]), F.lit(True))
+        return Out(F.map_from_entries(F.transform(pairs, lambda s: s["v"])), ok, lambda: element_errors(pairs, no_errors()), T.MapType(T.StringType(), o.dtype["value"].dataType), weight=10 * LIGHT)
+
     def lower(self, c, path):
         g = Gate("hash").lower(c, path)
         if g.known is False:
@@ -1039,6 +1105,14 @@ class Array(Type):
             return gated(c, False, path, "must be an Array")
         el = a.dtype.elementType
         indexed = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        place = lambda x, i: self._element(x, el, indexed(i))
+        if sites.found_now() and holds_itself(self.of):
+            sites.found_in(a.value, place)
+            return Out(a.value, g.ok, no_errors, a.dtype, None, c.present)
+        if not in_columns(self.of) or looked_up(self.of):
+            pairs, o = sites.each(a.value, place)
+            said = lambda: F.when(g.ok, element_errors(pairs, no_errors())).otherwise(one_error(path, "must be an Array"))
+            return Out(F.transform(pairs, lambda s: F.when(s["ok"], s["v"])), g.ok & F.coalesce(F.forall(pairs, lambda s: s["ok"]), F.lit(False)), said, T.ArrayType(o.dtype), None, c.present, weight=10 * LIGHT)
 
         def errors() -> Column:
             own = F.transform(a.value, lambda x, i: self._element(x, el, indexed(i)).errors)
@@ -1091,6 +1165,12 @@ class FilteredArray(Type):
         if g.known is False:
             return gated(c, False, path, "must be an Array")
         el, seen = a.dtype.elementType, []
+        if sites.found_now() and holds_itself(self.inner):
+            sites.found_in(a.value, lambda x, i: self.inner._element(x, el, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+            return Out(a.value, g.ok, no_errors, a.dtype, None, c.present)
+        if not in_columns(self.inner) or looked_up(self.inner):
+            pairs, o = sites.each(a.value, lambda x, i: self.inner._element(x, el, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+            return Out(F.transform(F.filter(pairs, lambda s: s["ok"]), lambda s: s["v"]), g.ok, lambda: g.errors, T.ArrayType(o.dtype), g.known, c.present, weight=10 * LIGHT)
 
         def element(x: Column) -> Out:
             seen.append(self.inner._element(x, el, path))
@@ -1129,6 +1209,12 @@ class Map(Type):
         where = F.concat(path, F.lit("["), e["key"].cast("string"), F.lit("]"))
         return self.keys.lower(Cell(e["key"], d.keyType), where), self.values.lower(Cell(e["value"], d.valueType), where)
 
+    def _whole(self, e: Column, d: T.MapType, path: Column) -> Out:
+        """An entry, struct<key, value>, of the lowered key and value."""
+        k, v = self._entry(e, d, path)
+        ok, _ = conj([k, v])
+        return Out(F.struct(k.value.alias("key"), v.value.alias("value")), ok, lambda: F.concat(k.errors, v.errors), T.StructType([T.StructField("key", k.dtype, False), T.StructField("value", v.dtype)]))
+
     def _made(self, d: T.MapType, path: Column) -> T.MapType:
         blank = F.struct(F.lit(None).cast(d.keyType).alias("key"), F.lit(None).cast(d.valueType).alias("value"))
         k, v = self._entry(blank, d, path)
@@ -1139,8 +1225,20 @@ class Map(Type):
         if g.known is False or isinstance(g.dtype, T.StructType):
             return gated(c, False, path, "must be a Hash")
         d = g.dtype
-        made = self._made(d, path)
         entries = F.map_entries(g.value)
+        if sites.found_now() and holds_itself(self):
+            sites.found_in(entries, lambda e, i: self._whole(e, d, path))
+            return Out(g.value, g.ok, no_errors, d, None, c.present)
+        if not in_columns(self):
+            pairs, o = sites.each(entries, lambda e, i: self._whole(e, d, path))
+            good = lambda: F.coalesce(F.forall(pairs, lambda s: s["ok"]), F.lit(False))
+            value = F.map_from_entries(F.transform(F.filter(pairs, lambda s: s["ok"]), lambda s: s["v"]))
+            made = T.MapType(o.dtype["key"].dataType, o.dtype["value"].dataType)
+            if drop:
+                return Out(value, g.ok, lambda: g.errors, made, g.known, c.present, weight=10 * LIGHT)
+            said = lambda: F.when(g.ok, element_errors(pairs, no_errors())).otherwise(one_error(path, "must be a Hash"))
+            return Out(F.when(good(), value), g.ok & good(), said, made, None, c.present, weight=10 * LIGHT)
+        made = self._made(d, path)
         good = lambda e: conj(list(self._entry(e, d, path)))[0]
 
         def judged(e: Column) -> Column:
@@ -1302,11 +1400,17 @@ class Stream(Type):
 @dataclass(frozen=True)
 class Deferred(Type):
     """A type that is named before it is made, so that it can hold itself. Columns have finite types: it is unrolled
-    max_depth times, and values that nest deeper are invalid."""
+    max_depth times. Values that nest deeper are invalid; or, if max_depth is None, they are found by operators.deep, which
+    judges them level by level, and looked up in `judged`, by the number of the type in `makes` and their path."""
 
     make: Callable[[], Obj]
-    max_depth: int = 8
+    max_depth: int | None = 8
     depth: int = 0
+    judged: Column | None = field(default=None, compare=False)
+    makes: tuple[Callable, ...] = field(default=(), compare=False)
+
+    #: Levels that are unrolled at once where max_depth is None.
+    UNROLLED = 3
 
     def target(self) -> Type:
         return wrap(self.make())
@@ -1315,15 +1419,41 @@ class Deferred(Type):
     def output_type(self):
         return self
 
+    def known_by(self, judged: Column, makes: list[Callable]) -> Deferred:
+        return Deferred(self.make, self.max_depth, self.depth, judged, tuple(makes))
+
     def lower(self, c, path):
-        if self.depth >= self.max_depth:
-            return gated(c, False, path, f"nested deeper than {self.max_depth}")
+        if self.depth >= (self.max_depth or self.unrolled()):
+            return self.beyond(c, path)
         if c.present is False or isinstance(c.dtype, T.NullType):
             return gated(c, False, path, "must be a Hash")
-        deeper = transformed(self.target(), lambda t: Deferred(t.make, t.max_depth, self.depth + 1) if isinstance(t, Deferred) and t.make is self.make else t)
+        own = {"judged": self.judged, "makes": self.makes}
+        deeper = transformed(self.target(), lambda t: Deferred(t.make, t.max_depth, self.depth + 1, **own) if isinstance(t, Deferred) else t)
         o = deeper.lower(c, path)
         return Out(c.value, o.ok, lambda: o.errors, c.dtype, o.known, c.present, weight=o.weight) if isinstance(c.dtype, T.VariantType) else o
 
+    def unrolled(self) -> int:
+        """Fewer levels where a type holds itself at several places or in lists, so that plans do not grow with a power of them."""
+        places = max(1, counted(self.target()))
+        return self.UNROLLED if places == 1 else max(1, int(self.UNROLLED / (1 + math.log2(places))))
+
+    def beyond(self, c: Cell, path: Column) -> Out:
+        if self.max_depth is not None or not isinstance(c.dtype, T.VariantType):
+            return gated(c, False, path, f"nested deeper than {self.depth}")
+        found = sites.found_now()
+        if found is not None:
+            found.at(self.make, path, c.value)
+        if self.judged is None:
+            return gated(c, False, path, f"nested deeper than {self.depth}")
+        r = F.element_at(self.judged, sites.key(self.makes.index(self.make), path)) if self.make in self.makes else F.lit(None).cast(f"struct<ok:boolean,errors:{ERRORS}>")
+        return Out(c.value, F.coalesce(r["ok"], F.lit(False)), lambda: F.coalesce(r["errors"], one_error(path, "must be a Hash")), c.dtype, None, c.present, weight=LIGHT)
+
+
+def counted(t: Type) -> int:
+    """At how many places a type holds types that are named before they are made; those in a list are lowered twice."""
+    own = 1 if isinstance(t, Deferred) else sum(map(counted, t.children()))
+    return 2 * own if isinstance(t, (Array, Map)) else own
+
 
 @dataclass(frozen=True)
 class Wrap(Type):
