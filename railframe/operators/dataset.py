@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import nodes as N
-from ..plans import sites
-from ..plans.cells import Cell, Out
+from ..plans.cells import Cell, Out, Stages, stages
 from . import deep
 
 
@@ -33,24 +32,25 @@ def lowered(df: DataFrame, t: object, column: str | None = None) -> Out:
     return prepared(df, t, column).out
 
 
-def prepared(df: DataFrame, t: object, column: str | None = None) -> Lowered:
-    """Types that hold themselves to any depth are judged beforehand, by jobs, where the table is no stream."""
+def prepared(df: DataFrame, t: object, column: str | None = None, binds: bool = False) -> Lowered:
+    """Types that hold themselves to any depth are judged beforehand, by jobs, where the table is no stream. binds: large results
+    stand in projections before; not where a filter follows, which Spark would write them into, as it pushes it down."""
     t = N.wrap(t)
     if isinstance(t, N.Stream):
         t = t.of
     names = df.columns
     if not df.isStreaming and deep.endless(t):
-        df, t = deep.judged(df, t, lambda df, t: of_rows(df, t, column, names))
-    return of_rows(df, t, column, names)
+        df, t = deep.judged(df, t, lambda df, t: of_rows(df, t, column, names, False))
+    return of_rows(df, t, column, names, binds)
 
 
-def of_rows(df: DataFrame, t: N.Type, column: str | None, names: list[str]) -> Lowered:
+def of_rows(df: DataFrame, t: N.Type, column: str | None, names: list[str], binds: bool) -> Lowered:
     cell = Cell(F.struct(*(F.col(f"`{n}`") for n in names)), T.StructType([df.schema[n] for n in names]), row=True) if column is None else Cell(F.col(f"`{column}`"), df.schema[column].dataType)
-    with sites.stages(df.columns) as before:
+    with stages(Stages(df.columns, binds)) as before:
         out = t.lower(cell, F.lit(""))
-    for name, c in before.columns:
-        df = df.withColumn(name, c)
-    return Lowered(df, out, names)
+        if binds:  # what is read stands in the projections
+            _ = out.ok, out.errors, columns(out, column)
+    return Lowered(before.on(df), out, names)
 
 
 def public(value: Column, dtype: T.DataType) -> Column:
@@ -78,7 +78,7 @@ def validate(df: DataFrame, t: object, column: str | None = None, ok: str = "ok"
     """The fields that t makes of each row (or of one column), whether they are valid, and the errors (path, message).
 
     Other columns and fields must not have the names of `ok` and `errors`: name these anew there."""
-    low = prepared(df, t, column)
+    low = prepared(df, t, column, True)
     made = columns(low.out, column)
     clash = {ok, errors} & ({*made} | ({*low.names} - {column} if column is not None else set()))
     if clash:
@@ -107,7 +107,7 @@ def split(df: DataFrame, t: object, column: str | None = None) -> tuple[DataFram
 
 def parse(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
     """All rows, or an error that names the first invalid row's errors."""
-    low = prepared(df, t, column)
+    low = prepared(df, t, column, True)
     guard = lambda c: F.when(low.out.ok, c).otherwise(F.raise_error(F.to_json(low.out.errors)))
     return selected(low, column, {n: guard(c) for n, c in columns(low.out, column).items()})
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import count, groupby
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +140,54 @@ class Out:
         return Cell(self.value, self.dtype, self.present, weight=self.weight, fields=self.fields)
 
 
+class Stages:
+    """Columns that a lowering wants to be projected before its own. Each may read those of lower levels, so a result that is
+    read more than once is made once, in generated code. binds: not for steps in Python only, but for every large result."""
+
+    def __init__(self, taken: list[str], binds: bool):
+        self.taken, self.binds = set(taken), binds
+        self.level, self.columns = 0, []
+
+    def deeper(self) -> int:
+        self.level += 1
+        return self.level
+
+    def put(self, c: Column, level: int) -> Column:
+        name = next(n for n in (f"__step{i}" for i in count(len(self.columns))) if n not in self.taken)
+        self.taken.add(name)
+        self.columns.append((level, name, c))
+        return F.col(name)
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """df with the columns, a projection for each level."""
+        for _, own in groupby(sorted(self.columns, key=lambda x: x[0]), key=lambda x: x[0]):
+            df = df.withColumns({name: c for _, name, c in own})
+        return df
+
+
+#: Those of the lowering now; None inside a lambda, whose elements no projection before can hold.
+_STAGES: list[Stages | None] = []
+
+
+@contextmanager
+def stages(made: Stages | None):
+    _STAGES.append(made)
+    try:
+        yield made
+    finally:
+        _STAGES.pop()
+
+
+def in_lambda():
+    return stages(None)
+
+
+def staged(c: Column) -> Column:
+    """A column of a projection before, where there is one."""
+    now = _STAGES[-1] if _STAGES else None
+    return now.put(c, now.deeper()) if now else c
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value written and computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -148,6 +198,10 @@ def bound(outs: list[Out], then: Callable[..., Out]) -> Out:
 
     So the text of a chain of steps grows with the number of steps, and does not multiply. Steps go into one binding until
     that is large itself."""
+    now = _STAGES[-1] if _STAGES else None
+    if now is not None and now.binds:
+        level = now.deeper()
+        return then(*(before_all(o, now, level) for o in outs))
     if len(outs) == 1 and outs[0].origin is not None and outs[0].origin[2] <= LIGHT:
         (outs, before, _), last = outs[0].origin, then
         then = lambda *parts: last(before(*parts))
@@ -155,7 +209,8 @@ def bound(outs: list[Out], then: Callable[..., Out]) -> Out:
 
     def inside(s: Column, with_errors: bool) -> Out:
         parts = [(s[n], o) for n, o in zip(names, outs)]
-        return then(*(Out(p["v"], F.lit(True) if o.known else p["ok"], p["e"] if with_errors else no_errors, o.dtype, o.known, o.present, weight=1) for p, o in parts))
+        with in_lambda():
+            return then(*(Out(p["v"], F.lit(True) if o.known else p["ok"], p["e"] if with_errors else no_errors, o.dtype, o.known, o.present, weight=1) for p, o in parts))
 
     r = inside(F.lit(None), False)  # for its type only
     carried = isinstance(r.present, Column) and not any(r.present is o.present for o in outs)
@@ -176,6 +231,12 @@ def bound(outs: list[Out], then: Callable[..., Out]) -> Out:
     return made
 
 
+def before_all(o: Out, now: Stages, level: int) -> Out:
+    """o in columns of a projection before; each is there if it is read."""
+    present = now.put(o.present, level) if isinstance(o.present, Column) else o.present
+    return Out(lambda: now.put(o.value, level), F.lit(True) if o.known else lambda: now.put(o.ok, level), lambda: now.put(o.errors, level), o.dtype, o.known, present, weight=1)
+
+
 def step(o: Out, then: Callable[[Out], Out], plain: bool = True) -> Out:
     """then(o), bound first where o is large. Not plain: a function that must not stand in a lambda, such as Python's."""
     return bound([o], then) if o.weight > LIGHT and plain else then(o)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import scalars
 from . import matchers as M
 from . import sites
-from .cells import ERRORS, LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, let, no_errors, one_error, step
+from .cells import ERRORS, LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, in_lambda, let, no_errors, one_error, step
 
 
 class TypeMismatch(TypeError):
@@ -885,12 +885,17 @@ class Record(Type):
         valued = c.dtype.valueType if isinstance(c.dtype, T.MapType) else VARIANT
         if sites.found_now() and any(holds_itself(t) for _, t in rules) or not all(in_columns(t) for _, t in rules):
             return {"_": self._tail_by_place(tail, valued, rules, path)}
-        types = [t.lower(Cell(F.lit(None).cast(valued), valued), path) for _, t in rules]
+        with in_lambda():
+            types = [t.lower(Cell(F.lit(None).cast(valued), valued), path) for _, t in rules]
         dtype = types[0].dtype
         for o in types[1:]:
             dtype = common(dtype, o.dtype)
 
         def chosen(k: Column, v: Column, take: Callable[[Out], Column], nothing: Column) -> Column:
+            with in_lambda():
+                return chosen_of(k, v, take, nothing)
+
+        def chosen_of(k: Column, v: Column, take: Callable[[Out], Column], nothing: Column) -> Column:
             column = nothing
             for key, t in reversed(rules):
                 applies = key.lower(Cell(k, T.StringType()), path)
@@ -910,7 +915,8 @@ class Record(Type):
 
         def entry(e: Column, i: Column) -> Out:
             where = F.concat(path, F.when(path == "", F.lit("")).otherwise(F.lit(".")), e["key"])
-            cases = [(k.lower(Cell(e["key"], T.StringType()), path).ok, t.lower(Cell(e["value"], valued), where)) for k, t in rules]
+            with in_lambda():
+                cases = [(k.lower(Cell(e["key"], T.StringType()), path).ok, t.lower(Cell(e["value"], valued), where)) for k, t in rules]
             dtype = cases[0][1].dtype
             for _, o in cases[1:]:
                 dtype = common(dtype, o.dtype)
@@ -1097,7 +1103,8 @@ class Array(Type):
         return Stream(self.of)
 
     def _element(self, x: Column, dtype: T.DataType, path: Column) -> Out:
-        return self.of.lower(Cell(x, dtype), path)
+        with in_lambda():
+            return self.of.lower(Cell(x, dtype), path)
 
     def lower(self, c, path):
         a, g = elements(c)
@@ -1207,7 +1214,8 @@ class Map(Type):
 
     def _entry(self, e: Column, d: T.MapType, path: Column) -> tuple[Out, Out]:
         where = F.concat(path, F.lit("["), e["key"].cast("string"), F.lit("]"))
-        return self.keys.lower(Cell(e["key"], d.keyType), where), self.values.lower(Cell(e["value"], d.valueType), where)
+        with in_lambda():
+            return self.keys.lower(Cell(e["key"], d.keyType), where), self.values.lower(Cell(e["value"], d.valueType), where)
 
     def _whole(self, e: Column, d: T.MapType, path: Column) -> Out:
         """An entry, struct<key, value>, of the lowered key and value."""

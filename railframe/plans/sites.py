@@ -10,48 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
-from itertools import count
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .cells import Out, let
+from .cells import Out, let, staged
 
 Element = Callable[[Column, Column], Out]
 
 
-class Stages:
-    """Columns that a lowering wants to be projected before its own, each of which may read those before it: a result of
-    Python that is read more than once is then made once."""
-
-    def __init__(self, taken: list[str]):
-        self.taken = set(taken)
-        self.columns: list[tuple[str, Column]] = []
-
-    def put(self, c: Column) -> Column:
-        name = next(n for n in (f"__step{i}" for i in count(len(self.columns))) if n not in self.taken)
-        self.taken.add(name)
-        self.columns.append((name, c))
-        return F.col(name)
-
-
-_STAGES: list[Stages] = []
-
-
-@contextmanager
-def stages(taken: list[str]):
-    _STAGES.append(Stages(taken))
-    try:
-        yield _STAGES[-1]
-    finally:
-        _STAGES.pop()
-
-
-def staged(c: Column) -> Column:
-    return _STAGES[-1].put(c) if _STAGES else c
-
-
 class Lift:
     """One lowering of the type of an array's elements. results: what the places so far made of this element."""
 
