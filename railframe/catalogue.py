@@ -592,3 +592,22 @@ def recursive_deep(spark, sf):
     judged = t.validate(readers.from_json(df, "list"), t.defer(endless_list, None), "list")
     at = F.filter("errors", lambda e: e["message"] == "Must be a Integer")
     return judged.select("o_orderkey", "depth", "ok", F.get(at, F.lit(0))["path"].alias("path"))
+
+
+@query("""
+    SELECT o_orderkey, o_orderstatus,
+           CASE WHEN o_orderstatus = 'F' THEN '{"at":"' || strftime(o_orderdate::DATE, '%Y-%m-%d') || '","key":' || o_orderkey || '}'
+                WHEN o_orderstatus = 'O' AND o_orderkey % 4 <> 0 THEN '{"key":' || o_orderkey || ',"lines":["a","b"]}' END AS payload,
+           o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 4 <> 0) AS ok,
+           CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 0 THEN 'key: Must be a Integer' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'o_orderstatus: orders: nothing is registered under ' || o_orderstatus END AS said
+    FROM orders
+""")
+def registry_dispatch(spark, sf):
+    """Payloads of two kinds of messages in one table, each decoded by the entry that its row names."""
+    orders = t.Codec(t.JSON, "orders").register("F", t.Hash(key=t.Integer, at=t.Date)).register("O", t.Hash(key=t.Integer, lines=t.Array[t.String])).freeze()
+    key = F.col("o_orderkey").cast("string")
+    number = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('"'), key, F.lit('"'))).otherwise(key)
+    payload = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('{"at": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('", "more": 1, "key": '), key, F.lit("}"))).otherwise(F.concat(F.lit('{"lines": ["a", "b"], "key": '), number, F.lit("}")))
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", payload.alias("payload"))
+    first = F.get("errors", F.lit(0))
+    return orders.decoded_by("o_orderstatus").apply(df).select("o_orderkey", "o_orderstatus", "payload", "ok", F.concat(first["path"], F.lit(": "), first["message"]).alias("said"))

@@ -9,19 +9,28 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars
 from ..plans import matchers as M
 from ..plans import nodes as N
 from ..plans import relation as R
+from ..plans.cells import VARIANT, Cell, as_variant, one_error
 
 
 class NoEncoder(N.TypeMismatch):
     """A part of a type that a codec has no encoder for; the message has its path."""
 
 
+class NoEntry(KeyError):
+    """A key that nothing is registered under."""
+
+    def __str__(self) -> str:
+        return str(self.args[0])
+
+
 class Encoder:
     """Wire type and value type with functions of Columns between them; what cannot be converted gives null and is invalid."""
 
@@ -93,6 +102,8 @@ class Codec:
         return self
 
     def noop(self, *types: Any) -> Codec:
+        if self.frozen:
+            raise RuntimeError("the codec is frozen")
         self.noops += [N.wrap(t) for t in types]
         return self
 
@@ -117,9 +128,13 @@ class Codec:
     def for_(self, t: Any) -> tuple[N.Type, N.Type]:
         return self.decoder(t), self.encoder_of(t)
 
-    def register(self, key: str, t: Any) -> Codec:
+    # --- registry -----------------------------------------------------------------------------
+    def register(self, key: str, t: Any = None) -> Codec:
+        """Types under keys, such as the names of messages; a type alone is its own key, by its name."""
         if self.frozen:
             raise RuntimeError("the codec is frozen")
+        if t is None:
+            key, t = getattr(key, "__name__", repr(key)), key
         self.registry[key] = self.for_(t)
         return self
 
@@ -127,10 +142,22 @@ class Codec:
         return key in self.registry
 
     def decode(self, key: str) -> N.Type:
-        return self.registry[key][0]
+        return self._entry(key)[0]
 
     def encode(self, key: str) -> N.Type:
-        return self.registry[key][1]
+        return self._entry(key)[1]
+
+    def _entry(self, key: str) -> tuple[N.Type, N.Type]:
+        if key not in self.registry:
+            raise NoEntry(f"{self.name}: nothing is registered under {key!r}, but {sorted(self.registry)}")
+        return self.registry[key]
+
+    def decoded_by(self, key: str) -> Dispatch:
+        """For records with fields of the key and the payload: each payload decoded by its own row's entry."""
+        return Dispatch(self, key, True)
+
+    def encoded_by(self, key: str) -> Dispatch:
+        return Dispatch(self, key, False)
 
     # --- rewriting ----------------------------------------------------------------------------
     def best(self, t: N.Type, path: str) -> Encoder | None:
@@ -207,6 +234,39 @@ class Codec:
         return N.Seq(ends, t) if decode else ends
 
 
+class Dispatch:
+    """A registry as a step over a table: the key column of each row says by which entry its payload goes.
+
+    All entries' types are lowered once, and one CASE over the key chooses; so no row is shuffled or collected, and entries
+    may take and give values of any types: results are VARIANT (JSON text in what comes out). A key without an entry is an
+    error of its row, and so is a null one."""
+
+    def __init__(self, codec: Codec, key: str, decode: bool):
+        self.codec, self.key, self.decode = codec, key, decode
+
+    def apply(self, df: DataFrame, payload: str = "payload", ok: str = "ok", errors: str = "errors") -> DataFrame:
+        """df with the payloads that its rows' entries make, whether they are valid, and the errors. The payload column is VARIANT,
+        JSON text, or of a type that all entries take."""
+        clash = {ok, errors} & set(df.columns)
+        if clash:
+            raise ValueError(f"columns {sorted(clash)} are there already: give other names for ok and errors")
+        column, dtype = F.col(f"`{payload}`"), df.schema[payload].dataType
+        if isinstance(dtype, T.StringType):
+            column, dtype = F.try_parse_json(column), VARIANT
+        key = F.col(f"`{self.key}`").cast("string")
+        missed = F.concat(F.lit(f"{self.codec.name}: nothing is registered under "), F.coalesce(key, F.lit("null")))
+        value, good, said = F.lit(None).cast("variant"), F.lit(False), one_error(F.lit(self.key), missed)
+        for name, (decoder, encoder) in reversed(self.codec.registry.items()):
+            o = (decoder if self.decode else encoder).lower(Cell(column, dtype), F.lit(""))
+            here = key == name
+            value = F.when(here, F.when(o.ok, as_variant(o.value, o.dtype))).otherwise(value)
+            good = F.when(here, o.ok).otherwise(good)
+            said = F.when(here, o.errors).otherwise(said)
+        kept = [c for c in df.columns if c != payload]
+        made = df.select(*(F.col(f"`{c}`") for c in kept), value.alias("__value"), good.alias("__ok"), said.alias("__errors"))
+        return made.select(*(F.col(f"`{c}`") for c in kept), F.to_json("__value").alias("__value"), "__ok", "__errors").toDF(*kept, payload, ok, errors)
+
+
 #: JSON: what it has passes; dates, times, decimals and symbols are text.
 JSON = Codec(name="json").noop(N.Choice(N.Gate("nil"), N.Choice(N.Gate("string"), N.Choice(N.Gate("numeric"), N.Gate("boolean")))), N.Gate("hash"), N.Gate("array"))
 for _e in (SYMBOL, DECIMAL, DATE, TIME):
@@ -216,3 +276,7 @@ for _e in (SYMBOL, DECIMAL, DATE, TIME):
 FORMS = Codec(name="forms").noop(N.Gate("string"))
 for _e in (SYMBOL, NUMERIC, DECIMAL, FLOAT, INTEGER, BOOLEAN, NIL, DATE, TIME):
     FORMS.encoder(_e)
+
+# Both are shared: own encoders go to a Codec that has one of them as its parent.
+JSON.freeze()
+FORMS.freeze()

@@ -8,7 +8,7 @@ from typing import Any
 
 from ..functions.udf import python_step
 from ..plans import nodes as N
-from ..plans.export import data_type
+from ..plans.export import JSON, data_type
 
 
 class Pipeline(N.Type):
@@ -120,3 +120,13 @@ class Step(N.Type):
 
     def lower(self, c, path):
         return self.as_convert().lower(c, path)
+
+
+@JSON.on(Pipeline)
+def _pipeline_schema(t, defs):
+    return JSON.visit(t.inner, defs)
+
+
+@JSON.on(Step)
+def _step_schema(t, defs):
+    return JSON.visit(t.as_convert(), defs)

@@ -118,8 +118,53 @@ def json_schema(t: N.Type, root: bool = False) -> dict:
     return head | out | ({"$defs": {name: body for name, body in defs.values()}} if defs else {})
 
 
+#: Keywords of which the larger or the smaller bound holds where both sides have one.
+LARGER = {"minimum", "exclusiveMinimum", "minLength", "minItems", "minProperties", "formatMinimum"}
+SMALLER = {"maximum", "exclusiveMaximum", "maxLength", "maxItems", "maxProperties", "formatMaximum", "formatExclusiveMaximum"}
+#: Keywords that say something about a value, besides bounds; the others are notes, of which the first side's hold.
+STRICT = {"type", "enum", "const", "pattern", "format", "not", "anyOf", "allOf", "items", "prefixItems", "additionalProperties", "patternProperties", "if", "then", "$ref"}
+
+
 def merged(a: dict, b: dict) -> dict:
-    return b | a
+    """What satisfies both schemas. Bounds are narrowed, properties are merged each; what does not merge goes to allOf."""
+    out, rest = dict(a), []
+    for k, v in b.items():
+        if k not in out or out[k] == v:
+            out[k] = v
+        elif k in LARGER:
+            out[k] = max(out[k], v)
+        elif k in SMALLER:
+            out[k] = min(out[k], v)
+        elif k == "type" and {out[k], v} == {"integer", "number"}:
+            out[k] = "integer"
+        elif k == "enum":
+            out[k] = [x for x in out[k] if x in v]
+        elif k == "required":
+            out[k] = [*out[k], *(x for x in v if x not in out[k])]
+        elif k == "properties":
+            out[k] = out[k] | {n: merged(out[k][n], p) if n in out[k] else p for n, p in v.items()}
+        elif k == "allOf":
+            out[k] = [*out[k], *(x for x in v if x not in out[k])]
+        elif k in STRICT:
+            rest.append({k: v})
+    if rest:
+        out["allOf"] = [*out.get("allOf", []), *(x for x in rest if x not in out.get("allOf", []))]
+    return out
+
+
+def either(parts: list[dict]) -> dict:
+    """What satisfies one of the schemas: what all branches say stands once, before them, if it says of which type the value is."""
+    if len(parts) == 1:
+        return parts[0]
+    same = {k: v for k, v in parts[0].items() if all(k in p and p[k] == v for p in parts[1:])}
+    if "type" not in same:
+        return {"anyOf": parts}
+    rest = [{k: v for k, v in p.items() if k not in same} for p in parts]
+    if {} in rest:  # that branch takes all that the base takes
+        return same
+    if all(set(r) == {"const"} for r in rest):
+        return same | {"enum": [r["const"] for r in rest]}
+    return merged(same, {"anyOf": rest})
 
 
 @JSON.on(N.Type)
@@ -150,7 +195,10 @@ def _static(t, defs):
 
 @JSON.on(N.Refine)
 def _refine(t, defs):
-    return JSON.visit(t.base, defs) | bounds(t.matcher)
+    base, own = JSON.visit(t.base, defs), bounds(t.matcher)
+    if base.get("type") in ("integer", "number") and own.get("type") == "string":  # text that a number is matched as
+        own.pop("type")
+    return merged(base, own)
 
 
 def bounds(m: M.Matcher) -> dict:
@@ -213,10 +261,29 @@ def _choice(t, defs):
     if isinstance(left, N.Seq) and isinstance(left.left, N.Undefined):  # a default
         return JSON.visit(t.right, defs) | ({"default": native(left.right.literal)} if isinstance(left.right, N.Static) else {})
     parts: list = []
-    for b in (t.left, t.right):
+    for b in branches(t):
         own = JSON.visit(b, defs)
         parts += [p for p in (own["anyOf"] if set(own) == {"anyOf"} else [own]) if p not in parts]
-    return parts[0] if len(parts) == 1 else {"anyOf": parts}
+    return either(parts)
+
+
+def branches(t: N.Type) -> list[N.Type]:
+    """The branches of a choice of choices, without defaults, which are choices with notes of their own."""
+    if type(t) is not N.Choice or isinstance(t.left, N.Seq) and isinstance(t.left.left, N.Undefined):
+        return [t]
+    return branches(t.left) + branches(t.right)
+
+
+#: The JSON types of kinds that have one.
+SCALARS = {k: v["type"] for k, v in JSON_KINDS.items() if isinstance(v.get("type"), str)}
+
+
+@JSON.on(N.Capability)
+def _capability(t, defs):
+    """The JSON types whose values answer the methods."""
+    own = list(dict.fromkeys(SCALARS[k] for k in t.kinds() if k in SCALARS))
+    own = [x for x in own if not (x == "integer" and "number" in own)]
+    return {"type": own[0]} if len(own) == 1 else {"type": own} if own else {"not": {}}
 
 
 @JSON.on(N.Convert)
