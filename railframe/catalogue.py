@@ -611,3 +611,19 @@ def registry_dispatch(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", payload.alias("payload"))
     first = F.get("errors", F.lit(0))
     return orders.decoded_by("o_orderstatus").apply(df).select("o_orderkey", "o_orderstatus", "payload", "ok", F.concat(first["path"], F.lit(": "), first["message"]).alias("said"))
+
+
+@query("""
+    WITH e AS (
+        SELECT p_partkey, p_name, regexp_matches(p_name, '^[a-m]|l') AND regexp_matches(p_name, 'a|^[n-z]') AND regexp_matches(p_name, 'e|d$') AND regexp_matches(p_name, 'i|m|b')
+                                  AND regexp_matches(p_name, 'o|n') AND regexp_matches(p_name, 'u|r|t') AND regexp_matches(p_name, ' [a-m]| [n-z].*e') AS ok
+        FROM part)
+    SELECT p_partkey, CASE WHEN ok THEN p_name END AS p_name, ok FROM e
+""")
+def meet_of_unions(spark, sf):
+    """A value that has to pass each of seven unions; they stay unions, one test after another."""
+    either = lambda *sources: t.join(t.String[t.Pattern(sources[0])], t.String[t.Pattern(sources[1])]) if len(sources) == 2 else t.join(either(*sources[:2]), t.String[t.Pattern(sources[2])])
+    kind = either("^[a-m]", "l")
+    for sources in (("a", "^[n-z]"), ("e", "d$"), ("i", "m", "b"), ("o", "n"), ("u", "r", "t"), (" [a-m]", " [n-z].*e")):
+        kind = kind & either(*sources)
+    return t.validate(table(spark, sf, "part").select("p_partkey", "p_name"), t.Hash(p_partkey=t.Integer, p_name=kind)).drop("errors")

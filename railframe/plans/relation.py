@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import matchers as M
 from .nodes import (
     Any,
@@ -97,11 +99,29 @@ def shapes(t: Type, opened: tuple = ()) -> list[tuple[Type, ...]]:
     return [(t,)]
 
 
+#: A meet of unions with more branches than this stays a meet, which lowers to one test after another.
+WIDE = 8
+
+
+def conjuncts(t: Type) -> list[Type]:
+    return [x for c in t.children() for x in conjuncts(c)] if type(t) is Meet else [t]
+
+
+def width(t: Type) -> int:
+    """How many branches shapes would have, types that hold themselves aside."""
+    if isinstance(t, Choice):
+        return sum(map(width, t.children()))
+    if isinstance(t, Meet):
+        return math.prod(map(width, t.children()))
+    return width(t.base) if isinstance(t, Refine) else width(t.inner) if isinstance(t, Wrap) else len(t.variants) if isinstance(t, Tagged) else 1
+
+
 def subtype(a: Type, b: Type, assumed: frozenset = frozenset()) -> bool:
     """Whether every value of a is a value of b, as far as it can be proven.
 
     Both are unions of conjunctions: each branch of a has to lie in one branch of b. Pairs with a type that holds itself
-    are taken as proven while they are looked at.
+    are taken as proven while they are looked at. A meet of so many unions that their product is more than WIDE is not
+    multiplied out: one of its parts has to lie in b.
     """
     if a == b:
         return True
@@ -110,6 +130,10 @@ def subtype(a: Type, b: Type, assumed: frozenset = frozenset()) -> bool:
         if names in assumed:
             return True
         assumed |= {names}
+    if isinstance(b, Meet):
+        return all(subtype(a, c, assumed) for c in conjuncts(b))
+    if isinstance(a, Meet) and width(a) > WIDE:
+        return any(subtype(c, b, assumed) for c in conjuncts(a))
     wider = shapes(b)
     return all(any(all(asked in own or lies_in(own, asked, assumed) for asked in parts) for parts in wider) for own in shapes(a))
 
@@ -355,6 +379,8 @@ def met(a: Type, b: Type) -> Type:
     if isinstance(b, Any):
         return a
     plain = a.preserving and b.preserving and not isinstance(a, Wrap) and not isinstance(b, Wrap)
+    if plain and width(a) > 1 and width(b) > 1 and width(a) * width(b) > WIDE:
+        return narrowed(a, b)
     if plain and subtype(a, b):
         return a
     if plain and subtype(b, a):
@@ -386,6 +412,38 @@ def met(a: Type, b: Type) -> Type:
     return Meet(a, b) if a.preserving and b.preserving else Seq(a, b)
 
 
+def narrowed(a: Type, b: Type) -> Type:
+    """The meet of two filters with many branches, as a meet of unions: parts that others are within are left out, and so are
+    branches that meet no branch of another part."""
+    own = conjuncts(a)
+    for c in conjuncts(b):
+        if any(subtype(o, c) for o in own):
+            continue
+        own = [o for o in own if not subtype(c, o)]
+        c = pruned(c, own)
+        own = [*(pruned(o, [c]) for o in own), c]
+        if any(isinstance(o, Never) for o in own):
+            return Never()
+    left: list[Type] = []
+    for c in own:  # what is left of some may lie within others now
+        if not any(subtype(o, c) for o in left):
+            left = [*(o for o in left if not subtype(c, o)), c]
+    out = left[0]
+    for c in left[1:]:
+        out = met(out, c) if width(out) * width(c) <= WIDE else Meet(out, c)
+    return out
+
+
+def pruned(t: Type, others: list[Type]) -> Type:
+    all_, kept = branches(t), [x for x in branches(t) if not any(all(disjoint(x, y) for y in branches(o)) for o in others)]
+    if len(kept) == len(all_):
+        return t
+    out: Type = kept[0] if kept else Never()
+    for x in kept[1:]:
+        out = Choice(out, x)
+    return out
+
+
 def meet(a: Type, b: Type) -> Type:
     """a & b."""
     if isinstance(a, Record) and isinstance(b, Record):

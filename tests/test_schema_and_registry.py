@@ -1,5 +1,7 @@
 """JSON Schema of meets, unions, pipelines and interfaces; registries by row; sinks that a batch writes twice."""
 
+import time
+
 import pytest
 
 from railframe import types as t
@@ -80,3 +82,18 @@ def test_a_batch_that_runs_again_replaces_its_files(spark, tmp_path):
     for n in ("one", "two"):  # a new checkpoint: the batch is run again
         streams.split_sinks(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), kind, f"{tmp_path}/g", f"{tmp_path}/b", f"{tmp_path}/{n}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/g").count() == 1 and spark.read.json(f"{tmp_path}/b").count() == 1
+
+
+def test_meets_of_unions_build_in_linear_time(spark):
+    unions = [t.String[t.Pattern(f"a{i}")] | t.String[t.Pattern(f"b{i}")] for i in range(12)]
+    began = time.perf_counter()
+    kind = unions[0]
+    for u in unions[1:]:
+        kind = kind & u
+    assert kind <= unions[5] and kind <= t.String and not kind <= t.String[t.Pattern("c")] and not t.String <= kind
+    assert time.perf_counter() - began < 1
+    df = spark.createDataFrame([(" ".join(f"a{i}" for i in range(12)),), (" ".join(f"{'ab'[i % 2]}{i}" for i in range(12)),), (" ".join(f"a{i}" for i in range(11)),), (None,)], "v string")
+    assert [r["ok"] for r in t.validate(df, kind, "v").collect()] == [True, True, False, False]
+    small = (t.Value["a"] | t.Value["b"] | t.Value["c"]) & (t.Value["b"] | t.Value["c"] | t.Value["d"])
+    assert small == t.Value["b"] | t.Value["c"]
+    assert (t.Value["a"] | t.Value["b"] | t.Integer) & (t.Value["x"] | t.Value["y"] | t.Date) == t.Nothing
