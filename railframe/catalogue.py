@@ -627,3 +627,32 @@ def meet_of_unions(spark, sf):
     for sources in (("a", "^[n-z]"), ("e", "d$"), ("i", "m", "b"), ("o", "n"), ("u", "r", "t"), (" [a-m]", " [n-z].*e")):
         kind = kind & either(*sources)
     return t.validate(table(spark, sf, "part").select("p_partkey", "p_name"), t.Hash(p_partkey=t.Integer, p_name=kind)).drop("errors")
+
+
+class Shipment(t.Struct):
+    o_orderkey = t.attribute(t.Integer)
+
+    class customer(t.Struct):
+        key = t.attribute(t.Lax.Integer)
+        tier = t.attribute(t.String["1-URGENT", "2-HIGH", "3-MEDIUM"])
+
+    @t.many
+    class legs(t.Struct):
+        port = t.attribute(t.String)
+        days = t.attribute(t.Integer[t.between(0, 5)])
+
+
+@query("""
+    SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS customer_key, substr(o_orderpriority, 1, 1) < '4' AND o_orderkey % 8 <= 5 AS ok, substr(o_orderpriority, 1, 1) < '4' AS customer_ok,
+           o_orderkey % 8 <= 5 AS leg_ok, CASE WHEN o_orderkey % 8 > 5 THEN 'days' END AS leg_path
+    FROM orders
+""")
+def nested_structs(spark, sf):
+    """A struct in a struct and an array of structs, each with validity and errors of its own."""
+    key = F.col("o_orderkey")
+    leg = lambda port, days: F.struct(F.lit(port).alias("port"), days.alias("days"))
+    priority = F.when(F.col("o_orderpriority").startswith("3"), F.lit("3-MEDIUM")).otherwise(F.col("o_orderpriority"))
+    df = table(spark, sf, "orders").select("o_orderkey", F.struct(F.format_number("o_custkey", 0).alias("key"), priority.alias("tier")).alias("customer"), F.array(leg("a", key % 3), leg("b", key % 8)).alias("legs"))
+    made = Shipment.new(df)
+    inside = Shipment.errors("legs[1]")
+    return made.select("o_orderkey", F.col("customer.key").alias("customer_key"), "ok", Shipment.valid("customer").alias("customer_ok"), Shipment.valid("legs[1]").alias("leg_ok"), F.get(inside, F.lit(0))["path"].alias("leg_path"))
