@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any as Obj
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -718,7 +718,7 @@ class Convert(Type):
         if self.fn is None:
             raw, made = scalars.COERCIONS[self.name][0](i.value, i.dtype), scalars.COERCIONS[self.name][1] or i.dtype
         else:
-            raw, made = self.fn(i.value), dtype if not isinstance(dtype, T.NullType) else i.dtype
+            raw, made = self.fn(i.value), inferred(self.fn, i.dtype) if isinstance(self.out, Any) else dtype if not isinstance(dtype, T.NullType) else i.dtype
         raw = raw if i.known else F.when(i.ok, raw)
         mapped = Out(raw, i.ok, lambda: i.errors, made, i.known, weight=2 * i.weight)
         return mapped if self.guaranteed and isinstance(self.out, Any) else after(mapped, Gate_of(self.out, made) if self.guaranteed else self.out, path)
@@ -731,6 +731,14 @@ class Convert(Type):
         return mapped if isinstance(self.out, Any) else after(mapped, self.out, path)
 
 
+def inferred(fn: Callable[[Column], Column], dtype: T.DataType) -> T.DataType:
+    """The type of what a function of Columns makes of a column, of which nothing is declared: Spark says it, without a job."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return dtype
+    return spark.createDataFrame([], T.StructType([T.StructField("v", dtype)])).select(fn(F.col("v"))).schema[0].dataType
+
+
 def Gate_of(out: Type, made: T.DataType) -> Type:
     """What remains to check of a guaranteed result: that there is one, as try_ functions give null for what they cannot convert."""
     return Gate(family(made)) if family(made) else out

@@ -328,6 +328,8 @@ def sequence(a: Type, b: Type) -> Type:
         return Stream(sequence(a.of, b.of), a.only_valid or b.only_valid)
     if a.preserving and b.preserving and not isinstance(a, Wrap) and not isinstance(b, Wrap):
         return met(a, b)
+    if type(b) is Convert and b.inp.preserving and not isinstance(b.inp, (Any, Wrap)) and subtype(produced(a), b.inp):
+        return Convert(a, b.out, b.fn, b.name, b.guaranteed)  # what a makes is what b takes: one check between them, not two
     if isinstance(b, Refine) and not isinstance(b, Check):
         base, tests = chain(b)
         if subtype(produced(a), base):
