@@ -62,6 +62,33 @@ def salted(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> Da
     return spread.join(copies, [key, "__salt"], how).drop("__salt")
 
 
+#: Rows of small that a broadcast may hold; rows of a key that one task takes; keys that may be split.
+BROADCAST_ROWS, HOT_ROWS, HOT_KEYS = 500_000, 200_000, 5_000
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str, counts: DataFrame, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """big joined with small (inner or left), where a key may hold any share of big's rows.
+
+    counts: key and n, at least as many as big has rows of the key; a saved table. Keys with more than `rows` (HOT_ROWS) are dealt to as many
+    tasks as they fill, by a hash of the row, so that a lost task is dealt alike again; only their rows of small are copied,
+    at most once for each `rows` rows of big. The limit grows with big, so that never more than HOT_KEYS keys are split and broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS if rows is None else rows, math.ceil(total / HOT_KEYS))
+    hot = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    hot = F.broadcast(hot)
+    parts = F.coalesce("__parts", F.lit(1))
+    spread = big.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*big.columns), parts).cast("int")).drop("__parts")
+    copies = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return spread.join(copies, [key, "__salt"], how).drop("__salt")
+
+
+def keyed_join(big: DataFrame, small: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """split_join, or a broadcast of a small that has at most BROADCAST_ROWS rows; for small of a few numbers a row, saved."""
+    return big.join(F.broadcast(small), key, how) if small.count() <= BROADCAST_ROWS else split_join(big, small, key, counts, how)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, mix, out_batch, prepare, salted, saved, shingles
+from .common import arrow_schema, keyed_join, mix, out_batch, partitions, prepare, saved, shingles, split_join
 
 #: 24 bands of 5 rows miss a pair of similarity 0.85 with probability 8e-7, one of 0.8 with 6e-5.
 BANDS, ROWS = 24, 5
@@ -32,6 +32,8 @@ BINS, BITS = 1024, 2048
 SMALL, BLOCK = 32, 512
 #: Ids that a broadcast may hold; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
+#: Pairs with one text that a task compares, and rows of ids in a file of a round.
+PAIRS_OF_TEXT, ROUND_ROWS = 2_000, 100_000
 
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -99,16 +101,25 @@ def differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
 
 
-def sifted(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) whose set sizes and odd sketches allow the similarity."""
+def company(pairs: DataFrame, side: str) -> DataFrame:
+    """How many pairs each document of one side is in."""
+    return saved(pairs.groupBy(side).agg(F.count("*").alias("n")), "company")
+
+
+def sifted(pairs: DataFrame, reps: DataFrame, percent: int, of: dict[str, DataFrame]) -> DataFrame:
+    """Pairs (x, y) whose set sizes and odd sketches allow the similarity. of: how many pairs each y, and x too, is in, where
+    that is unbounded."""
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    both = pairs
+    for c in ("x", "y"):
+        both = split_join(both, side(c), c, of[c]) if c in of else both.join(side(c), c)
     sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     return both.where(sizes & (differing("ox", "oy") <= most_differing(F.col("nx") + F.col("ny"), percent, F))).select("x", "y")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) whose whole shingle sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, of: dict[str, DataFrame]) -> DataFrame:
+    """Pairs (x, y) whose whole shingle sets have 100 * intersection >= percent * union. A text with more than PAIRS_OF_TEXT pairs
+    is copied to as many tasks as they fill. of: as for `sifted`."""
     ddl = "x long, y long"
     out = arrow_schema(ddl)
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
@@ -127,28 +138,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield out_batch(out, list(zip(*found)) or [[], []])
 
     # x first: the hub's text, y, joins last and is not shuffled once for each pair.
-    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(run, ddl)
+    both = pairs
+    for c in ("x", "y"):
+        both = split_join(both, side(c), c, of[c], rows=PAIRS_OF_TEXT) if c in of else both.join(side(c), c)
+    return both.select("x", "y", "tx", "ty").mapInArrow(run, ddl)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every id of the edges (x, y), by alternating large and small stars.
 
-    Each round groups with partial minima and joins them back; the number of rounds grows with the logarithm of the
-    longest path. Rounds are written to the scratch folder."""
-    state = None
+    Each round takes each id's least neighbour, by partial minima, and joins it back; the number of rounds grows with the
+    logarithm of the longest path. Rounds are written to the scratch folder, in as many files as they have rows for. An
+    id with many neighbours is dealt to several tasks where its minimum is no broadcast."""
+    most = partitions(edges.sparkSession)
+
+    def measured(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("x", "y").cast("decimal(20,0)")), F.lit(0))).first())
+
+    def least(df: DataFrame) -> DataFrame:
+        return saved(df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).coalesce(files), "least")
+
     e = saved(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
-    while True:
+    now, state = measured(e), None
+    while state != now:
+        state, files = now, max(1, min(most, 8 + now[0] // ROUND_ROWS))
         both = e.union(e.select("y", "x")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "stars")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted(large, low, "u")
-        e = saved(small.select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").union(low.select("u", "m")).distinct(), "edges")
-        now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("x", "y").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
-        if state == now:
-            break
-        state = now
+        low = least(both)
+        large = keyed_join(both, low.select("u", F.least("u", "m").alias("m")), "u", low.select("u", "n"))
+        large = saved(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "stars")
+        low = least(large)
+        small = keyed_join(large, low.select("u", "m"), "u", low.select("u", "n"))
+        e = small.select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").union(low.select("u", "m"))
+        e = saved(e.distinct().coalesce(files), "edges")
+        now = measured(e)
     return e.select(F.col("x").alias("id"), F.col("y").alias("component")).union(e.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct())
 
 
@@ -162,7 +184,8 @@ def blockwise(members: DataFrame, reps: DataFrame, percent: int, most: int | Non
     out = arrow_schema(ddl)
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("odd_ones"))
-    rows = members.join(main, "band").join(reps.select("rep", "n", "odd", "bands"), "rep")
+    main = saved(main, "main")
+    rows = keyed_join(members, main, "band", main.select("band", F.col("all").alias("n"))).join(reps.select("rep", "n", "odd", "bands"), "rep")
     x_blocks, y_blocks = (F.ceil(F.col(c) / n).cast("int") for c, n in (("odd_ones", BLOCK), ("all", BLOCK)))
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     cols = ["band", "xb", "yb", "rep", "component", "n", "odd", "bands"]
@@ -211,30 +234,37 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = saved(signatures(docs), "signatures")
     full = sig.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = saved(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
+    reps = saved(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
     flat = reps.select(F.explode("bands").alias("band"), "rep").distinct()
-    shared = flat.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = saved(salted(flat, shared, "band"), "members")
-    company = members.groupBy("rep").agg(F.sum("size").alias("company"))
-    hubs = members.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("y"))
-    pairs = saved(salted(members, hubs, "band").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "pairs")
+    shared = saved(flat.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    sizes = shared.select("band", F.col("size").alias("n"))
+    members = saved(keyed_join(flat, shared, "band", sizes), "members")
+    met = members.groupBy("rep").agg(F.sum("size").alias("company"))
+    hubs = saved(members.join(met, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("y")), "hubs")
+    pairs = saved(keyed_join(members, hubs, "band", sizes).where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "pairs")
 
     ids = saved(members.select("rep").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = saved(docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi"), "texts")
     sketches = reps.select("rep", "n", "odd", "bands")
 
-    links = [saved(confirmed(sifted(pairs, sketches, percent), texts, percent), "links")]
+    def linked(candidates: DataFrame, *sides: str) -> DataFrame:
+        of = {side: company(candidates, side) for side in sides}
+        return saved(confirmed(sifted(candidates, sketches, percent, of), texts, percent, of), "links")
+
+    link = linked(pairs, "y")  # x has at most BANDS hubs
     tried = [pairs]
     # An id with several texts joins the classes of all of them.
     several = full.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id")
-    own = saved(full.join(several, "doc_id", "left_semi").join(reps.select("key", "rep"), "key").select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).where("x <> y").distinct(), "same")
-    found = components(reduce(DataFrame.union, [*links, own]))
+    keyed = full.join(several, "doc_id", "left_semi").select("doc_id", "key")
+    copies = reps.select("key", F.col("copies").alias("n"))
+    own = split_join(keyed, reps.select("key", "rep"), "key", copies).select(F.col("doc_id").alias("x"), F.col("rep").alias("y")).where("x <> y")
+    found = components(link.union(own))
     rest = members.select("band", "rep", "size")
     for most in (1, 8, None):
         labelled = saved(rest.join(found, rest["rep"] == found["id"], "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("component")), "labelled")
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        open_ones = saved(labelled.join(mixed, "band", "left_semi"), "open")
+        mixed = saved(labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "mixed")
+        open_ones = saved(keyed_join(labelled, mixed, "band", sizes), "open")
         if open_ones.isEmpty():
             break
         large = open_ones.where(f"size > {SMALL}")
@@ -247,18 +277,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             more.append(blockwise(large.select("band", "rep", "component"), sketches, percent, most))
         if not more:
             break
-        new = sifted(reduce(DataFrame.union, more).distinct(), sketches, percent)
         before = reduce(DataFrame.union, [t.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")) for t in tried])
-        new = saved(new.join(before, ["x", "y"], "left_anti"), "new")
+        new = saved(reduce(DataFrame.union, more).distinct().join(before, ["x", "y"], "left_anti"), "new")
         tried.append(new)
-        links.append(saved(confirmed(new, texts, percent), "links"))
-        if links[-1].isEmpty():
+        link = linked(new, "x", "y")
+        if link.isEmpty():
             if large.isEmpty():
                 break
             continue
-        found = components(reduce(DataFrame.union, [*links, own]))
-    merged = sig.select("doc_id", "n_shingles", "key").join(reps.select("key", "rep"), "key", "left").join(found, F.col("rep") == found["id"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+        found = components(found.select(F.col("id").alias("x"), F.col("component").alias("y")).union(link))
+    # Classes first: they are unique, where the documents of one class may be a third of all.
+    classes = reps.select("key", "rep").join(found, F.col("rep") == found["id"], "left")
+    classes = saved(classes.select("key", F.coalesce("component", "rep").alias("class")), "labels")
+    merged = keyed_join(full.select("doc_id", "n_shingles", "key"), classes, "key", copies).select("doc_id", "n_shingles", "class")
+    merged = merged.union(sig.where("key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     return merged.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 

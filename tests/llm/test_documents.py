@@ -10,9 +10,10 @@ from array import array
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from railframe.llm import encoding, fingerprints, idfiles, neardup, packing, pieces, quality
+from railframe.llm import common, encoding, fingerprints, idfiles, neardup, packing, pieces, quality
 from railframe.llm.queries import PIECE_MODEL, QUERIES, TOKENIZER, table
 
 SF = "/root/testdata/sf0.001"
@@ -286,6 +287,38 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert want != linked(rows, 85)
 
 
+def test_near_duplicates_where_keys_are_split_and_nothing_is_broadcast(spark, monkeypatch):
+    """A third of all rows are copies of one text, another third near copies of another: the same result, keys dealt to several tasks."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    near = []
+    for _ in range(60):
+        own = list(base)
+        own[rng.randrange(120)] = word()
+        near.append(" ".join(own))
+    texts = ["one text that many documents repeat word by word"] * 60 + near + [" ".join(word() for _ in range(30)) for _ in range(60)] + ["", None]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = sorted(map(tuple, neardup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    monkeypatch.setattr(neardup, "PAIRS_OF_TEXT", 5)
+    assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == plain
+    assert sum(r[3] for r in plain) == 1 + 1 + 60 + 2
+
+
+def test_split_joins_deal_only_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    big = spark.range(100).selectExpr("CASE WHEN id < 60 THEN 1 WHEN id < 95 THEN id END AS k", "id AS v")
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (70, "c"), (200, "d")], "k long, w string")
+    counts = big.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = common.split_join(big, small, "k", counts, how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "k", how).collect()))
+    assert common.split_join(big.limit(0), small, "k", counts.limit(0)).count() == 0
+
+
 def test_near_duplicates_are_of_four_fifths_if_nothing_else_is_said(spark):
     words_of = lambda n: " ".join(f"w{i}" for i in range(n))
     docs = spark.createDataFrame([(1, words_of(104)), (2, words_of(84)), (3, words_of(67))], "doc_id long, text string")  # sets of 100, 80, 63
