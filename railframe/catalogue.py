@@ -247,6 +247,28 @@ def uri_http(spark, sf):
     return t.filtered(df, t.Hash(page_id=t.Integer, url=t.HTTPURI, host=t.HTTPURI.invoke("extract", r"^https?://([^/?#]+)", 1)))
 
 
+@query(r"""
+    SELECT page_id, regexp_extract(url, '^([^:/?#]+):', 1) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#:@]*)', 1) AS host,
+           CAST(page_id % 7 + 8000 AS BIGINT) AS port, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, 'id=' || page_id AS query
+    FROM pages WHERE regexp_matches(url, '^https?://[^\s/?#:@]+(/[^\s?#]*)?$')
+""")
+def uri_parts(spark, sf):
+    """URLs, given a port and a query, as values of their parts; what is no such URI is invalid and gone."""
+    url = F.col("url")
+    made = F.when(url.rlike(r"^https?://[^\s/?#:@]+(/[^\s?#]*)?$"), F.regexp_replace(url, "^([^:]+://[^/]+)(.*)$", F.concat(F.lit("$1:"), (F.col("page_id") % 7 + 8000).cast("string"), F.lit("$2?id="), F.col("page_id").cast("string"))))
+    df = table(spark, sf, "pages").select("page_id", made.alias("url"))
+    return t.filtered(df, t.JSON >> t.Hash(page_id=t.Integer, url=t.HTTPParts)).select("page_id", *(f"url.{c}" for c in ("scheme", "host", "port", "path", "query")))
+
+
+@query("SELECT page_id, 'https://' || lower(url) || '.example:8443/p?q=' || page_id || '#top' AS url FROM (SELECT page_id, regexp_extract(url, '^https?://([A-Za-z0-9-]+)', 1) AS url FROM pages) WHERE url <> ''")
+def uri_text(spark, sf):
+    """Values of URI parts, written as text; a host that is none (here an empty one's slash) would be read otherwise and is invalid."""
+    host = F.regexp_extract("url", "^https?://([A-Za-z0-9-]+)", 1)
+    parts = {"scheme": F.lit("https"), "user": F.lit(None).cast("string"), "host": F.when(host == "", F.lit("a/b")).otherwise(F.concat(F.lower(host), F.lit(".example"))), "port": F.lit(8443).cast("bigint"), "path": F.lit("/p"), "query": F.concat(F.lit("q="), F.col("page_id").cast("string")), "fragment": F.lit("top")}
+    df = table(spark, sf, "pages").select("page_id", F.struct(*(c.alias(k) for k, c in parts.items())).alias("url"))
+    return t.filtered(df, t.JSON.encoder_of(t.Hash(page_id=t.Integer, url=t.URIParts)))
+
+
 @query("""
     SELECT c_custkey, c_custkey % 3 <> 0 AS email_ok, c_custkey % 4 <> 0 AS uuid_ok FROM customer
 """)

@@ -7,6 +7,7 @@ decoder (wire -> values) or an encoder (values -> wire), and nothing of it is le
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,55 @@ BOOLEAN = Encoder(TEXT[M.Pattern(BOOLEAN_FORM)], N.Gate("boolean"), lambda c: F.
 NIL = Encoder(TEXT[M.OneOf(("",))], N.Gate("nil"), lambda c: F.lit(None), lambda c: F.lit(""), "nil")
 
 
+# --- URIs -------------------------------------------------------------------------------------
+
+# Fixed patterns: a scheme and no white space; scheme, authority, path, query and fragment with their marks; an authority's parts.
+URI_FORM = r"\A[A-Za-z][A-Za-z0-9+.-]*:\S+\z"
+URI_PARTS = r"\A([^:/?#]+):(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?\z"
+AUTHORITY = r"\A(.*@)?(\[[^\]]*\]|[^:@\[\]]*)(:[0-9]*)?\z"
+
+
+def uri_parts(c: Column) -> Column:
+    """A URI's text as a struct. Absent parts are null, empty ones empty (but for an empty port, which is none); the path is
+    always there. An authority without the form of one, or a port beyond 65535, makes no URI: null."""
+    part = lambda n: F.regexp_extract(c, URI_PARTS, n)
+    given = lambda text, from_, less=0: F.when(text != "", F.substring(text, F.lit(from_), F.length(text) - less))
+    authority = given(part(2), 3)
+    of = lambda n: F.regexp_extract(authority, AUTHORITY, n)
+    port = F.substring(of(3), 2, 20).try_cast("bigint")
+    made = F.struct(
+        part(1).alias("scheme"),
+        F.when(of(1) != "", F.substring(of(1), F.lit(1), F.length(of(1)) - 1)).alias("user"),
+        of(2).alias("host"),
+        port.alias("port"),
+        part(3).alias("path"),
+        given(part(4), 2).alias("query"),
+        given(part(5), 2).alias("fragment"),
+    )
+    return F.when(c.rlike(URI_FORM) & (authority.isNull() | (authority.rlike(AUTHORITY) & ((F.length(of(3)) < 2) | F.coalesce(port <= 65535, F.lit(False))))), made)
+
+
+def uri_text(c: Column) -> Column:
+    """The text of a URI's parts; null where that text would be read as other parts."""
+    some = lambda before, name, after="": F.coalesce(F.concat(F.lit(before), c[name].cast("string"), F.lit(after)), F.lit(""))
+    authority = F.coalesce(F.concat(F.lit("//"), some("", "user", "@"), c["host"], some(":", "port")), F.lit(""))
+    text = F.concat(c["scheme"], F.lit(":"), authority, c["path"], some("?", "query"), some("#", "fragment"))
+    back = uri_parts(text)
+    same = [back[n].eqNullSafe(c[n]) for n in ("scheme", "user", "host", "port", "path", "query", "fragment")]
+    return F.when(reduce(Column.__and__, same), text)
+
+
+def uri_record(scheme: N.Type) -> N.Record:
+    maybe = lambda kind: N.Choice(N.Gate("nil"), N.Gate(kind))
+    parts = {"scheme": scheme, "user": maybe("string"), "host": maybe("string"), "port": maybe("integer"), "path": N.Gate("string"), "query": maybe("string"), "fragment": maybe("string")}
+    return N.Record(tuple((N.Key(k), t) for k, t in parts.items()))
+
+
+URI = Encoder(TEXT[M.Pattern(URI_FORM)], uri_record(N.Gate("string")), uri_parts, uri_text, "uri")
+HTTP = Encoder(TEXT[M.Pattern(r"\A(?i:https?)://\S+\z")], uri_record(N.Gate("string")[M.Pattern(r"\A(?i:https?)\z")]), uri_parts, uri_text, "http")
+FILE = Encoder(TEXT[M.Pattern(r"\A(?i:file):/\S*\z")], uri_record(N.Gate("string")[M.Pattern(r"\A(?i:file)\z")]), uri_parts, uri_text, "file")
+
+
 class Codec:
     """A registry of encoders and of types that pass as they are; a child's own entries come before its parent's."""
 
@@ -190,6 +240,9 @@ class Codec:
             return a if a == b else N.Choice(a, b)
         if isinstance(t, (N.Undefined, N.Never, N.Generate)):
             return t
+        if isinstance(t, N.Record) and any(isinstance(e.of, N.Record) and t <= e.of for e in self.encoders):
+            e = self.best(t, path)  # a record that is one value on the wire, such as a URI
+            return e.decoding(t) if decode else e.encoding(t)
         if isinstance(t, N.Record) and (t.fields or t.typed or t.rest):
             fields = tuple((k, again(f, k.name)) for k, f in t.fields)
             return N.Record(fields, tuple((k, again(f, "*")) for k, f in t.typed), t.rest and again(t.rest, "*"))
@@ -269,12 +322,12 @@ class Dispatch:
 
 #: JSON: what it has passes; dates, times, decimals and symbols are text.
 JSON = Codec(name="json").noop(N.Choice(N.Gate("nil"), N.Choice(N.Gate("string"), N.Choice(N.Gate("numeric"), N.Gate("boolean")))), N.Gate("hash"), N.Gate("array"))
-for _e in (SYMBOL, DECIMAL, DATE, TIME):
+for _e in (SYMBOL, DECIMAL, DATE, TIME, URI, HTTP, FILE):
     JSON.encoder(_e)
 
 #: Forms: everything is text, and an empty text is null.
 FORMS = Codec(name="forms").noop(N.Gate("string"))
-for _e in (SYMBOL, NUMERIC, DECIMAL, FLOAT, INTEGER, BOOLEAN, NIL, DATE, TIME):
+for _e in (SYMBOL, NUMERIC, DECIMAL, FLOAT, INTEGER, BOOLEAN, NIL, DATE, TIME, URI, HTTP, FILE):
     FORMS.encoder(_e)
 
 # Both are shared: own encoders go to a Codec that has one of them as its parent.
