@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import types as t
 from .sources import readers
+from .sources.scratch import shared
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -678,3 +679,46 @@ def nested_structs(spark, sf):
     made = Shipment.new(df)
     inside = Shipment.errors("legs[1]")
     return made.select("o_orderkey", F.col("customer.key").alias("customer_key"), "ok", Shipment.valid("customer").alias("customer_ok"), Shipment.valid("legs[1]").alias("leg_ok"), F.get(inside, F.lit(0))["path"].alias("leg_path"))
+
+
+@query("""
+    SELECT row_number() OVER (ORDER BY o_orderkey) AS "row", o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'o_totalprice' ELSE 'o_orderstatus' END AS path
+    FROM orders QUALIFY o_orderkey % 3 = 0 OR o_orderstatus = 'P'
+""")
+def lines_at_fault(spark, sf):
+    """Rows of CSV files that are not valid, by the number of their line over all files, however these are split."""
+    key = F.col("o_orderkey")
+    text = F.concat_ws(",", key, "o_orderstatus", F.when(key % 3 == 0, "none").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
+    folder = shared(spark, "lines")
+    table(spark, sf, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(text).write.text(folder)
+    kind = t.Hash(o_orderkey=t.Lax.Integer, o_orderstatus=t.String["F", "O"], o_totalprice=t.Lax.Numeric)
+    rows = readers.csv_lines(spark, folder, kind, header=False, row="row")
+    found = t.validate(rows.drop("line"), kind + t.Hash(row=t.Integer)).where("NOT ok")
+    # Of two errors the price's is shown.
+    path = F.array_max(F.transform("errors", lambda e: e["path"]))
+    return found.select("row", "o_orderkey", path.alias("path"))
+
+
+#: Ranges as lists of their two ends; the ends go through the codec that has this.
+PAIRS = t.Encoder(
+    t.Array,
+    t.Range[t.Anything],
+    lambda c: F.when(F.size(c) == 2, F.struct(F.get(c, F.lit(0)).alias("from"), F.get(c, F.lit(1)).alias("to"), F.lit(False).alias("exclusive"))),
+    lambda c: F.array(c["from"], c["to"]),
+    "pairs",
+    lambda of, part: t.Array[part(of.of, "[]")],
+)
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_linenumber <> 3 AND l_orderkey % 5 > 0 AS ok, CASE WHEN l_linenumber <> 3 AND l_orderkey % 5 > 0 THEN CAST(l_shipdate AS DATE) END AS "from",
+           CASE WHEN l_linenumber = 3 THEN 'days' WHEN l_orderkey % 5 = 0 THEN 'days[1]' END AS path
+    FROM lineitem
+""")
+def ranges_as_pairs(spark, sf):
+    """An encoder whose wire type depends on the type: ranges of dates as lists of two texts, of which some are no pair or no dates."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    pair = F.when(F.col("l_linenumber") == 3, F.array(day)).otherwise(F.array(day, F.when(F.col("l_orderkey") % 5 == 0, "later").otherwise(day)))
+    decode = t.Codec(t.JSON).encoder(PAIRS).decoder(t.Hash(l_orderkey=t.Integer, l_linenumber=t.Integer, days=t.Range[t.Date]))
+    made = t.validate(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", pair.alias("days")), decode)
+    return made.select("l_orderkey", "l_linenumber", "ok", F.when(F.col("ok"), F.col("days.from")).alias("from"), F.get("errors", F.lit(0))["path"].alias("path"))

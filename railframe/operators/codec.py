@@ -7,7 +7,7 @@ decoder (wire -> values) or an encoder (values -> wire), and nothing of it is le
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -32,18 +32,31 @@ class NoEntry(KeyError):
         return str(self.args[0])
 
 
+#: Makes the wire type of a type that an encoder fits: given that type and what takes a part of it, under a name, through the codec.
+WireFor = Callable[[N.Type, Callable[[N.Type, str], N.Type]], N.Type]
+
+
 class Encoder:
-    """Wire type and value type with functions of Columns between them; what cannot be converted gives null and is invalid."""
+    """Wire type and value type with functions of Columns between them; what cannot be converted gives null and is invalid.
+
+    With wire_for the wire type depends on the type that a codec meets: an encoder for all ranges, lists or maps is so one for
+    ranges of dates, whose ends the codec turns into text. Without functions the values of both sides are alike but for such parts."""
 
-    def __init__(self, wire: Any, of: Any, decode: Callable[[Column], Column], encode: Callable[[Column], Column], name: str = "encoder"):
-        self.wire, self.of, self.name = N.wrap(wire), N.wrap(of), name
+    def __init__(self, wire: Any, of: Any, decode: Callable[[Column], Column] | None, encode: Callable[[Column], Column] | None, name: str = "encoder", wire_for: WireFor | None = None):
+        self.wire, self.of, self.name, self.wire_for = N.wrap(wire), N.wrap(of), name, wire_for
         self._decode, self._encode = decode, encode
 
-    def decoding(self, of: N.Type | None = None) -> N.Type:
-        return N.Convert(self.wire, of or self.of, self._decode, f"decode {self.name}")
+    def decoding(self, of: N.Type | None = None, wire: N.Type | None = None) -> N.Type:
+        takes, gives = wire or self.wire, of or self.of
+        return N.Convert(takes, gives, self._decode, f"decode {self.name}") if self._decode else N.Seq(takes, gives)
 
-    def encoding(self, of: N.Type | None = None) -> N.Type:
-        return N.Convert(of or self.of, R.bare(self.wire.output_type), self._encode, f"encode {self.name}")
+    def encoding(self, of: N.Type | None = None, wire: N.Type | None = None) -> N.Type:
+        takes = of or self.of
+        if wire is None:
+            return N.Convert(takes, R.bare(self.wire.output_type), self._encode, f"encode {self.name}") if self._encode else self.wire
+        # What the function makes has parts that are values still; the wire type encodes them.
+        plain = self.wire_for(takes, lambda part, name: part)
+        return N.Seq(N.Convert(takes, plain, self._encode, f"encode {self.name}"), wire) if self._encode else wire
 
     def operand(self, left: N.Type | None) -> N.Type:
         """Beside a type that makes the encoder's values it encodes, else it decodes."""
@@ -136,6 +149,19 @@ HTTP = Encoder(TEXT[M.Pattern(r"\A(?i:https?)://\S+\z")], uri_record(N.Gate("str
 FILE = Encoder(TEXT[M.Pattern(r"\A(?i:file):/\S*\z")], uri_record(N.Gate("string")[M.Pattern(r"\A(?i:file)\z")]), uri_parts, uri_text, "file")
 
 
+def ends(t: N.Type, part: Callable[[N.Type, str], N.Type]) -> N.Type:
+    """A range on the wire: the struct of from, to and exclusive, its ends through the codec; each may be null."""
+    end = part(N.base_of(t).of, "from")
+    maybe = lambda of: N.Choice(N.Gate("nil"), of)
+    return N.Record(((N.Key("from"), maybe(end)), (N.Key("to"), maybe(end)), (N.Key("exclusive"), maybe(N.Gate("boolean")))))
+
+
+RANGE = Encoder(N.Any(), N.Interval(N.Any()), None, None, "range", ends)
+
+#: Types of containers, which encoders of containers may take as a whole; else their parts are rewritten one by one.
+CONTAINERS = (N.Record, N.Array, N.Map, N.Tuple, N.Interval)
+
+
 class Codec:
     """A registry of encoders and of types that pass as they are; a child's own entries come before its parent's."""
 
@@ -167,13 +193,13 @@ class Codec:
 
     def operand(self, left: N.Type | None) -> N.Type:
         """T >> codec: the encoder of what T makes."""
-        return self.rewritten(R.produced(left), False, "")
+        return self.rewritten(R.produced(left), False, "", {})
 
     def decoder(self, t: Any) -> N.Type:
-        return self.rewritten(N.wrap(t), True, "")
+        return self.rewritten(N.wrap(t), True, "", {})
 
     def encoder_of(self, t: Any) -> N.Type:
-        return self.rewritten(R.produced(N.wrap(t)), False, "")
+        return self.rewritten(R.produced(N.wrap(t)), False, "", {})
 
     def for_(self, t: Any) -> tuple[N.Type, N.Type]:
         return self.decoder(t), self.encoder_of(t)
@@ -223,10 +249,18 @@ class Codec:
                 raise NoEncoder(f"{path or 'value'}: {top.name} and {e.name} both fit {t!r}")
         return top
 
-    def rewritten(self, t: N.Type, decode: bool, path: str) -> N.Type:
-        again = lambda x, part="": self.rewritten(x, decode, f"{path}.{part}".strip(".") if part else path)
+    def fitted(self, e: Encoder, t: N.Type, decode: bool, again: Callable) -> N.Type:
+        wire = e.wire_for(t, again) if e.wire_for else None
+        return e.decoding(t, wire) if decode else e.encoding(t, wire)
+
+    def rewritten(self, t: N.Type, decode: bool, path: str, memo: dict[N.Type, N.Type]) -> N.Type:
+        """memo has what types that are named before they are made became: one that holds itself is rewritten once, and where it
+        comes again stands the same result, so that a cycle stays a cycle."""
+        again = lambda x, part="": self.rewritten(x, decode, f"{path}.{part}".strip(".") if part else path, memo)
         if isinstance(t, N.Deferred):
-            return N.Deferred(lambda: again(t.target()), t.max_depth)
+            if t not in memo:
+                memo[t] = N.Deferred(cache(lambda: again(t.target())), t.max_depth)
+            return memo[t]
         if isinstance(t, N.Static):
             return t if decode else N.Equals(t.literal)
         if isinstance(t, N.Wrap):
@@ -240,9 +274,8 @@ class Codec:
             return a if a == b else N.Choice(a, b)
         if isinstance(t, (N.Undefined, N.Never, N.Generate)):
             return t
-        if isinstance(t, N.Record) and any(isinstance(e.of, N.Record) and t <= e.of for e in self.encoders):
-            e = self.best(t, path)  # a record that is one value on the wire, such as a URI
-            return e.decoding(t) if decode else e.encoding(t)
+        if isinstance(t, CONTAINERS) and any(isinstance(e.of, CONTAINERS) and t <= e.of for e in self.encoders):
+            return self.fitted(self.best(t, path), t, decode, again)  # a container with a wire form of its own, such as a URI or a range
         if isinstance(t, N.Record) and (t.fields or t.typed or t.rest):
             fields = tuple((k, again(f, k.name)) for k, f in t.fields)
             return N.Record(fields, tuple((k, again(f, "*")) for k, f in t.typed), t.rest and again(t.rest, "*"))
@@ -258,8 +291,6 @@ class Codec:
             return N.FilteredMap(again(t.inner))
         if isinstance(t, N.Tagged):
             return N.Tagged(t.key, tuple(N.Record(tuple((k, f if k.name == t.key else again(f, k.name)) for k, f in v.fields), v.typed, v.rest) for v in t.variants))
-        if isinstance(t, N.Interval):
-            return self.interval(t, decode, path)
         if isinstance(t, N.Meet):
             return N.Seq(again(t.left), t.right) if decode else again(t.left)
         if isinstance(t, N.Seq):
@@ -270,22 +301,14 @@ class Codec:
             return N.Seq(again(R.accepted(t)), t) if decode else again(R.produced(t))
         e = self.best(t, path)
         if e is not None:
-            return e.decoding(t) if decode else e.encoding(t)
+            return self.fitted(e, t, decode, again)
         base = N.base_of(t)
         if base is not t and self.best(base, path) is not None:
-            found = self.best(base, path)
-            return found.decoding(t) if decode else found.encoding(t)
+            return self.fitted(self.best(base, path), t, decode, again)
         if any(t <= n for n in self.noops) or isinstance(t, (N.Any, N.Equals)):
             return t
         raise NoEncoder(f"{path or 'value'}: no encoder for {t!r}")
 
-    def interval(self, t: N.Interval, decode: bool, path: str) -> N.Type:
-        """Ends through the codec, with the struct of from, to and exclusive on both sides."""
-        end = self.rewritten(t.of, decode, f"{path}.from".strip("."))
-        open_end = N.Choice(N.Gate("nil"), end)
-        ends = N.Record(((N.Key("from"), open_end), (N.Key("to"), open_end), (N.Key("exclusive"), N.Choice(N.Gate("nil"), N.Gate("boolean")))))
-        return N.Seq(ends, t) if decode else ends
-
 
 class Dispatch:
     """A registry as a step over a table: the key column of each row says by which entry its payload goes.
@@ -322,12 +345,12 @@ class Dispatch:
 
 #: JSON: what it has passes; dates, times, decimals and symbols are text.
 JSON = Codec(name="json").noop(N.Choice(N.Gate("nil"), N.Choice(N.Gate("string"), N.Choice(N.Gate("numeric"), N.Gate("boolean")))), N.Gate("hash"), N.Gate("array"))
-for _e in (SYMBOL, DECIMAL, DATE, TIME, URI, HTTP, FILE):
+for _e in (SYMBOL, DECIMAL, DATE, TIME, URI, HTTP, FILE, RANGE):
     JSON.encoder(_e)
 
 #: Forms: everything is text, and an empty text is null.
 FORMS = Codec(name="forms").noop(N.Gate("string"))
-for _e in (SYMBOL, NUMERIC, DECIMAL, FLOAT, INTEGER, BOOLEAN, NIL, DATE, TIME, URI, HTTP, FILE):
+for _e in (SYMBOL, NUMERIC, DECIMAL, FLOAT, INTEGER, BOOLEAN, NIL, DATE, TIME, URI, HTTP, FILE, RANGE):
     FORMS.encoder(_e)
 
 # Both are shared: own encoders go to a Codec that has one of them as its parent.

@@ -356,10 +356,10 @@ def _tagged(t, defs):
 
 
 @JSON.on(N.Deferred)
-def _deferred(t, defs):
+def _deferred(t, defs, given=None):
     key = id(t.make)
     if key not in defs:
-        name = getattr(t.make, "__name__", "type").strip("<>")
+        name = given or getattr(t.make, "__name__", "type").strip("<>")
         taken = {n for n, _ in defs.values()}
         while name in taken:
             name += "_"
@@ -370,6 +370,8 @@ def _deferred(t, defs):
 
 @JSON.on(N.Wrap)
 def _wrap(t, defs):
+    if t.role == "name" and isinstance(t.inner, N.Deferred):
+        return _deferred(t.inner, defs, t.name)
     out = JSON.visit(t.inner, defs)
     if t.role == "metadata":
         return {str(k): native(v) for k, v in t.data} | out
@@ -415,6 +417,14 @@ def mermaid(t: N.Type, direction: str = "LR") -> str:
 
     def walk(x: N.Type) -> tuple[list[str], list[str]]:
         """First and last nodes."""
+        if isinstance(x, N.Wrap) and x.role == "name":
+            if isinstance(x.inner, N.Deferred):
+                n = node(x.name)
+                return [n], [n]
+            lines.append(f'  subgraph g{len(lines)}["{x.name}"]')
+            inside = walk(x.inner)
+            lines.append("  end")
+            return inside
         if isinstance(x, N.Wrap):
             return walk(x.inner)
         if isinstance(x, N.Refine):

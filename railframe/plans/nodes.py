@@ -182,6 +182,10 @@ class Type:
     def as_node(self, name: str, **data: Obj) -> Type:
         return Wrap(self, "label", name, tuple(data.items()))
 
+    def named(self, name: str) -> Type:
+        """The type under a name that messages, definitions and diagrams use; a name it had before goes."""
+        return Wrap(self.inner if isinstance(self, Wrap) and self.role == "name" else self, "name", name)
+
     def pipeline(self) -> Obj:
         from ..operators.pipeline import Pipeline
 
@@ -1490,7 +1494,10 @@ class Wrap(Type):
 
     @property
     def preserving(self):
-        return self.role == "label" and self.inner.preserving
+        return self.role in ("label", "name") and self.inner.preserving
+
+    def __repr__(self):
+        return self.name if self.role == "name" else f"{self.inner!r}.{self.role}({self.name!r})"
 
     def children(self):
         return (self.inner,)

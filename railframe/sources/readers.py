@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dataset import filtered, invalid, prepared
 from ..plans import nodes as N
+from .scratch import written
+
+#: Bytes of the splits' names up to which their table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Columns of where a row was read: its file, where its split starts, its place in its task.
+FILE, START, PLACE = "__file", "__start", "__place"
 
 
 def text_schema(t: object) -> T.StructType:
@@ -28,6 +34,60 @@ def json_lines(spark: SparkSession, path: str, column: str = "value") -> DataFra
     return spark.read.text(path).select(F.try_parse_json("value").alias(column))
 
 
+def read_from(df: DataFrame) -> DataFrame:
+    """Rows just read from files, with the file and the start of the split that each comes from."""
+    return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(START))
+
+
+def numbered(df: DataFrame, line: str = "line", row: str | None = None, path: str | None = None, before: int = 0) -> DataFrame:
+    """Rows just read from files (or out of `read_from`), each with its number in its file, from 1 and without gaps; with row
+    also one over all files in the order of their paths, after the `before` first; with path the file.
+
+    A task reads a split from its start, so a row's number is its place in its split and the rows of the splits before, which a
+    prefix sum over one row for each split (for each file, over all files) gives: nothing is sorted. Rows are written first,
+    as another scan might be split otherwise. Rows are numbered as they are read: filter them afterwards, read each file once.
+    Names that df has already are refused."""
+    names = [n for n in df.columns if n not in (FILE, START)]
+    made = [n for n in (line, row, path) if n]
+    clash = [n for n in made if n.lower() in {m.lower() for m in names}]
+    if clash or len(set(made)) < len(made):
+        raise ValueError(f"columns {clash or made} are there already: give other names")
+    placed = df if FILE in df.columns else read_from(df)
+    held = written(placed.withColumn(PLACE, F.monotonically_increasing_id()), "numbered")
+    splits = held.groupBy(FILE, START).agg(F.min(PLACE).alias("first"), F.count("*").alias("rows"))
+    earlier = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("in_file", earlier(Window.partitionBy(FILE).orderBy(START)))
+    if row:
+        files = splits.groupBy(FILE).agg(F.sum("rows").alias("rows"))
+        splits = splits.join(files.select(FILE, earlier(Window.orderBy(FILE)).alias("in_all")), FILE)
+    splits = written(splits, "splits")
+    size = splits.agg(F.sum(F.octet_length(FILE) + 32)).first()[0] or 0
+    rows = held.join(F.broadcast(splits) if size <= BROADCAST_BYTES else splits, [FILE, START])
+    number = F.col(PLACE) - F.col("first") + F.col("in_file") + 1
+    out = [F.col(f"`{n}`") for n in names] + [number.alias(line)]
+    out += [(number + F.col("in_all") + before).alias(row)] if row else []
+    return rows.select(*out, *([F.col(FILE).alias(path)] if path else []))
+
+
+def lines(spark: SparkSession, path: str, column: str = "value", line: str = "line", row: str | None = None, file: str | None = None) -> DataFrame:
+    """Lines of text files with their numbers (see numbered)."""
+    return numbered(spark.read.text(path).withColumnRenamed("value", column), line, row, file)
+
+
+def csv_lines(spark: SparkSession, path: str, t: object, header: bool = True, line: str = "line", row: str | None = None, file: str | None = None, **options: str) -> DataFrame:
+    """`csv`, with the number of the line that each row stands in. A row is a line: quoted texts hold no line ends. Blank lines
+    count but give no row; with header, each file's first line is one and gives no row either."""
+    fields = text_schema(t)
+    clash = [n for n in (line, row, file) if n in fields.names]
+    if clash:
+        raise ValueError(f"columns {clash} are there already: give other names")
+    found = lines(spark, path, "__line", line, row, file)
+    kept = found.where((F.trim("__line") != "") & ((F.col(f"`{line}`") > 1) if header else F.lit(True)))
+    parsed = F.from_csv("__line", ", ".join(f"`{f.name}` STRING" for f in fields), options)
+    numbers = [F.col(f"`{n}`") for n in (line, row, file) if n]
+    return kept.select(parsed.alias("__row"), *numbers).select(*(F.col(f"__row.`{n}`") for n in fields.names), *numbers)
+
+
 def from_json(df: DataFrame, column: str) -> DataFrame:
     """A text column as VARIANT, in which an absent key and an explicit null differ."""
     return df.withColumn(column, F.try_parse_json(F.col(f"`{column}`")))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dataset import filtered, validate
-from ..sources.readers import write_split
+from ..sources.readers import numbered, read_from, write_split
 from ..sources.scratch import shared
 
 
@@ -35,6 +36,24 @@ def split_sinks(stream: DataFrame, t: object, good: str, bad: str, checkpoint: s
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def numbered_sink(stream: DataFrame, folder: str, checkpoint: str, line: str = "line", row: str = "row", path: str | None = None, **trigger) -> StreamingQuery:
+    """A stream of files to Parquet below folder/rows, each row with its number in its file and over all that came, batch by
+    batch. A file comes whole in one batch; the rows of the batches before are in folder/counts, one row for each batch, so a
+    batch that is run again after a failure gets the numbers that it had."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark, counts = batch.sparkSession, f"{folder}/counts"
+        # The batch's own empty count makes the folder one that can be read.
+        spark.createDataFrame([(0,)], "rows long").write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+        before = spark.read.parquet(counts).where(F.col("batch") < batch_id).agg(F.sum("rows")).first()[0] or 0
+        rows = f"{folder}/rows/batch={batch_id}"
+        numbered(batch, line, row, path, before).write.mode("overwrite").parquet(rows)
+        done = spark.read.parquet(rows).count()
+        spark.createDataFrame([(done,)], "rows long").write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+
+    return read_from(stream).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def to_memory(stream: DataFrame, name: str) -> DataFrame:
     """Run what is there to an in-memory table, for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
