@@ -81,11 +81,11 @@ def csv_lines(spark: SparkSession, path: str, t: object, header: bool = True, li
     clash = [n for n in (line, row, file) if n in fields.names]
     if clash:
         raise ValueError(f"columns {clash} are there already: give other names")
-    found = lines(spark, path, "__line", line, row, file)
-    kept = found.where((F.trim("__line") != "") & ((F.col(f"`{line}`") > 1) if header else F.lit(True)))
-    parsed = F.from_csv("__line", ", ".join(f"`{f.name}` STRING" for f in fields), options)
-    numbers = [F.col(f"`{n}`") for n in (line, row, file) if n]
-    return kept.select(parsed.alias("__row"), *numbers).select(*(F.col(f"__row.`{n}`") for n in fields.names), *numbers)
+    # Parsed before the rows are written, so once for each line, whatever is asked of the fields later.
+    parsed = F.from_csv("value", ", ".join(f"`{f.name}` STRING" for f in fields), options)
+    read = read_from(spark.read.text(path)).select(parsed.alias("__row"), (F.trim("value") != "").alias("__given"), FILE, START)
+    found = numbered(read.select(*(F.col(f"__row.`{n}`") for n in fields.names), "__given", FILE, START), line, row, file)
+    return found.where(F.col("__given") & ((F.col(f"`{line}`") > 1) if header else F.lit(True))).drop("__given")
 
 
 def from_json(df: DataFrame, column: str) -> DataFrame:
