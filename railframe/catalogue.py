@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import types as t
 from .sources import readers
-from .sources.scratch import shared
+from .sources.scratch import shared, tasks
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -611,7 +611,9 @@ def recursive_deep(spark, sf):
     depth, bad = (1 + (key * 31) % 50).cast("int"), F.when(key % 3 == 0, (key * 7) % (1 + (key * 31) % 50)).otherwise(-1)
     level = lambda i: F.concat(F.lit('{"value": '), F.when(i == bad, F.lit('"x"')).otherwise(i.cast("string")), F.lit(', "next": '))
     text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), depth - 1), level), ""), F.lit("null"), F.repeat(F.lit("}"), depth))
-    df = table(spark, sf, "orders").select("o_orderkey", depth.alias("depth"), text.alias("list"))
+    # Keys are dealt to tasks before the lists are made, which are far larger.
+    orders = table(spark, sf, "orders").select("o_orderkey").repartition(tasks(spark), "o_orderkey")
+    df = orders.select("o_orderkey", depth.alias("depth"), text.alias("list"))
     judged = t.validate(readers.from_json(df, "list"), t.defer(endless_list, None), "list")
     at = F.filter("errors", lambda e: e["message"] == "Must be a Integer")
     return judged.select("o_orderkey", "depth", "ok", F.get(at, F.lit(0))["path"].alias("path"))

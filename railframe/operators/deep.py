@@ -9,6 +9,7 @@ its type says, whatever stands around the place where it goes on (choices, negat
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..plans import nodes as N
 from ..plans import sites
-from ..plans.cells import ERRORS, Cell, Out
-from ..sources.scratch import written
+from ..plans.cells import ERRORS, Cell, Out, Stages, stages
+from ..sources.scratch import tasks, written
 
 RESULT = f"map<string,struct<ok:boolean,errors:{ERRORS}>>"
 
@@ -47,27 +48,27 @@ def judged(df: DataFrame, t: N.Type, lowered: Callable[[DataFrame, N.Type], obje
         return df, t
     results = next(n for n in ("__deep", *(f"__deep{i}" for i in range(len(df.columns)))) if n not in df.columns)
     names = [f"`{n}`" for n in df.columns]
-    waiting = low.df.withColumn("__waiting", found.column())
-    deep_rows = written(waiting.where(F.size("__waiting") > 0).select(*names, "__waiting", F.monotonically_increasing_id().alias("__row")), "deep_rows")
+    waiting = low.df.withColumn("__waiting", found.column()).select(*names, "__waiting")
+    # A generator, as a filter would be pushed below what it reads, which would be made twice.
+    alone = waiting.select(*names, F.explode(F.when(F.size("__waiting") > 0, F.array("__waiting"))).alias("__waiting"))
+    # Dealt anew: a table in one file is read by one task, and its deep values are far larger than it.
+    deep_rows = written(alone.withColumn("__row", F.monotonically_increasing_id()).repartition(tasks(df.sparkSession), "__row"), "deep_rows")
     if deep_rows.isEmpty():
         return df.withColumn(results, F.lit(None).cast(RESULT)), known(t, F.col(results), found.makes)
 
     tables = [written(put_off(deep_rows, "__row", "__waiting"), "deep_values")]
-    waits, n = None, 0
     while True:
-        if n != len(found.makes):  # types that come up on the way are added to what is found
-            n, waits = len(found.makes), waiting_of(found)
-            continue
-        inner = written(put_off(tables[-1].withColumn("waiting", waits), "id", "waiting"), "deep_values")
+        inner = written(put_off(by_type(tables[-1], found.makes, lambda m: waiting_of(m, found), "waiting"), "id", "waiting"), "deep_values")
         if inner.isEmpty():
             break
         tables.append(inner)
-    result, outcome = result_of(found), None
+    outcome = None
     for table in reversed(tables):
         table = table.withColumn("results", F.lit(None).cast(RESULT)) if outcome is None else joined(table, by_row(outcome, "results"))
-        outcome = written(table.withColumn("r", result).select("inside", "key", "r.ok", "r.errors"), "deep_results")
+        judged = by_type(table, found.makes, lambda m: result_of(m, found), "r")
+        outcome = written(judged.select("inside", "key", "r.ok", "r.errors"), "deep_results")
     rows = deep_rows.join(by_row(outcome, results).withColumnRenamed("inside", "__row"), "__row", "left").select(*names, results)
-    rest = waiting.where(F.size("__waiting") == 0).select(*names, F.lit(None).cast(RESULT).alias(results))
+    rest = waiting.select(*names, F.explode(F.when(F.size("__waiting") == 0, F.array(F.lit(None).cast(RESULT)))).alias(results))
     return rest.unionByName(rows), known(t, F.col(results), found.makes)
 
 
@@ -77,41 +78,37 @@ def joined(table: DataFrame, results: DataFrame) -> DataFrame:
 
 def put_off(rows: DataFrame, row: str, waiting: str) -> DataFrame:
     """The values that rows of a table wait for: in which row, the key, the path, which type goes on there, and the value."""
-    flat = rows.select(F.col(row).alias("inside"), F.explode(waiting).alias("w"))
+    # Not of the column itself, for which Spark would filter by its size first, and so make it twice.
+    listed = F.when(F.size(waiting) > 0, F.col(waiting))
+    flat = rows.select(F.col(row).alias("inside"), F.explode(listed).alias("w"))
     return flat.select(F.monotonically_increasing_id().alias("id"), "inside", "w.key", "w.path", "w.which", "w.value")
 
 
-def on_values(makes: list[Callable], take: Callable[[N.Type], Column]) -> Column:
-    """take(type) for each row's own type."""
-    taken = [take(N.Deferred(m, None)) for m in makes]
-    out = taken[0]
-    for i, c in enumerate(taken[1:], 1):
-        out = F.when(F.col("which") == i, c).otherwise(out)
-    return out
+def by_type(table: DataFrame, makes: list[Callable], made: Callable[[Callable], Column], name: str) -> DataFrame:
+    """table with a column that made(type) gives for each row's own type; what is read more than once is projected before."""
+    parts = []
+    for i, make in enumerate(list(makes)):
+        with stages(Stages(table.columns, True)) as before:
+            column = made(make)
+        own = table.where(F.col("which") == i) if len(makes) > 1 else table
+        parts.append(before.on(own).withColumn(name, column).select(*table.columns, name))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def value_cell() -> Cell:
     return Cell(F.col("value"), T.VariantType())
 
 
-def waiting_of(found: sites.Found) -> Column:
-    """What a value waits for, by its type. Each table's values wait alike, so it is made once."""
+def waiting_of(make: Callable, found: sites.Found) -> Column:
+    """What a value of a type waits for. Types that come up on the way are added to what is found."""
+    own = sites.Found()
+    own.makes = found.makes
+    with sites.finding(own):
+        N.Deferred(make, None).lower(value_cell(), F.col("path"))
+    return own.column()
 
-    def waiting(t: N.Type) -> Column:
-        own = sites.Found()
-        own.makes = found.makes
-        with sites.finding(own):
-            t.lower(value_cell(), F.col("path"))
-        return own.column()
 
-    return on_values(list(found.makes), waiting)
-
-
-def result_of(found: sites.Found) -> Column:
-    """ok and errors of a value, by its type."""
-
-    def result(t: N.Type) -> Column:
-        o: Out = t.known_by(F.col("results"), found.makes).lower(value_cell(), F.col("path"))
-        return F.struct(o.ok.alias("ok"), o.errors.alias("errors"))
-
-    return on_values(found.makes, result)
+def result_of(make: Callable, found: sites.Found) -> Column:
+    """ok and errors of a value of a type."""
+    o: Out = N.Deferred(make, None).known_by(F.col("results"), found.makes).lower(value_cell(), F.col("path"))
+    return F.struct(o.ok.alias("ok"), o.errors.alias("errors"))

@@ -48,6 +48,19 @@ TAGS = {
 }
 
 
+def has_tag(value: Column, kind: str) -> Column:
+    """Whether a VARIANT is of a kind; never null. schema_of_variant goes through all that a value holds, so objects and arrays are told
+    by a cast that reads no field of theirs, and only scalars are asked for their schema."""
+    is_object, is_array = (F.try_variant_get(value, "$", shape).isNotNull() for shape in ("struct<>", "array<struct<>>"))
+    if kind in ("hash", "array"):
+        return is_object if kind == "hash" else is_array
+    if kind == "nil":
+        return F.coalesce(F.is_variant_null(value), F.lit(False))
+    if kind not in TAGS:
+        return F.lit(False)
+    return F.when(is_object | is_array, F.lit(False)).otherwise(F.coalesce(F.schema_of_variant(value).rlike(TAGS[kind][0]), F.lit(False)))
+
+
 def family(dtype: T.DataType) -> str | None:
     """The kind of a column's values; None for VARIANT, whose values tell."""
     if isinstance(dtype, T.StructType) and {"from", "to"} <= set(dtype.names) <= {"from", "to", "exclusive"}:

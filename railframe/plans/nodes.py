@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import scalars
 from . import matchers as M
 from . import sites
-from .cells import ERRORS, LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, in_lambda, let, no_errors, one_error, step
+from .cells import ERRORS, LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, has_tag, in_lambda, let, no_errors, one_error, staged, step
 
 
 class TypeMismatch(TypeError):
@@ -28,7 +28,8 @@ class TypeMismatch(TypeError):
 
 
 def at(path: Column, name: str) -> Column:
-    return F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
+    # path stands in it once, so that the text of a path grows with its length only.
+    return F.concat_ws(".", F.array_remove(F.array(path), ""), F.lit(name))
 
 
 def quoted(values: Obj) -> str:
@@ -318,8 +319,8 @@ class Gate(Type):
             return gated(c, False, path, said)
         here = c.here() if not isinstance(c.present, bool) else None
         if isinstance(c.dtype, T.VariantType):
-            pattern, dtype = TAGS.get(self.kind, (r"^$", T.NullType()))
-            ok = F.coalesce(F.schema_of_variant(c.value).rlike(pattern), F.lit(False))
+            _, dtype = TAGS.get(self.kind, (r"^$", T.NullType()))
+            ok = has_tag(c.value, self.kind)
             value = F.lit(None) if self.kind == "nil" else F.when(ok, F.try_variant_get(c.value, "$", dtype.simpleString()))
             if self.kind in ("true", "false"):
                 ok = F.coalesce(ok & (value == (self.kind == "true")), F.lit(False))
@@ -1429,8 +1430,8 @@ class Deferred(Type):
     judged: Column | None = field(default=None, compare=False)
     makes: tuple[Callable, ...] = field(default=(), compare=False)
 
-    #: Levels that are unrolled at once where max_depth is None.
-    UNROLLED = 3
+    #: Levels that are unrolled at once where max_depth is None; and in jobs, where the type holds itself at one place, in no list.
+    UNROLLED, IN_LINE = 3, 6
 
     def target(self) -> Type:
         return wrap(self.make())
@@ -1447,6 +1448,8 @@ class Deferred(Type):
             return self.beyond(c, path)
         if c.present is False or isinstance(c.dtype, T.NullType):
             return gated(c, False, path, "must be a Hash")
+        if self.max_depth is None and self.depth and isinstance(c.dtype, T.VariantType):  # the next levels are taken from it, many times
+            c = Cell(staged(c.value), c.dtype, c.present)
         own = {"judged": self.judged, "makes": self.makes}
         deeper = transformed(self.target(), lambda t: Deferred(t.make, t.max_depth, self.depth + 1, **own) if isinstance(t, Deferred) else t)
         o = deeper.lower(c, path)
@@ -1455,7 +1458,10 @@ class Deferred(Type):
     def unrolled(self) -> int:
         """Fewer levels where a type holds itself at several places or in lists, so that plans do not grow with a power of them."""
         places = max(1, counted(self.target()))
-        return self.UNROLLED if places == 1 else max(1, int(self.UNROLLED / (1 + math.log2(places))))
+        in_jobs = self.judged is not None or sites.found_now() is not None
+        if places == 1:
+            return self.IN_LINE if in_jobs else self.UNROLLED
+        return max(1, int(self.UNROLLED / (1 + math.log2(places))))
 
     def beyond(self, c: Cell, path: Column) -> Out:
         if self.max_depth is not None or not isinstance(c.dtype, T.VariantType):

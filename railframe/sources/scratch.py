@@ -24,3 +24,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Into how many parts rows are dealt that mean far more work than their bytes tell Spark."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -3,7 +3,11 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from railframe import types as t
+from railframe.operators import deep
+from railframe.plans.cells import TAGS, has_tag
 from railframe.sources.readers import from_json
 
 
@@ -124,3 +128,23 @@ def test_a_stream_is_unrolled_only(spark, tmp_path):
     stream = from_json(spark.readStream.schema("j string").parquet(f"{tmp_path}/in"), "j")
     got = to_files(t.validate(stream, t.defer(linked, None), "j").selectExpr("ok", "exists(errors, e -> e.message = 'nested deeper than 3') AS deeper"))
     assert sorted(map(tuple, got.collect())) == [(False, True), (True, False)]
+
+
+def test_lists_take_few_rounds_and_read_no_more_than_they_need(spark, monkeypatch):
+    tables, made = [], deep.written
+    monkeypatch.setattr(deep, "written", lambda df, name: tables.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or made(df, name))
+    values = [listed(d) for d in (2, 20, 50)] + [listed(50, 49)]
+    assert [r["ok"] for r in judged(spark, values, t.defer(linked, None))] == list(map(plain_list, values))
+    assert len(tables) < 25
+    # A filter of what waits would be pushed below what it reads, which would be made twice; a value is taken from the one around it once.
+    assert not any(plan.count("parse_json") + plan.count("parseJson") > 1 for name, plan in tables if name == "deep_rows")
+    assert max(len(plan) for name, plan in tables) < 200_000
+
+
+def test_kinds_of_variants_are_those_of_their_schemas(spark):
+    texts = ['{"a": {"b": [1]}}', "{}", "[]", '[1, "a", {"x": 2}, null]', "null", '"s"', '"2020-01-01"', "1", "1.5", "1e3", "true", "false", "9" * 20, "bad", None]
+    df = from_json(spark.createDataFrame([(x,) for x in texts], "v string"), "v")
+    df = df.union(spark.sql("SELECT cast(date'2020-01-01' AS variant) UNION ALL SELECT cast(timestamp'2020-01-01 00:00:00' AS variant) UNION ALL SELECT to_variant_object(map('a', 1))"))
+    schema = F.schema_of_variant("v")
+    told = df.select(*(F.struct(has_tag(F.col("v"), k), F.coalesce(schema.rlike(tag), F.lit(False))).alias(k) for k, (tag, _) in TAGS.items())).collect()
+    assert len(told) == len(texts) + 3 and all(a is b for r in told for a, b in r)
