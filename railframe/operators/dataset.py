@@ -25,6 +25,8 @@ class Lowered:
     out: Out
     #: The columns of the table as it was given.
     names: list[str]
+    #: Whether it is made in projections before, or would be better so.
+    large: bool = False
 
 
 def lowered(df: DataFrame, t: object, column: str | None = None) -> Out:
@@ -32,16 +34,18 @@ def lowered(df: DataFrame, t: object, column: str | None = None) -> Out:
     return prepared(df, t, column).out
 
 
-def prepared(df: DataFrame, t: object, column: str | None = None, binds: bool = False) -> Lowered:
+def prepared(df: DataFrame, t: object, column: str | None = None, binds: bool = False, filters: bool = False) -> Lowered:
     """Types that hold themselves to any depth are judged beforehand, by jobs, where the table is no stream. binds: large results
-    stand in projections before; not where a filter follows, which Spark would write them into, as it pushes it down."""
+    stand in projections before; not where a filter follows, which Spark would write them into, as it pushes it down. filters: they
+    do where a result is large, and the caller keeps its filter from being pushed."""
     t = N.wrap(t)
     if isinstance(t, N.Stream):
         t = t.of
     names = df.columns
     if not df.isStreaming and deep.endless(t):
         df, t = deep.judged(df, t, lambda df, t: of_rows(df, t, column, names, False))
-    return of_rows(df, t, column, names, binds)
+    low = of_rows(df, t, column, names, binds)
+    return of_rows(df, t, column, names, True) if filters and low.large else low
 
 
 def of_rows(df: DataFrame, t: N.Type, column: str | None, names: list[str], binds: bool) -> Lowered:
@@ -50,7 +54,7 @@ def of_rows(df: DataFrame, t: N.Type, column: str | None, names: list[str], bind
         out = t.lower(cell, F.lit(""))
         if binds:  # what is read stands in the projections
             _ = out.ok, out.errors, columns(out, column)
-    return Lowered(before.on(df), out, names)
+    return Lowered(before.on(df), out, names, before.large)
 
 
 def public(value: Column, dtype: T.DataType) -> Column:
@@ -87,18 +91,40 @@ def validate(df: DataFrame, t: object, column: str | None = None, ok: str = "ok"
 
 
 def filtered(df: DataFrame, t: object, column: str | None = None) -> DataFrame:
-    """The valid rows only."""
-    low = prepared(df, t, column)
+    """The valid rows only. Where results stand in projections before, a generator leaves out the others, as Spark would write
+    the projections into a filter that it pushes down; a short chain's filter goes to the scan."""
+    low = prepared(df, t, column, filters=True)
     made = columns(low.out, column)
-    low.df = low.df.where(low.out.ok)
-    return selected(low, column, made)
+    if not low.large:
+        low.df = low.df.where(low.out.ok)
+        return selected(low, column, made)
+    test = spare([*low.names, *made], "__valid")
+    return generated(selected(low, column, made | {test: low.out.ok}), test)
+
+
+def spare(taken: list[str], name: str) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def generated(rows: DataFrame, test: str) -> DataFrame:
+    """The rows for which a column is true, without it."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != test]
+    one = F.explode(F.when(F.col(f"`{test}`"), F.array(F.lit(True)))).alias(spare(rows.columns, "__one"))
+    return rows.select(*kept, one).select(*kept)
 
 
 def invalid(df: DataFrame, t: object, column: str | None = None, errors: str = "errors") -> DataFrame:
     """The rows that are not valid, as they came, with errors (in place of a column of that name)."""
-    low = prepared(df, t, column)
-    rows = low.df.where(~low.out.ok).select(*(F.col(f"`{c}`") for c in low.names if c != errors), low.out.errors.alias("__errors"))
-    return rows.toDF(*(c for c in low.names if c != errors), errors)
+    low = prepared(df, t, column, filters=True)
+    own = [c for c in low.names if c != errors]
+    if low.large:
+        test = spare([*own, errors], "__invalid")
+        rows = low.df.select(*(F.col(f"`{c}`") for c in own), low.out.errors.alias("__errors"), (~low.out.ok).alias(test))
+        return generated(rows.toDF(*own, errors, test), test)
+    rows = low.df.where(~low.out.ok).select(*(F.col(f"`{c}`") for c in own), low.out.errors.alias("__errors"))
+    return rows.toDF(*own, errors)
 
 
 def split(df: DataFrame, t: object, column: str | None = None) -> tuple[DataFrame, DataFrame]:

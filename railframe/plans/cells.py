@@ -160,6 +160,8 @@ class Stages:
     def __init__(self, taken: list[str], binds: bool):
         self.taken, self.binds = set(taken), binds
         self.level, self.columns = 0, []
+        #: Whether a result was too large to be written as often as it is read.
+        self.large = False
 
     def deeper(self) -> int:
         self.level += 1
@@ -212,6 +214,8 @@ def bound(outs: list[Out], then: Callable[..., Out]) -> Out:
     So the text of a chain of steps grows with the number of steps, and does not multiply. Steps go into one binding until
     that is large itself."""
     now = _STAGES[-1] if _STAGES else None
+    if now is not None:
+        now.large = True
     if now is not None and now.binds:
         level = now.deeper()
         return then(*(before_all(o, now, level) for o in outs))

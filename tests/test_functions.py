@@ -41,3 +41,17 @@ def test_functions_that_prove_each_other_share_one_check(spark):
     assert [r[0] for r in judged(spark, [1, 70], "long", open_)] == [True, False]
     text = both >> t.Function[t.Integer, t.String](t.python_step(hex, T.StringType()))
     assert judged(spark, [1], "long", text) == [(True, "0x51", [])]
+
+
+def test_filters_of_long_chains_are_generated_code(spark, capsys):
+    size = t.Lax.Integer
+    for _ in range(6):
+        size = size.transform(t.Integer, lambda c: c + 1).check(lambda c: c < 100, "too large")
+    df = spark.createDataFrame([("1", 1), ("94", 2), ("93", 3), ("x", 4), (None, 5)], "size string, col int")
+    kind = t.Hash(size=size, col=t.Integer)
+    kept, left = t.filtered(df, kind), t.invalid(df, kind)
+    assert sorted(map(tuple, kept.collect())) == [(7, 1), (99, 3)]
+    assert sorted(r["col"] for r in left.collect()) == [2, 4, 5] and all(r["errors"] for r in left.collect())
+    for found in (kept, left):  # a lambda is interpreted, row by row
+        found.explain()
+        assert "transform(" not in capsys.readouterr().out
