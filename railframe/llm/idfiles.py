@@ -47,7 +47,7 @@ def fit_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) ->
     """A dictionary from a sample of SAMPLE_DOCS documents; raw content where there are too few to train one; empty for no documents."""
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
-    chosen = docs.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "text").limit(2 * SAMPLE_DOCS)
+    chosen = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "text").limit(2 * SAMPLE_DOCS)
     enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
     samples = sorted(narrowed(enc.encode(r["text"]) + end, width) for r in chosen.collect())
     try:

@@ -508,3 +508,16 @@ def test_id_files_are_closed_at_their_size(spark):
     files = idfiles.write_ids(odd(spark), TOKENIZER, file_bytes=1)
     assert files.count() == len(ODD)  # each document fills a file
     check_ids(idfiles.read_ids(files).collect(), ODD)
+
+
+def test_words_are_split_plainly_as_by_the_tokenizer():
+    import random
+
+    import regex
+
+    rng, letters = random.Random(5), [chr(i) for i in [*range(33, 127), *range(0xC0, 0x100)]]
+    odd = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(5000)] + ["it's", "WE'LL", "÷×ß", "12a3", "x<|endoftext|>y"]
+    enc = encoding.WordEncoder(TOKENIZER)
+    assert enc.split_plain.__self__.pattern == encoding.PLAIN_SPLITTER
+    assert all(enc.split_plain(w.lower()) == regex.findall(encoding.SPLITTER, w.lower()) for w in odd)
+    assert all(enc[w] == enc.packed(enc.tokenizer.encode(w, add_special_tokens=False).ids) for w in odd)
