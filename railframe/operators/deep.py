@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..plans import nodes as N
 from ..plans import sites
-from ..plans.cells import ERRORS, Cell, Out, Stages, stages
+from ..plans.cells import ERRORS, Cell, Out, Stages, no_errors, projected, stages
 from ..sources.scratch import tasks, written
 
 RESULT = f"map<string,struct<ok:boolean,errors:{ERRORS}>>"
@@ -34,9 +34,11 @@ def known(t: N.Type, results: Column, makes: list[Callable]) -> N.Type:
 
 
 def by_row(inside: DataFrame, results: str) -> DataFrame:
-    """The results of the values inside each row of the table before, as a map from their keys. A map is as large as its row."""
+    """The results of the values inside each row of the table before, as a map from their keys. A map is as large as its row. They are
+    merged with their rows: Spark goes by the size of the files, in which results are far smaller than in memory, and would
+    broadcast them."""
     pairs = F.collect_list(F.struct("key", F.struct("ok", "errors")))
-    return inside.groupBy("inside").agg(F.map_from_entries(pairs).cast(RESULT).alias(results))
+    return inside.groupBy("inside").agg(F.map_from_entries(pairs).cast(RESULT).alias(results)).hint("merge")
 
 
 def judged(df: DataFrame, t: N.Type, lowered: Callable[[DataFrame, N.Type], object]) -> tuple[DataFrame, N.Type]:
@@ -99,16 +101,21 @@ def value_cell() -> Cell:
     return Cell(F.col("value"), T.VariantType())
 
 
+def value_path() -> Column:
+    return N.below(F.col("path"), projected(N.prefix(F.col("path"))))
+
+
 def waiting_of(make: Callable, found: sites.Found) -> Column:
     """What a value of a type waits for. Types that come up on the way are added to what is found."""
     own = sites.Found()
     own.makes = found.makes
     with sites.finding(own):
-        N.Deferred(make, None).lower(value_cell(), F.col("path"))
+        N.Deferred(make, None).lower(value_cell(), value_path())
     return own.column()
 
 
 def result_of(make: Callable, found: sites.Found) -> Column:
     """ok and errors of a value of a type."""
-    o: Out = N.Deferred(make, None).known_by(F.col("results"), found.makes).lower(value_cell(), F.col("path"))
-    return F.struct(o.ok.alias("ok"), o.errors.alias("errors"))
+    o: Out = N.Deferred(make, None).known_by(F.col("results"), found.makes).lower(value_cell(), value_path())
+    ok = projected(o.ok)
+    return F.struct(ok.alias("ok"), F.when(ok, no_errors()).otherwise(o.errors).alias("errors"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count, groupby
 
 from pyspark.sql import Column, DataFrame
@@ -48,17 +48,17 @@ TAGS = {
 }
 
 
-def has_tag(value: Column, kind: str) -> Column:
-    """Whether a VARIANT is of a kind; never null. schema_of_variant goes through all that a value holds, so objects and arrays are told
-    by a cast that reads no field of theirs, and only scalars are asked for their schema."""
-    is_object, is_array = (F.try_variant_get(value, "$", shape).isNotNull() for shape in ("struct<>", "array<struct<>>"))
+def has_tag(value: Column, kind: str, place: str = "$") -> Column:
+    """Whether what stands at a place in a VARIANT is of a kind; never null. schema_of_variant goes through all that a value holds, so
+    objects and arrays are told by a cast that reads no field of theirs, and only scalars are taken out and asked for their schema."""
+    is_object, is_array = (F.try_variant_get(value, place, shape).isNotNull() for shape in ("struct<>", "array<struct<>>"))
     if kind in ("hash", "array"):
         return is_object if kind == "hash" else is_array
-    if kind == "nil":
-        return F.coalesce(F.is_variant_null(value), F.lit(False))
-    if kind not in TAGS:
+    if kind != "nil" and kind not in TAGS:
         return F.lit(False)
-    return F.when(is_object | is_array, F.lit(False)).otherwise(F.coalesce(F.schema_of_variant(value).rlike(TAGS[kind][0]), F.lit(False)))
+    own = value if place == "$" else F.try_variant_get(value, place, "variant")
+    told = F.coalesce(F.is_variant_null(own) if kind == "nil" else F.schema_of_variant(own).rlike(TAGS[kind][0]), F.lit(False))
+    return told if kind == "nil" and place == "$" else F.when(is_object | is_array, F.lit(False)).otherwise(told)
 
 
 def family(dtype: T.DataType) -> str | None:
@@ -81,6 +81,22 @@ class Cell:
     weight: int = 1
     #: Of a record that was just made: its fields.
     fields: dict[str, Out] | None = None
+    #: Of a VARIANT inside another: that other, and the place in it. To take a VARIANT out is to copy all that it holds.
+    inside: Column | None = None
+    place: str = "$"
+
+    def around(self) -> Column:
+        return self.value if self.inside is None else self.inside
+
+    def taken(self, dtype: str) -> Column:
+        """A VARIANT as a type, straight from the value that it stands in."""
+        return F.try_variant_get(self.around(), self.place, dtype)
+
+    def some(self) -> Column:
+        """Whether the value is not null; a VARIANT inside another is copied for it only where it is a scalar."""
+        if self.inside is None:
+            return self.value.isNotNull()
+        return has_tag(self.inside, "hash", self.place) | has_tag(self.inside, "array", self.place) | self.value.isNotNull()
 
     def field(self, name: str) -> Cell:
         """A field of a struct, map, VARIANT object or row."""
@@ -93,8 +109,9 @@ class Cell:
             return Cell(F.col(f"`{name}`") if self.row else self.value.getField(name), self.dtype[name].dataType, weight=1 if self.row else self.weight)
         if isinstance(self.dtype, T.MapType):
             return Cell(F.element_at(self.value, F.lit(name)), self.dtype.valueType, F.coalesce(F.map_contains_key(self.value, F.lit(name)), F.lit(False)), weight=self.weight + 1)
-        found = F.try_variant_get(self.value, f"$['{name}']", "variant")
-        return Cell(found, VARIANT, found.isNotNull(), weight=self.weight + 1)
+        place = f"{self.place}['{name}']"
+        found = Cell(F.try_variant_get(self.around(), place, "variant"), VARIANT, weight=self.weight + 1, inside=self.around(), place=place)
+        return replace(found, present=found.some())
 
     def here(self) -> Column:
         return F.lit(self.present) if isinstance(self.present, bool) else self.present
@@ -203,6 +220,15 @@ def staged(c: Column) -> Column:
     return now.put(c, now.deeper()) if now else c
 
 
+def projected(c: Column) -> Column:
+    """A result that is read more than once: a column of a projection before, where large results stand there."""
+    now = _STAGES[-1] if _STAGES else None
+    if now is None:
+        return c
+    now.large = True
+    return now.put(c, now.deeper()) if now.binds else c
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value written and computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))

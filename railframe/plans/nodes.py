@@ -20,16 +20,28 @@ from pyspark.sql import types as T
 from ..functions import scalars
 from . import matchers as M
 from . import sites
-from .cells import ERRORS, LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, has_tag, in_lambda, let, no_errors, one_error, staged, step
+from .cells import ERRORS, LIGHT, TAGS, VARIANT, Cell, Out, bound, both, common, conj, family, fitted, gated, has_tag, in_lambda, let, no_errors, one_error, projected, staged, step
 
 
 class TypeMismatch(TypeError):
     """A composition that can never pass, found when it is built."""
 
 
+def prefix(path: Column) -> Column:
+    """What names below a path begin with; the path stands in it once."""
+    return F.concat_ws(".", F.array_remove(F.array(path), ""), F.lit(""))
+
+
+def below(path: Column, start: Column, names: str = "") -> Column:
+    """path, with its names told apart from what they begin with, so that names below it need not be made of the whole again."""
+    vars(path)["_below"] = start, names
+    return path
+
+
 def at(path: Column, name: str) -> Column:
-    # path stands in it once, so that the text of a path grows with its length only.
-    return F.concat_ws(".", F.array_remove(F.array(path), ""), F.lit(name))
+    start, names = vars(path).get("_below") or (prefix(path), "")
+    names += f".{name}" if names else name
+    return below(F.concat(start, F.lit(names)), start, names)
 
 
 def quoted(values: Obj) -> str:
@@ -320,8 +332,8 @@ class Gate(Type):
         here = c.here() if not isinstance(c.present, bool) else None
         if isinstance(c.dtype, T.VariantType):
             _, dtype = TAGS.get(self.kind, (r"^$", T.NullType()))
-            ok = has_tag(c.value, self.kind)
-            value = F.lit(None) if self.kind == "nil" else F.when(ok, F.try_variant_get(c.value, "$", dtype.simpleString()))
+            ok = has_tag(c.around(), self.kind, c.place)
+            value = F.lit(None) if self.kind == "nil" else F.when(ok, c.taken(dtype.simpleString()))
             if self.kind in ("true", "false"):
                 ok = F.coalesce(ok & (value == (self.kind == "true")), F.lit(False))
             return gated(c, ok, path, said, value, dtype)
@@ -1431,7 +1443,7 @@ class Deferred(Type):
     makes: tuple[Callable, ...] = field(default=(), compare=False)
 
     #: Levels that are unrolled at once where max_depth is None; and in jobs, where the type holds itself at one place, in no list.
-    UNROLLED, IN_LINE = 3, 6
+    UNROLLED, IN_LINE = 3, 8
 
     def target(self) -> Type:
         return wrap(self.make())
@@ -1448,12 +1460,18 @@ class Deferred(Type):
             return self.beyond(c, path)
         if c.present is False or isinstance(c.dtype, T.NullType):
             return gated(c, False, path, "must be a Hash")
-        if self.max_depth is None and self.depth and isinstance(c.dtype, T.VariantType):  # the next levels are taken from it, many times
+        if self.max_depth is None and self.depth and isinstance(c.dtype, T.VariantType) and c.inside is None:  # the next levels are taken from it, many times
             c = Cell(staged(c.value), c.dtype, c.present)
         own = {"judged": self.judged, "makes": self.makes}
         deeper = transformed(self.target(), lambda t: Deferred(t.make, t.max_depth, self.depth + 1, **own) if isinstance(t, Deferred) else t)
         o = deeper.lower(c, path)
-        return Out(c.value, o.ok, lambda: o.errors, c.dtype, o.known, c.present, weight=o.weight) if isinstance(c.dtype, T.VariantType) else o
+        if not isinstance(c.dtype, T.VariantType):
+            return o
+        if self.judged is None or not self.depth or o.known is not None:
+            return Out(c.value, o.ok, lambda: o.errors, c.dtype, o.known, c.present, weight=o.weight)
+        # The level around reads it for itself and for its errors.
+        ok = projected(o.ok)
+        return Out(c.value, ok, lambda: o.errors, c.dtype, None, c.present, weight=1 if ok is not o.ok else o.weight)
 
     def unrolled(self) -> int:
         """Fewer levels where a type holds itself at several places or in lists, so that plans do not grow with a power of them."""
@@ -1468,7 +1486,7 @@ class Deferred(Type):
             return gated(c, False, path, f"nested deeper than {self.depth}")
         found = sites.found_now()
         if found is not None:
-            found.at(self.make, path, c.value)
+            found.at(self.make, path, c)
         if self.judged is None:
             return gated(c, False, path, f"nested deeper than {self.depth}")
         r = F.element_at(self.judged, sites.key(self.makes.index(self.make), path)) if self.make in self.makes else F.lit(None).cast(f"struct<ok:boolean,errors:{ERRORS}>")

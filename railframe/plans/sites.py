@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .cells import Out, let, staged
+from .cells import Cell, Out, let, staged
 
 Element = Callable[[Column, Column], Out]
 
@@ -124,12 +124,12 @@ class Found:
         self.columns: list[Column] = []
         self.makes: list[Callable] = []
 
-    def at(self, make: Callable, path: Column, value: Column) -> None:
+    def at(self, make: Callable, path: Column, c: Cell) -> None:
         if make not in self.makes:
             self.makes.append(make)
         which = self.makes.index(make)
-        own = F.struct(key(which, path).alias("key"), path.alias("path"), F.lit(which).alias("which"), value.alias("value"))
-        self.columns.append(F.when(value.isNotNull(), F.array(own)).otherwise(F.array()).cast(PENDING))
+        own = F.struct(key(which, path).alias("key"), path.alias("path"), F.lit(which).alias("which"), c.value.alias("value"))
+        self.columns.append(F.when(c.some(), F.array(own)).otherwise(F.array()).cast(PENDING))
 
     def column(self) -> Column:
         return F.concat(*self.columns) if self.columns else F.array().cast(PENDING)

@@ -141,6 +141,19 @@ def test_lists_take_few_rounds_and_read_no_more_than_they_need(spark, monkeypatc
     assert max(len(plan) for name, plan in tables) < 200_000
 
 
+def test_results_are_merged_and_values_taken_out_of_the_whole(spark, monkeypatch):
+    """The files of results are far smaller than their rows in memory, so their size must not make Spark broadcast them."""
+    plans, made = [], deep.written
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(deep, "written", lambda df, name: note(df) or made(df, name))
+    df = from_json(spark.createDataFrame([(json.dumps(listed(d, bad)),) for d, bad in ((2, None), (20, 19), (20, None))], "j string"), "j")
+    got = t.validate(df, t.defer(linked, None), "j")
+    note(got)
+    assert sorted((r["ok"], *(e["path"] for e in r["errors"] if e["message"] == "Must be a Integer")) for r in got.collect()) == [(False, "next." * 18 + "value"), (True,), (True,)]
+    assert sum("SortMergeJoin" in p for p in plans) > 1 and not any("Broadcast" in p for p in plans)
+    assert not any("try_variant_get(try_variant_get(" in p for p in plans)
+
+
 def test_kinds_of_variants_are_those_of_their_schemas(spark):
     texts = ['{"a": {"b": [1]}}', "{}", "[]", '[1, "a", {"x": 2}, null]', "null", '"s"', '"2020-01-01"', "1", "1.5", "1e3", "true", "false", "9" * 20, "bad", None]
     df = from_json(spark.createDataFrame([(x,) for x in texts], "v string"), "v")
